@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op2_exact_dedup as op2
 from . import op6_sharding as op6
+from . import op7_quality as op7
+from . import op8_mixing as op8
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_exact_dedup": op2.op2_exact_dedup,
         "op6_sharding": op6.op6_sharding,
+        "op7_quality": op7.op7_quality,
+        "op8_mixing": op8.op8_mixing,
     }
     if importlib.util.find_spec("corpus_pipeline") is not None:
         found["pipeline"] = _pipeline
