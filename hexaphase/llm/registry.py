@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_html as op1
 from . import op2_exact_dedup as op2
 from . import op6_sharding as op6
 from . import op7_quality as op7
@@ -21,6 +22,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_html": op1.op1_html,
         "op2_exact_dedup": op2.op2_exact_dedup,
         "op6_sharding": op6.op6_sharding,
         "op7_quality": op7.op7_quality,
