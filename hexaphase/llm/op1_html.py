@@ -5,7 +5,7 @@ or by the words in their class, id or role (menus, headers, footers, sidebars, n
 readers, scripts, styles) give no blocks. First pass: each block is classified by its length, the share of stop words
 and the share of its characters inside links. Good: long with enough stop words. Bad: many links, or long without
 stop words. Near good and short blocks stay ambiguous. Second pass: ambiguous blocks inherit the label of the nearest
-decided neighbours, a headline that of the block after it. Inside an article or main element stop words
+decided neighbours, a headline that of the block after it; the page's edges count as bad for short blocks. Inside an article or main element stop words
 are not asked for, as the markup says what the text is, and ambiguous blocks with no decided neighbour are good.
 
 Defined cases: null or empty html gives the empty text. Broken markup (tags without an end, unclosed comments, unbalanced
@@ -195,7 +195,8 @@ def classify(found: list[Block]) -> list[Block]:
             result[i] = b.label
             after, reach = b.label, 0
             continue
-        around = {x for x in (left, after) if x}
+        edge = "bad" if b.label == "short" and not b.article else ""
+        around = {x for x in (left or edge, after or edge) if x}
         if b.heading and after == "good" and reach <= HEADING_REACH:
             result[i] = "good"
         elif len(around) == 1:
