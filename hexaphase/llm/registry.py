@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op1_html as op1
 from . import op2_exact_dedup as op2
+from . import op3_sentencepiece as op3
 from . import op6_sharding as op6
 from . import op7_quality as op7
 from . import op8_mixing as op8
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_html": op1.op1_html,
         "op2_exact_dedup": op2.op2_exact_dedup,
+        "op3_sentencepiece": op3.op3_sentencepiece,
         "op6_sharding": op6.op6_sharding,
         "op7_quality": op7.op7_quality,
         "op8_mixing": op8.op8_mixing,
