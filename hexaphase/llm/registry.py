@@ -14,6 +14,7 @@ from . import op5_simhash as op5
 from . import op6_sharding as op6
 from . import op7_quality as op7
 from . import op8_mixing as op8
+from . import op9_fingerprints as op9
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6.op6_sharding,
         "op7_quality": op7.op7_quality,
         "op8_mixing": op8.op8_mixing,
+        "op9_fingerprints": op9.op9_fingerprints,
     }
     if importlib.util.find_spec("corpus_pipeline") is not None:
         found["pipeline"] = _pipeline
