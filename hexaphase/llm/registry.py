@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op1_html as op1
 from . import op2_exact_dedup as op2
 from . import op3_sentencepiece as op3
+from . import op4_lm as op4
 from . import op5_simhash as op5
 from . import op6_sharding as op6
 from . import op7_quality as op7
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html": op1.op1_html,
         "op2_exact_dedup": op2.op2_exact_dedup,
         "op3_sentencepiece": op3.op3_sentencepiece,
+        "op4_lm": op4.op4_lm,
         "op5_simhash": op5.op5_simhash,
         "op6_sharding": op6.op6_sharding,
         "op7_quality": op7.op7_quality,
