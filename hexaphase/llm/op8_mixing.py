@@ -67,7 +67,7 @@ def schedule(src: DataFrame) -> DataFrame:
     cells = cells.withColumn("part", F.expr(f"place div {CHUNK}"))
     sums = cells.groupBy("s", "part").agg(F.count("*").alias("_n"))
     sums = sums.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = cells.withColumn("_in", F.row_number().over(Window.partitionBy("s", "part").orderBy("place")) - 1).join(sums, ["s", "part"])
+    ranked = cells.withColumn("_in", F.row_number().over(Window.partitionBy("s", "part").orderBy("place")) - 1).join(sums.hint("merge"), ["s", "part"])
     return ranked.select("s", "place", F.expr("(_ahead + _in) % blocks").alias("block_no"))
 
 
@@ -91,7 +91,8 @@ def mixed(rows: DataFrame, src: DataFrame, seed: int = 42) -> DataFrame:
     """The mix: s, place, doc_id, start (names the row in its source), word_from and word_to within the document, in any order; orderBy("place", "start") is the mix's own."""
     parts = placed(rows, src, seed).withColumn("block_no", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
     parts = parts.withColumn("word_from", F.expr("greatest(0, block_no * block - start)")).withColumn("word_to", F.expr("least(size, (block_no + 1) * block - start)"))
-    return schedule(src).join(parts.select("s", "block_no", "doc_id", "size", "start", "word_from", "word_to"), ["s", "block_no"])
+    # the planner takes what explode() makes for as small as its input, so joins on slots say that they must not broadcast
+    return schedule(src).join(parts.select("s", "block_no", "doc_id", "size", "start", "word_from", "word_to").hint("merge"), ["s", "block_no"])
 
 
 def mix_counts(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -108,7 +109,7 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUD
     rows, src = prepared(docs, id_col, text_col, source_col, weights, budget, cap)
     starts = placed(rows, src, seed).select("s", "doc_id", F.expr("start div block").alias("block_no"))
     times = schedule(src).groupBy("s", "block_no").agg(F.count("*").cast("int").alias("_times"))
-    took = starts.join(times, ["s", "block_no"]).select(F.col("doc_id").alias("_id"), "_times")
+    took = starts.join(times.hint("merge"), ["s", "block_no"]).select(F.col("doc_id").alias("_id"), "_times")
     took = took.groupBy("_id").agg(F.max("_times").alias("_times"))
     return docs.join(took, docs[id_col].eqNullSafe(took["_id"])).withColumn("_times", F.explode(F.expr("sequence(1, _times)"))).drop("_times", "_id")
 
