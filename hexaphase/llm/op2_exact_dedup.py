@@ -146,6 +146,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = saved(gone)  # so that its size is known when the join is planned
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
