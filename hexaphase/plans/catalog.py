@@ -1,11 +1,8 @@
-"""The registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import kernel_queries, signal_queries, stream_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "epoch_axis"
