@@ -175,6 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.where(F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", F.col(text_col).alias("_text"), "_y")
     model = rows.repartition(1).mapInArrow(_fit, "name string, kind string, shape array<long>, data binary").collect()
+    if not model:  # no labelled row has a document
+        return {"context": np.zeros((_SIZE, DIM), np.float16)} | Network.fit(np.zeros((0, 2 * DIM)), np.zeros(0)).parts
     return {r["name"]: np.frombuffer(bytes(r["data"]), r["kind"]).reshape(r["shape"]) for r in model}
 
 
