@@ -171,10 +171,10 @@ def circular_distance_query(spark, sf):
     return t.hops(spark, sf).select("user_id", "event_id", F.round(circular_distance(F.col("angle"), prev), 6).alias("distance"))
 
 
-@query("signed_delta", f"WITH {EV}, l AS (SELECT *, angle - lag(angle) OVER (PARTITION BY user_id ORDER BY h) + 180 AS d FROM ev) SELECT user_id, event_id, round(CASE WHEN d < 0 THEN d + 360 WHEN d >= 360 THEN d - 360 ELSE d END - 180, 6) + 0.0 AS delta FROM l")
+@query("signed_delta", f"WITH {EV}, l AS (SELECT *, round(angle - lag(angle) OVER (PARTITION BY user_id ORDER BY h), 6) + 180 AS d FROM ev) SELECT user_id, event_id, round(CASE WHEN d < 0 THEN d + 360 WHEN d >= 360 THEN d - 360 ELSE d END - 180, 6) + 0.0 AS delta FROM l")
 def signed_delta_query(spark, sf):
     prev = F.lag("angle").over(Window.partitionBy("user_id").orderBy("h"))
-    return rounded(t.hops(spark, sf).select("user_id", "event_id", signed_delta(F.col("angle"), prev).alias("delta")), "delta")
+    return rounded(t.hops(spark, sf).select("user_id", "event_id", signed_delta(F.round(F.col("angle") - prev, 6), 0.0).alias("delta")), "delta")
 
 
 def _greedy_sql(n: int = 5, limit: int = 3) -> str:
