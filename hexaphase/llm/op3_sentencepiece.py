@@ -29,12 +29,17 @@ from .common import mix, pieces, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 22
 _CACHE = 500_000
 _M = 0x9E3779B97F4A7C15 | 1
 _NEVER = -float("inf")
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, end to end."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[: len(start)], size) + np.arange(size.sum())
+
+
 def read_model(path: str = MODEL) -> list[tuple[str, float, str]]:
     """Piece, score and kind (normal, byte or other) by id."""
     import sentencepiece
@@ -75,9 +80,17 @@ class Codec:
         for p, i in self.ids.items():
             self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
         self.span = self.size + 0x110000
+        self.spelled: dict[int, np.ndarray] = {}
         self.pair_keys, self.pair_ok = np.array([np.iinfo(np.int64).max]), np.zeros(1, bool)  # the last is a guard
-        self.words: dict[str, np.ndarray] = {}
-        self.units: dict[str, np.ndarray] = {}
+        self.beside_keys = np.sort(np.array([(ord(a) << 21) | ord(b) for a, b in self.beside] or [-1], np.int64))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the memory of words (word_at: place in word_start and word_size) and of units (by hash); both point into the pool."""
+        self.word_at: dict[str, int] = {}
+        self.word_start, self.word_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.unit_keys, self.unit_start, self.unit_size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
 
     @staticmethod
     def _symbol(c):
@@ -122,10 +135,9 @@ class Codec:
             at = np.searchsorted(self.pair_keys[:-1], keys)
         return self.pair_ok[at]
 
-    def _paths(self, units: list[str]) -> list[np.ndarray]:
-        """Token ids of units of one length."""
-        n, size = len(units), len(units[0])
-        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, size)
+    def _paths(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of units of one length (code points by row), end to end, and how many each has."""
+        n, size = code.shape
         sums, powers = np.zeros((n, size + 1), np.uint64), [np.uint64(pow(_M, k, 1 << 64)) for k in range(self.longest + 1)]
         for i in range(size):
             sums[:, i + 1] = sums[:, i] * np.uint64(_M) + self._symbol(code[:, i])
@@ -153,36 +165,60 @@ class Codec:
             np.maximum.at(back[:, end], rows, allowed)
             best = (allowed > 0) & (allowed == back[rows, end])
             last[rows[best], end] = symbol[best]
-        out = []
-        for r in range(n):
-            end, path = size, []
-            while end:
-                symbol = int(last[r, end])
-                path.append([symbol] if symbol < self.size else self.bytes[list(chr(symbol - self.size).encode())].tolist())
-                end -= int(back[r, end])
-            out.append(np.array([i for x in reversed(path) for i in x], np.int32))
-        return out
-
-    def _cut(self, word: str) -> list[str]:
-        beside, cuts = self.beside, [0]
-        cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in beside]
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+        end, rows, parts, step = np.full(n, size), np.arange(n), [], 0
+        while len(rows):  # back from the ends, all units together
+            parts.append((rows, np.full(len(rows), -step), last[rows, end[rows]]))
+            end[rows] -= back[rows, end[rows]]
+            rows, step = rows[end[rows] > 0], step + 1
+        row, place, symbol = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((place, row))
+        row, symbol = row[order], symbol[order]
+        for u in np.unique(symbol[symbol >= self.size]).tolist():
+            self.spelled[u] = self.bytes[list(chr(u - self.size).encode())]
+        if (symbol >= self.size).any():
+            expanded = [self.spelled[u] if u >= self.size else np.array([u], np.int32) for u in symbol.tolist()]
+            row, symbol = np.repeat(row, [len(x) for x in expanded]), np.concatenate(expanded)
+        return symbol.astype(np.int32), np.bincount(row, minlength=n)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > _CACHE:
-            self.words.clear()
-        if len(self.units) > _CACHE:
-            self.units.clear()
-        cut = {w: self._cut(w) for w in words}
-        by_size: dict[int, list[str]] = {}
-        for u in {u for parts in cut.values() for u in parts}.difference(self.units):
-            by_size.setdefault(len(u), []).append(u)
-        for size, units in by_size.items():
-            step = max(1, (1 << 20) // (size + 1))
-            for i in range(0, len(units), step):
-                self.units.update(zip(units[i : i + step], self._paths(units[i : i + step]), strict=True))
-        for w, parts in cut.items():
-            self.words[w] = self.units[parts[0]] if len(parts) == 1 else np.concatenate([self.units[p] for p in parts])
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]])
+        pair = (code[:-1] << 21) | code[1:]
+        cut = np.ones(len(code), bool)
+        cut[1:] = self.beside_keys[np.minimum(np.searchsorted(self.beside_keys, pair), len(self.beside_keys) - 1)] != pair
+        cut[begins] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(code))
+        up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(code), _M, np.uint64)]))
+        down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(code), pow(_M, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._symbol(code) * down[:-1])])
+        key = mix((sums[end] - sums[start]) * up[end] + (end - start).astype(np.uint64))
+        distinct, first = np.unique(key, return_index=True)
+        new = first[~np.isin(distinct, self.unit_keys, assume_unique=True)]
+        by_size = new[np.argsort(end[new] - start[new], kind="stable")]
+        sizes, ids, counts, keys = end[by_size] - start[by_size], [], [], []
+        for size in np.unique(sizes):
+            own = by_size[sizes == size]
+            step = max(1, (1 << 20) // (int(size) + 1))
+            for i in range(0, len(own), step):
+                flat, n = self._paths(code[start[own[i : i + step]][:, None] + np.arange(size)].astype(np.uint32))
+                ids.append(flat)
+                counts.append(n)
+                keys.append(key[own[i : i + step]])
+        if keys:
+            counts, keys = np.concatenate(counts), np.concatenate(keys)
+            starts = len(self.pool) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+            self.pool = np.concatenate([self.pool, *ids])
+            all_keys = np.concatenate([self.unit_keys, keys])
+            order = np.argsort(all_keys)
+            self.unit_keys = all_keys[order]
+            self.unit_start, self.unit_size = np.concatenate([self.unit_start, starts])[order], np.concatenate([self.unit_size, counts])[order]
+        at = np.searchsorted(self.unit_keys, key)
+        tokens = self.pool[_spread(self.unit_start[at], self.unit_size[at])]
+        size = np.add.reduceat(self.unit_size[at], np.searchsorted(start, begins))
+        self.word_start = np.concatenate([self.word_start, len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])])
+        self.word_size, self.pool = np.concatenate([self.word_size, size]), np.concatenate([self.pool, tokens])
+        self.word_at.update(zip(words, range(len(self.word_at), len(self.word_at) + len(words)), strict=True))
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -203,16 +239,17 @@ class Codec:
         """All token ids, and where each text's begin and the last's end."""
         split = [self.split(t or "") for t in texts]
         flat = [w for ws in split for w in ws]
-        distinct = set(flat)
-        self._learn(list(distinct.difference(self.words)))
-        if len(self.words) < len(distinct) or not distinct.issubset(self.words):
-            self._learn(list(distinct.difference(self.words)))
-        get = self.words
-        found = [get[w] for w in flat]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        new = list(set(flat).difference(self.word_at))
+        if len(self.word_at) + len(new) > _CACHE:
+            self._forget()
+            new = list(set(flat))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.word_at.__getitem__, flat), np.int64, len(flat))
+        size = self.word_size[at]
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         words_at = np.concatenate([[0], np.cumsum([len(ws) for ws in split], dtype=np.int64)]).astype(np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), ends[words_at]
+        return self.pool[_spread(self.word_start[at], size)], ends[words_at]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
