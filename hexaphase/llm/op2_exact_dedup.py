@@ -7,7 +7,7 @@ counts. Fingerprints with a count above one route their rows to byte verificatio
 that a collision of fingerprints cannot join two texts.
 
 Defined cases: a null text counts as empty, and all empty or blank texts are one group. Rows with equal text, equal
-length and equal doc_id are alike: each is reported, and each is kept if that id is kept. Null doc_ids sort last. An
+length and equal doc_id are alike: each is reported, and each is kept if that id is kept; drop_exact_duplicates() leaves one of them. Null doc_ids sort last. An
 empty table gives no rows. Columns other than the id and the text, whatever their names, are not read.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, saved, shards, table
@@ -140,14 +140,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        F.col("n").alias("n_chars"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = saved(gone)  # so that its size is known when the join is planned
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of docs that stay, with all their columns. Of rows alike in id and text, one stays: the first by its other columns."""
+    keys = ["_id", "_n", "_sha"]
+    found = exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"), "kept")
+    counts = found.groupBy(*keys).agg(F.first("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    counts = saved(counts.select("*", F.lit(True).alias("_known")))  # so that its size is known when the join is planned
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.withColumns({"_id_": F.col(id_col), "_n_": F.length(text).cast("long"), "_sha_": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
+    same = [F.col("_id_").eqNullSafe(F.col("_id")), F.col("_n_") == F.col("_n"), F.col("_sha_") == F.col("_sha")]
+    single = named.join(counts, same, "left_anti").select(*docs.columns)
+    alike = named.join(counts.where("kept"), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id_", "_n_", "_sha_").orderBy(*docs.columns))
+    return single.unionByName(alike.withColumn("_place", place).where("_place = 1").select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +169,6 @@ WITH n AS (
 ), g AS (
   SELECT norm, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM n GROUP BY norm
 )
-SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256, n.n AS n_chars
 FROM n JOIN g ON n.norm = g.norm
 """

@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
+    """The rows of docs whose id is the smallest of its component, with all their columns. doc_id names a document: an id goes with all its rows."""
     gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = saved(gone)  # so that its size is known when the join is planned
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

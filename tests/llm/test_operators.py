@@ -101,8 +101,10 @@ def test_exact_dedup_against_brute_force(docs, odd):
         for i, t in rows:
             groups[norm(t)].append((-len(t), i))
         got = sorted(tuple(r) for r in op2.exact_duplicates(df).collect())
-        want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), (-len(t), i) == min(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+        want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), (-len(t), i) == min(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest(), len(t)) for i, t in rows)
         assert got == want
+        left = texts(op2.drop_exact_duplicates(df))
+        assert sorted(left) == sorted({(i, t) for i, t in rows if (-len(t), i) == min(groups[norm(t)])})
 
 
 # 3
@@ -408,7 +410,7 @@ def test_registered_queries():
 
 def test_exact_dedup_oracle(spark, sf, duck):
     got = sorted(tuple(r) for r in op2.op2_exact_dedup(spark, sf).collect())
-    want = duck.sql("select doc_id, keep_id, group_size, kept, text_sha256 from (" + op2.ORACLE_SQL + ")").fetchall()
+    want = duck.sql("select doc_id, keep_id, group_size, kept, text_sha256, n_chars from (" + op2.ORACLE_SQL + ")").fetchall()
     assert got == sorted(want)
 
 
