@@ -146,17 +146,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows alike in id and text, one stays: the first by its other columns."""
-    keys = ["_id", "_n", "_sha"]
-    found = exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"), "kept")
-    counts = found.groupBy(*keys).agg(F.first("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
-    counts = saved(counts.select("*", F.lit(True).alias("_known")))  # so that its size is known when the join is planned
+    found = saved(exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"), "kept"))
+    ids = found.groupBy("_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    gone = saved(ids.where("stay = 0").select("_id"))  # saved, so that its size is known when the join is planned
+    care = saved(ids.where("stay > 0 and rows > 1").select("_id"))  # ids of several rows: as good as none where doc_id names a row
+    by_id = docs[id_col].eqNullSafe(F.col("_id"))
+    single = docs.join(gone.union(care), by_id, "left_anti")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.withColumns({"_id_": F.col(id_col), "_n_": F.length(text).cast("long"), "_sha_": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
-    same = [F.col("_id_").eqNullSafe(F.col("_id")), F.col("_n_") == F.col("_n"), F.col("_sha_") == F.col("_sha")]
-    single = named.join(counts, same, "left_anti").select(*docs.columns)
-    alike = named.join(counts.where("kept"), same, "left_semi")
+    named = docs.join(care, by_id, "left_semi")
+    named = named.withColumns({"_id_": F.col(id_col), "_n_": F.length(text).cast("long"), "_sha_": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
+    stay = found.where("kept").select("_id", "_n", "_sha").join(care.withColumnRenamed("_id", "_c"), F.col("_id").eqNullSafe(F.col("_c")), "left_semi").distinct()
+    named = named.join(stay, F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_n_") == F.col("_n")) & (F.col("_sha_") == F.col("_sha")), "left_semi")
     place = F.row_number().over(Window.partitionBy("_id_", "_n_", "_sha_").orderBy(*docs.columns))
-    return single.unionByName(alike.withColumn("_place", place).where("_place = 1").select(*docs.columns))
+    return single.unionByName(named.withColumn("_place", place).where("_place = 1").select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
