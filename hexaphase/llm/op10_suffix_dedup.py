@@ -5,17 +5,21 @@ windows have it at the same place, so windows can only be equal if their anchors
 is an anchor. Grams that occur once anywhere cannot start a repeat: a first pass finds those that occur again, and a
 Bloom filter of fixed size, which may only err towards keeping, lets their anchors through.
 
-Suffixes: an anchor let through sends the bytes that its windows cover. Splitters, from a sample of anchors, range-partition
+Classes: such an anchor sends no bytes, but a hash of the string that its windows cover. Of strings alike in gram and
+hash the first by (doc_id, start) stays and all windows of the others are marked: whole copies end here. Only the first
+ones of grams that start several classes need their bytes; a second filter lets those through.
+
+Suffixes: they send the bytes that their windows cover. Splitters, from a sample of anchors, range-partition
 them by the leading bytes of the suffix that starts at the anchor, and all suffixes of a gram fall between the same two
 splitters, so no group of equal strings straddles a boundary. A bucket sorts its suffixes by multikey quicksort
 (eight bytes at a time, going on inside ties only) and its reversed prefixes likewise, and compares neighbours: the lengths
 of their common beginnings give, for each distance between window and anchor, the classes of equal windows. In each
 class the first by (doc_id, start) stays and the others are marked.
 
-Before anything is sent, a task drops strings it has seen with the same bytes from the same anchor: all their windows
-start earlier there, so they are marked at once. A passage that a third of all rows share costs one string per task.
+Before it sends anything, a task marks the strings of a chunk of texts that stand earlier in the chunk: a passage that a
+third of all rows share costs one string per chunk, and marks.
 
-Finally the marks meet their documents, and each byte under a marked window goes.
+Finally the marks meet their documents, shard by shard, and each byte under a marked window goes.
 
 Defined cases: null or empty texts have no bytes; texts under LENGTH bytes keep all. doc_id names a document: rows alike
 in doc_id and text are one document, reported for each row; rows of one doc_id with different texts follow each other by
@@ -33,10 +37,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, pieces, saved, shards, table
+from .common import RangeHash, mix, pieces, saved, shards, table
 
 LENGTH, GRAM = 100, 40
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 FILTER_BITS = 27
 SLICE_BITS = 16
 #: Anchors in the sample for splitters: one in this many grams, and this many per bucket in the end at most.
@@ -122,67 +126,122 @@ def _repeated(rows: pa.Table) -> pa.Table:
     flat, mark = flat[order], mark[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     again = (np.maximum.reduceat(mark, first) > 0) | (np.diff(np.append(first, len(flat))) > 1)
-    bit = np.unique(_bit(flat[first][again]))
-    out = []
-    part = bit >> SLICE_BITS
-    for s in np.unique(part):
-        bits = np.zeros(1 << SLICE_BITS, np.uint8)
-        bits[bit[part == s] & ((1 << SLICE_BITS) - 1)] = 1
-        out.append((int(s), np.packbits(bits).tobytes(), None))
+    out = _filter_rows(np.unique(_bit(flat[first][again])))
     leads = np.sort(np.frombuffer(b"".join(x.as_py() for x in rows.column("leads")), np.uint64))
     leads = leads[np.linspace(0, len(leads) - 1, min(len(leads), SAMPLE_PER_BUCKET)).astype(np.int64)]
-    out.append((-1, None, leads.tobytes()))
-    return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("slice", pa.int32()), ("bits", pa.binary()), ("leads", pa.binary())))})
+    return _table([*out, (None, -1, leads.tobytes())], _MARKS)
 
 
 def _bit(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _packed(doc: list, text_hash: list, start: list, windows: list) -> dict[tuple[int, int], bytes]:
-    """Runs of marked windows by document: first window and number of windows, alternating."""
-    out: dict[tuple[int, int], list[int]] = {}
-    for d, h, s, w in zip(doc, text_hash, start, windows, strict=True):
-        out.setdefault((d, h), []).extend((s, w))
-    return {k: np.array(v, np.int64).tobytes() for k, v in out.items()}
+def _shard(doc: np.ndarray, text_hash: np.ndarray, n: int) -> np.ndarray:
+    """As _SHARD in SQL: copies of a text spread by their ids."""
+    return (np.mod(text_hash, 1 << 31) + np.mod(doc, 1 << 31)) % n
+
+
+_SHARD = "cast(pmod(pmod(hash, 2147483648L) + pmod(doc, 2147483648L), {n}L) as int)"
+_MARKS = [("shard", pa.int32()), ("slice", pa.int32()), ("data", pa.binary())]
+_MARKS_SQL = "shard int, slice int, data binary"
+
+
+def _packed(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, windows: np.ndarray, n: int) -> list[tuple[int, None, bytes]]:
+    """Runs of marked windows by shard of documents: doc, hash, first window and number of windows."""
+    columns = np.stack([np.asarray(x, np.int64) for x in (doc, text_hash, start, windows)], axis=1)
+    shard = _shard(columns[:, 0], columns[:, 1], n)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(n + 1))
+    return [(s, None, columns[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _filter_rows(bit: np.ndarray) -> list[tuple[None, int, bytes]]:
+    """Bits of a filter by slice."""
+    out, part = [], bit >> SLICE_BITS
+    for s in np.unique(part):
+        bits = np.zeros(1 << SLICE_BITS, np.uint8)
+        bits[bit[part == s] & ((1 << SLICE_BITS) - 1)] = 1
+        out.append((None, int(s), np.packbits(bits).tobytes()))
+    return out
+
+
+def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(fields)})
+
+
+def _through(filter_: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((filter_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1) if len(bit) else np.zeros(0, np.int64)
+
+
+def _place(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a place in the corpus."""
+    return mix(mix(doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + text_hash.astype(np.uint64)) + start.astype(np.uint64))
 
 
+_CLASSES = [("bucket", pa.int32()), ("gram", pa.int64()), ("string", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())]
 _STRINGS = [("bucket", pa.int32()), ("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())]
-_CACHE = 400_000
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Strings around anchors by bucket; and, without windows, marks on strings whose bytes this task has met at an earlier place."""
-    seen: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+def _runs(batches: Iterator[pa.RecordBatch], filter_: np.ndarray):
+    """Per chunk the strings around anchors whose grams the filter lets through: document, hash of its text, place, anchor, windows, gram, and where they are in the bytes."""
     for batch in batches:
         doc_ids, text_hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for a, _, buf, ends in _joined(batch, 2):
             at, first, last, gram = anchors(buf, ends)
-            bit = _bit(gram)
-            through = np.flatnonzero((filter_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1) if len(at) else at
-            at, first, last = at[through], first[through], last[through]
+            keep = _through(filter_, _bit(gram))
+            at, first, last, gram = at[keep], first[keep], last[keep], gram[keep]
             text = np.searchsorted(ends, first, side="right")
             start = first - np.concatenate([[0], ends[:-1]])[text] if len(text) else first
-            bucket = np.searchsorted(splitters, _leading(buf, at), side="right")
-            raw, out, marks = buf.tobytes(), [], []
-            if len(seen) > _CACHE:
-                seen.clear()
-            columns = (x.tolist() for x in (bucket, doc_ids[a + text], text_hashes[a + text], start, at - first, last - first + 1, first))
-            for b, d, h, s, left, w, f in zip(*columns, strict=True):
-                string, here = raw[f : f + w - 1 + LENGTH], (d, h, s)
-                other = seen.get((string, left))
-                if other is not None and other <= here:
-                    if other < here:
-                        marks.append((d, h, s, w))
-                    continue
-                if other is not None:
-                    marks.append((*other, w))
-                seen[string, left] = here
-                out.append((b, d, h, s, left, w, string))
-            for (d, h), runs in _packed(*zip(*marks, strict=True)).items() if marks else ():
-                out.append((h % (len(splitters) + 1), d, h, None, None, None, runs))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _STRINGS, strict=True)], names=[k for k, _ in _STRINGS])
+            yield buf, doc_ids[a + text], text_hashes[a + text], start, at, first, last, gram
+
+
+def _classes(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Strings as hashes, by bucket of grams; those that stand earlier in the same chunk too go without them, as marks."""
+    for buf, doc, text_hash, start, at, first, last, gram in _runs(batches, filter_):
+        if not len(doc):
+            continue
+        string = mix(RangeHash(buf)(first, last + LENGTH) + (at - first).astype(np.uint64))
+        order = np.lexsort((start, text_hash, doc, string, gram))
+        doc, text_hash, start, string, gram, windows = (x[order] for x in (doc, text_hash, start, string, gram, last - first + 1))
+        head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])])
+        leader = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        later = (doc != doc[leader]) | (text_hash != text_hash[leader]) | (start != start[leader])
+        bucket = ((gram >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+        nothing = pa.nulls(int(later.sum()), pa.int64())
+        names = [k for k, _ in _CLASSES]
+        yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (bucket, gram.view(np.int64), string.view(np.int64), doc, text_hash, start, windows.astype(np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[later]), nothing, nothing, *(pa.array(x[later]) for x in (doc, text_hash, start, windows.astype(np.int32)))], names=names)
+
+
+def _first_of_classes(rows: pa.Table, n: int) -> pa.Table:
+    """Of one bucket: marks on all strings of a class but the first; and filter bits of the first ones of grams with several classes."""
+    met = rows.filter(pc.is_null(rows.column("gram")))
+    rows = rows.filter(pc.is_valid(rows.column("gram")))
+    marks = [np.stack([met.column(k).to_numpy().astype(np.int64) for k in ("doc", "hash", "start", "windows")])]
+    bits = np.zeros(0, np.int64)
+    if len(rows):
+        gram, string, doc, text_hash, start, windows = (rows.column(k).to_numpy() for k in ("gram", "string", "doc", "hash", "start", "windows"))
+        order = np.lexsort((start, text_hash, doc, string, gram))
+        gram, string, doc, text_hash, start, windows = (x[order] for x in (gram, string, doc, text_hash, start, windows))
+        head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])])
+        leader = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        later = (doc != doc[leader]) | (text_hash != text_hash[leader]) | (start != start[leader])  # rows alike are one document
+        marks.append(np.stack([x[later].astype(np.int64) for x in (doc, text_hash, start, windows)]))
+        group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
+        several = np.bincount(group, head)[group] > 1
+        lead = head & several
+        bits = np.unique(_bit(_place(doc[lead], text_hash[lead], start[lead])))
+    return _table([*_packed(*np.concatenate(marks, axis=1), n), *_filter_rows(bits)], _MARKS)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, places: np.ndarray, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Strings with their bytes, by bucket of the suffixes at their anchors: those that the second filter lets through."""
+    for buf, doc, text_hash, start, at, first, last, _ in _runs(batches, filter_):
+        keep = _through(places, _bit(_place(doc, text_hash, start)))
+        if len(keep):
+            raw, bucket = buf.tobytes(), np.searchsorted(splitters, _leading(buf, at[keep]), side="right")
+            columns = bucket.astype(np.int32), doc[keep], text_hash[keep], start[keep], (at - first)[keep].astype(np.int32), (last - first + 1)[keep].astype(np.int32), [raw[f:e] for f, e in zip(first[keep].tolist(), (last + LENGTH)[keep].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _STRINGS, strict=True)], names=[k for k, _ in _STRINGS])
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -211,12 +270,8 @@ def _matrix(strings: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), np.uint8).reshape(len(strings), width)
 
 
-def _marks(rows: pa.Table) -> pa.Table:
-    """Of one bucket: the windows that start earlier too, as runs by document; and the marks that came along."""
-    come = rows.filter(pc.is_null(rows.column("windows"))).select(["doc", "hash", "bytes"]).rename_columns(["doc", "hash", "runs"])
-    rows = rows.filter(pc.is_valid(rows.column("windows")))
-    if not len(rows):
-        return come
+def _marks(rows: pa.Table, shards_: int) -> pa.Table:
+    """Of one bucket: the windows that start earlier too."""
     doc, text_hash, start, left, windows = (rows.column(k).to_numpy() for k in ("doc", "hash", "start", "left", "windows"))
     anchor = start + left
     order = np.lexsort((anchor, text_hash, doc))
@@ -247,59 +302,75 @@ def _marks(rows: pa.Table) -> pa.Table:
     edge = np.diff(marked.astype(np.int8), axis=1)
     r, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
-    packed = _packed(doc[r].tolist(), text_hash[r].tolist(), (anchor[r] - (high - 1)).tolist(), (high - low).tolist())
-    new = pa.table({"doc": pa.array([k[0] for k in packed], pa.int64()), "hash": pa.array([k[1] for k in packed], pa.int64()), "runs": pa.array(packed.values(), pa.binary())})
-    return pa.concat_tables([come.cast(new.schema), new])
+    return _table(_packed(doc[r], text_hash[r], anchor[r] - (high - 1), high - low, shards_), _MARKS)
 
 
-def _removed(runs: list[bytes] | None, n: int) -> np.ndarray:
+def _removed(start: np.ndarray, windows: np.ndarray, n: int) -> np.ndarray:
     """Which bytes lie under marked windows."""
     step = np.zeros(n + 1, np.int64)
-    for x in runs or ():
-        start, windows = np.frombuffer(x, np.int64).reshape(-1, 2).T
-        np.add.at(step, start, 1)
-        np.add.at(step, start + windows - 1 + LENGTH, -1)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + windows - 1 + LENGTH, -1)
     return np.cumsum(step[:n]) > 0
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc, hash, runs: of docs with doc and hash (longs that name a text) and text (binary)."""
+def _filter_of(df: DataFrame) -> np.ndarray:
+    """The bits in columns slice and data: 2**FILTER_BITS of them."""
+    bits, size = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 1 << (SLICE_BITS - 3)
+    merged = df.where("slice >= 0").groupBy("slice").applyInArrow(_ored, "slice int, data binary")
+    for r in merged.collect():
+        bits[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
+    return bits
+
+
+def _ored(rows: pa.Table) -> pa.Table:
+    data = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("data")])
+    return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+
+def marked_runs(docs: DataFrame) -> DataFrame:
+    """shard, data: runs of marked windows; of docs with doc and hash (longs that name a text) and text (binary)."""
     spark = docs.sparkSession
-    n_shards = shards(spark)
-    grams = docs.select("text").mapInArrow(lambda b: _grams(b, n_shards), "shard int, keys binary, again binary, leads binary")
-    known = saved(grams.groupBy("shard").applyInArrow(_repeated, "slice int, bits binary, leads binary"))
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (SLICE_BITS - 3)
-    for r in known.where("slice >= 0").select("slice", "bits").collect():  # 2**FILTER_BITS bits, but for slices that shards share
-        bits[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
-    sample = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["leads"], np.uint64) for r in known.where("slice < 0").select("leads").collect())]))
-    splitters = np.unique(sample[np.arange(1, n_shards) * len(sample) // n_shards]) if len(sample) else sample
-    shared = spark.sparkContext.broadcast((bits, splitters))
-    schema = "bucket int, doc long, hash long, start long, left int, windows int, bytes binary"
-    found = docs.mapInArrow(lambda b: _candidates(b, *shared.value), schema)
-    return found.groupBy("bucket").applyInArrow(_marks, "doc long, hash long, runs binary")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+    n = shards(spark)
+    grams = docs.select("text").mapInArrow(lambda b: _grams(b, n), "shard int, keys binary, again binary, leads binary")
+    known = saved(grams.groupBy("shard").applyInArrow(_repeated, "shard int, slice int, data binary"))
+    sample = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["data"], np.uint64) for r in known.where("slice < 0").collect())]))
+    splitters = np.unique(sample[np.arange(1, n) * len(sample) // n]) if len(sample) else sample
+    again = spark.sparkContext.broadcast(_filter_of(known))
+    classes = docs.mapInArrow(lambda b: _classes(b, again.value, n), "bucket int, gram long, string long, doc long, hash long, start long, windows int")
+    firsts = saved(classes.groupBy("bucket").applyInArrow(lambda rows: _first_of_classes(rows, n), _MARKS_SQL))
+    places = spark.sparkContext.broadcast(_filter_of(firsts))
+    strings = docs.mapInArrow(lambda b: _strings(b, again.value, places.value, splitters), "bucket int, doc long, hash long, start long, left int, windows int, bytes binary")
+    marks = strings.groupBy("bucket").applyInArrow(lambda rows: _marks(rows, n), _MARKS_SQL)
+    return marks.unionByName(firsts.where("shard is not null")).select("shard", "data")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes: kept, the bytes that stay, too."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("_t").alias("hash"), F.col("_t").cast("binary").alias("text"))
-    runs = repeated_runs(rows.select("doc", "hash", "text")).groupBy("doc", "hash").agg(F.collect_list("runs").alias("runs"))
-    both = rows.join(runs, ["doc", "hash"], "left").select("doc_id", "text", "runs")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = _removed(runs, len(text))
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if runs else text
-                out.append((len(text), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), hashlib.sha256(kept).hexdigest(), kept))
-            names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-            types = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["doc_id", *names])
-
-    return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    marks = marked_runs(rows.select("doc", "hash", "text"))
+    shard = F.expr(_SHARD.format(n=shards(docs.sparkSession)))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_bytes else 4]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)]
+
+    def finish(own: pa.Table, runs: pa.Table) -> pa.Table:
+        found = np.concatenate([np.zeros((0, 4), np.int64), *(np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in runs.column("data"))])
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        begin = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)])) if len(found) else np.zeros(0, np.int64)
+        where = {(int(found[i, 0]), int(found[i, 1])): (i, j) for i, j in zip(begin, np.append(begin[1:], len(found)), strict=False)}
+        out = []
+        for doc, text_hash, text in zip(*(own.column(k) for k in ("doc", "hash", "text")), strict=True):
+            text = text.as_py()
+            i, j = where.get((doc.as_py(), text_hash.as_py()), (0, 0))
+            gone = _removed(found[i:j, 2], found[i:j, 3], len(text)) if j else np.zeros(0, bool)
+            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if j else text
+            spans = np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1) if j else 0
+            out.append((len(text), int(gone.sum()), int(spans), hashlib.sha256(kept).hexdigest(), kept))
+        return pa.table([own.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["doc_id", *names])
+
+    both = rows.withColumn("shard", shard).groupBy("shard").cogroup(marks.groupBy("shard"))
+    return both.applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
