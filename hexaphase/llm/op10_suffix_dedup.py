@@ -210,7 +210,7 @@ def _classes(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, n: int) ->
         nothing = pa.nulls(int(later.sum()), pa.int64())
         names = [k for k, _ in _CLASSES]
         yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (bucket, gram.view(np.int64), string.view(np.int64), doc, text_hash, start, windows.astype(np.int32))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[later]), nothing, nothing, *(pa.array(x[later]) for x in (doc, text_hash, start, windows.astype(np.int32)))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.mod(doc[later], n).astype(np.int32)), nothing, nothing, *(pa.array(x[later]) for x in (doc, text_hash, start, windows.astype(np.int32)))], names=names)
 
 
 def _first_of_classes(rows: pa.Table, n: int) -> pa.Table:
