@@ -368,6 +368,13 @@ def wiener_gain(spark, sf):
 
 @query("noise_minimum", f"WITH {EV}, w AS (SELECT *, max(h) OVER (PARTITION BY user_id) AS last FROM ev) SELECT user_id, event_id, round(CASE WHEN h < 4 THEN min(value) OVER (PARTITION BY user_id ORDER BY h) ELSE NULL END, 6) AS minimum FROM w WHERE h < 4")
 def noise_minimum(spark, sf):
-    """The first sub-window of the minimum tracker; later ones are tested against brute force."""
+    """The first sub-window of the minimum tracker, which SQL can follow; noise_minimum_all has every hop."""
     ev = t.hops(spark, sf).select("user_id", "h", "event_id", "value")
     return rounded(sq.tracked_minimum(ev, ["user_id"], ["h"], "value"), "minimum").where("h < 4").select("user_id", "event_id", "minimum")
+
+
+@query("noise_minimum_all")
+def noise_minimum_all(spark, sf):
+    """The minimum tracker at every hop, past closed sub-windows and those that it forgets."""
+    ev = t.hops(spark, sf).select("user_id", "h", "event_id", "value")
+    return rounded(sq.tracked_minimum(ev, ["user_id"], ["h"], "value"), "minimum").select("user_id", "event_id", "minimum")

@@ -88,3 +88,17 @@ def test_kernel_queries_run(name, spark, sf):
     assert len(rows)
     if name == "wola_identity":
         assert rows.same.all()
+
+
+def test_noise_minimum_at_every_hop(spark, sf, duck):
+    got = {(r.user_id, r.event_id): r.minimum for r in catalog.QUERIES["noise_minimum_all"](spark, sf).collect()}
+    want, longest = {}, 0
+    for user, rows in duck.sql("SELECT user_id, event_id, value FROM events ORDER BY user_id, ts, event_id").df().groupby("user_id"):
+        x = rows.value.to_numpy()
+        longest = max(longest, len(x))
+        # a closed sub-window holds its five values and the one before; ten of them count, and what came after the last one closed
+        parts = [x[max(0, 5 * k - 1) : 5 * k + 5].min() for k in range(len(x) // 5)]
+        for h, event in enumerate(rows.event_id):
+            closed = (h + 1) // 5
+            want[user, event] = round(min([*parts[max(0, closed - 10) : closed], *x[5 * closed : h + 1]]), 6)
+    assert longest > 55 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
