@@ -1,9 +1,13 @@
 """The pipeline's stages in order, each on its own input."""
 
+import itertools
+import re
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from hexaphase.llm import op7_quality
+from hexaphase.llm import near_copies, op7_quality
 from hexaphase.llm.common import saved, table
 
 
@@ -41,3 +45,50 @@ def test_mix_repeats_twice_at_most_and_tokens_round_trip(stages):
     got = ids(stages[4])
     assert set(got) <= set(ids(stages[3])) and max(map(got.count, set(got))) <= 2
     assert all(r.round_trip for r in stages[5].collect())
+
+
+def near_pairs(rows):
+    """Brute force: pairs of ids whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, text in rows:
+        w = ["".join(c.lower() if c.isascii() else c for c in x) for x in re.split(r"[ \t\n\v\f\r]+", text or "") if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+
+
+def smallest(ids, pairs):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_copies_leave(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(3000)}"
+    rows, shared = [], [word() for _ in range(30)]
+    for base in range(12):
+        text = [word() for _ in range(int(rng.integers(60, 200)))] + shared * (base % 3 == 0)
+        for copy in range(6):
+            other = list(text)
+            for _ in range(copy):
+                other[rng.integers(len(other))] = word()
+            rows.append((len(rows), " ".join(other)))
+    text = [word() for _ in range(120)]
+    for _ in range(60):  # a large group, in which many pairs are not similar directly
+        other = list(text)
+        for _ in range(2):
+            other[rng.integers(len(other))] = word()
+        rows.append((len(rows), " ".join(other)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "One two"), (len(rows) + 3, "one  TWO")]
+    pairs = near_pairs(rows)
+    want = smallest([i for i, _ in rows], pairs)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df.repartition(3), sample=0).collect()} == want
+    assert set(ids(corpus_pipeline.near_dedup(spark, df, ""))) == {i for i in want if want[i] == i} and len(pairs) > 100
+
+
+def test_near_dedup_stage_against_brute_force(stages):
+    want = smallest(ids(stages[2]), near_pairs([(r.doc_id, r.text) for r in stages[2].collect()]))
+    assert sorted(ids(stages[3])) == sorted(i for i in want if want[i] == i)
