@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts, and its complement, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -38,6 +41,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, batches between the JVM and Python hold rows rows at most: whole texts in them are in memory twice. Afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) > rows or int(before) <= 0:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def input_bytes(text_col: str) -> Column:
+    """Aggregate: how many bytes the texts have."""
+    return F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("long")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches between the JVM and Python hold rows rows at most from now on: whole texts in them are what executors have in memory twice."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -93,6 +114,19 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def hashed_words(texts: list[bytes], to: bytes, slice_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, translated by the table to, and each one's text. Hashes are made in slices that end between words."""
+    joined = np.frombuffer(b"\n".join(texts).translate(to), np.uint8)
+    start, end = word_bounds(joined)
+    hashes, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + slice_bytes, side="right")))
+        a = start[i]
+        hashes[i:j] = RangeHash(joined[a : end[j - 1]])(start[i:j] - a, end[i:j] - a)
+        i = j
+    return hashes, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+
+
 def pieces(sizes: list[int], limit: int):
     """Ranges of consecutive items whose sizes sum to about limit, one item at least in each."""
     start = total = 0

@@ -1,22 +1,27 @@
 """Language-model scores by a probabilistic suffix tree over tokens.
 
-Symbols are tokens: words in lower case and one end token per text, which also stands before the text's start. Contexts
-are the last 0 to 3 tokens. A word is frequent if it makes up MIN_SHARE of the training tokens at least, which bounds
-the number of frequent words whatever the input; contexts are made of frequent words, and a candidate occurs that often
-itself. A candidate is retained if its next-symbol distribution diverges from that of the context one token shorter
-(Kullback-Leibler), or if it ends a longer context that is retained. A state keeps the next words that it meets often;
-their probabilities are discounted, and the rest of its mass goes to the shorter context's distribution over all other
-words. At the root, counts are discounted by Good and Turing's estimate and the discounts' sum is the probability of an
-unknown word. Each token is scored in the longest retained suffix of what precedes it.
-
-Counting takes two exchanges: distinct words per task with their counts, and distinct frequent contexts with their next
-words. Scores of rare words, and the base score, need every word's count: each task sends, per batch of documents and
-shard of word hashes, the distinct words and where they occur; a shard adds the counts up and returns each
-document's partial sums, so neither the vocabulary nor the texts are collected. Counts cover all training rows.
+Symbols are tokens: words in lower case and one end token per text, which also stands before the text's start. Contexts are
+the last 1 to DEPTH tokens. A context of LEAST occurrences or more is a state of the tree if its next-symbol distribution
+diverges (Kullback-Leibler) from that of the context one token shorter, by DIVERGENCE nats a token and DIVERGENCE_SUM in all.
+Every next word of a state is kept. A state's distribution is smoothed by an absolute discount whose mass goes to the
+distribution of the next shorter state; the root discounts by Good and Turing's estimate, and the discounts' sum is the
+probability of an unknown word. A token is scored in the longest state that ends what precedes it. All thresholds are
+counts of occurrences, so the tree grows with the training data; neither words nor states are ever collected or broadcast.
+
+Exchanges, all of packed arrays:
+1. A task cuts its documents into blocks of about BLOCK_BYTES of text and asks, by range of word hashes, for the counts of
+   a block's distinct words. A range adds the counts up, names the words by number, and answers each block.
+2. A block now knows its base scores. It sends its tokens with their contexts, by the nearest context word: all contexts
+   that end in a word, and all that follows them, are in one group, which builds that part of the tree and scores in it.
+3. The groups return each document's sums to its block.
+A word of more than half of SHARD_TOKENS occurrences is hot: its tokens are dealt to several groups by the word before it,
+so contexts of two words or more stay whole; next words of the hot word alone are counted over its groups by a plain
+aggregation beforehand, and each group gets the counts that it needs.
 
 Defined cases: a null or empty text is the end token alone. A row is training data if crc32(doc_id as text) mod 7 is not
-2 (null: the empty text); without training rows every count is 0 and scores are those of the base. Repeated rows each
-count and are each reported. An empty table gives no rows. Other columns are not read.
+2 (null: the empty text); without training rows every count is 0 and scores are those of the base. A very long text is one
+block, cut at white space while words are hashed. Repeated rows each count and are each reported. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,367 +31,333 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BLANK, WORD, RangeHash, pieces, saved, shards, table, word_bounds
+from .common import LOWER_BLANK, arrow_batches, hashed_words, input_bytes, pieces, saved, shards, table
 
-DEPTH, MIN_SHARE, LEAST = 3, 2e-5, 4
-#: Nats by which a context's mean surprise differs from that of the shorter one at least, and over all occurrences.
-DIVERGENCE, DIVERGENCE_SUM = 0.01, 12.0
-#: A state keeps the next words that make up this share of its occurrences at least.
-LEAST_NEXT, DISCOUNT = 1e-3, 0.5
-CHUNK_BYTES = 1 << 22
-#: Frequent words have numbers from 1; 0 is the end token (before a text: its start), RARE any other word, NONE no word.
-RARE, NONE = 0xFFFE, 0xFFFF
-_U16 = np.uint64(16)
+DEPTH, LEAST = 3, 4
+#: Nats by which a context's next words differ from the shorter one's: over all occurrences, and for each of its distinct next words.
+DIVERGENCE_SUM, DIVERGENCE = 4.0, 0.5
+DISCOUNT = 0.75
+BLOCK_BYTES, WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 22, 1 << 24, 1 << 20
+#: Token numbers: the end token (before a text: its start), a word that is not in the training data, no token; words follow.
+END, UNKNOWN, NONE, WORDS = 0, 1, 2, 3
 
 
 def is_held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and each one's text."""
-    joined = np.frombuffer(b"\n".join(texts).translate(LOWER_BLANK), np.uint8)
-    start, end = word_bounds(joined)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return RangeHash(joined)(start, end), np.searchsorted(ends, start, side="right")
+def packed(a: np.ndarray) -> bytes:
+    """Numbers of 0 or more in as few bytes each as the largest needs, after a byte that says how many."""
+    top = int(a.max()) if len(a) else 0
+    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
+    return bytes([size]) + a.astype(f"u{size}").tobytes()
 
 
-def _first(keys: np.ndarray) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
     """Where the runs of equal keys begin."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and their counts' sums."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = _first(keys)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of ascending shard numbers: each one, and where its part begins and ends."""
+    first = _runs(shard)
+    yield from zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=False)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], n_shards: int, keys_of, shard_of) -> Iterator[pa.RecordBatch]:
-    """Per shard the distinct keys of the training texts, ascending, and their counts."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def emit():
-        shard = shard_of(keys) % np.uint64(n_shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(n_shards + 1, dtype=np.uint64))
-        rows = [(s, keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
 
-    for batch in batches:
-        texts = [t.as_py() or b"" for i, t in zip(batch.column(0), batch.column(1), strict=True) if not is_held_out(i.as_py())]
-        for a, b in pieces([len(t) for t in texts], CHUNK_BYTES):
-            new = np.sort(keys_of(texts[a:b]))
-            first = _first(new)
-            keys, counts = _totals(np.concatenate([keys, new[first]]), np.concatenate([counts, np.diff(np.append(first, len(new)))]))
-            if len(keys) > 1 << 22:  # bounded memory: a task may send a key more than once
-                yield emit()
-                keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield emit()
-
-
-def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("counts")]).astype(np.int64)
-    return _totals(keys, counts)
-
-
-def _word_stats(rows: pa.Table, share: float) -> pa.Table:
-    """Of one shard: its totals, and the words that make up share of the shard itself; frequent ones are among them if shards are even."""
-    keys, counts = _merged(rows)
-    return pa.table({"word": pa.array([None, *keys[counts >= share].view(np.int64).tolist()], pa.int64()), "n": pa.array([int(counts.sum()), *counts[counts >= share].tolist()], pa.int64()), "v": pa.array([len(keys), *[0] * int((counts >= share).sum())], pa.int64()), "n1": pa.array([int((counts == 1).sum()), *[0] * int((counts >= share).sum())], pa.int64()), "n2": pa.array([int((counts == 2).sum()), *[0] * int((counts >= share).sum())], pa.int64())})
-
-
-def numbered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The words' numbers; frequent: ascending hashes."""
-    if not len(frequent):
-        return np.full(len(hashes), RARE, np.uint64)
-    at = np.searchsorted(frequent[:-1], hashes)
-    return np.where(frequent[at] == hashes, at + 1, RARE).astype(np.uint64)
-
-
-def windows(number: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, ends included: context (nearest token in the highest of 48 bits), own number, and text. A context ends before a rare word."""
-    before = np.searchsorted(text, np.arange(n_texts))
-    at = before + np.arange(n_texts)  # where a text's start goes
-    size = len(number) + n_texts
-    line = np.full(size + 1, 0, np.uint64)
-    where = np.arange(len(number)) + text + 1
-    line[where] = number
-    starts = np.zeros(size + 1, bool)
-    starts[at] = True
-    starts[size] = True
-    own = np.arange(1, size + 1)  # each place but the first start: a word, or the end of a text where the next one starts
-    context, open_ = np.zeros(size, np.uint64), np.ones(size, bool)
-    past_start = np.zeros(size, bool)
-    for k in range(1, DEPTH + 1):
-        i = own - k
-        there = open_ & ~past_start & (i >= 0)
-        token = np.where(there, line[np.maximum(i, 0)], NONE)
-        there &= token < RARE
-        token = np.where(there, token, NONE).astype(np.uint64)
-        context = (context << _U16) | token
-        past_start |= there & starts[np.maximum(i, 0)]
-        open_ = there
-    new = np.where(starts[1:], 0, line[1:]).astype(np.uint64)
-    return context, new, np.repeat(np.arange(n_texts), np.bincount(text, minlength=n_texts) + 1)
-
-
-def _shorter(context: np.ndarray, depth: int) -> np.ndarray:
-    """The context's nearest depth tokens; the places of the others are NONE."""
-    rest = np.uint64((1 << 16 * (DEPTH - depth)) - 1)
-    return context | rest
-
-
-def _contexts(rows: pa.Table, threshold: int, root: dict[str, np.ndarray]) -> pa.Table:
-    """Of one shard's windows: the retained contexts with the next words that they keep. root: share by number."""
-    keys, counts = _merged(rows)
-    level = {}
-    for d in range(DEPTH, 0, -1):
-        context, word = keys >> _U16, keys & np.uint64(0xFFFF)
-        whole = (context >> np.uint64(16 * (DEPTH - d))) & np.uint64(0xFFFF) != NONE
-        level[d] = _totals(((_shorter(context, d) << _U16) | word)[whole], counts[whole])
-    needed, out = np.zeros(0, np.uint64), {k: [] for k in ("context", "depth", "words", "counts", "total")}
-    for d in range(DEPTH, 0, -1):
-        k, n = level[d]
-        context, word = k >> _U16, (k & np.uint64(0xFFFF)).astype(np.int64)
-        first = _first(context)
-        names, total, size = context[first], np.add.reduceat(n, first) if len(k) else n, np.diff(np.append(first, len(k)))
-        keep = total >= threshold
-        if len(k):
-            if d > 1:
-                pk, pn = level[d - 1]
-                pfirst = _first(pk >> _U16)
-                psum = np.add.reduceat(pn, pfirst)
-                at = np.searchsorted(pk, (_shorter(context, d - 1) << _U16) | (k & np.uint64(0xFFFF)))
-                of = np.searchsorted((pk >> _U16)[pfirst], _shorter(names, d - 1))
-                expected = pn[at] / np.repeat(psum[of], size)
-            else:
-                expected = root["share"][np.minimum(word, len(root["share"]) - 1)]
-            gain = np.add.reduceat(n * np.log(n / np.repeat(total, size) / expected), first)
-            keep &= (gain >= DIVERGENCE * total) & (gain >= DIVERGENCE_SUM)
-        keep |= np.isin(names, needed)
-        needed = np.unique(_shorter(names[keep], d - 1)) if d > 1 else needed
-        for i in np.flatnonzero(keep):
-            own = slice(first[i], first[i] + size[i])
-            big = (n[own] >= max(2, LEAST_NEXT * total[i])) & (word[own] != RARE)
-            for name, x in zip(out, (int(names[i]), d, word[own][big].astype(np.uint16).tobytes(), n[own][big].tobytes(), int(total[i])), strict=True):
-                out[name].append(x)
-    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-    return pa.table({name: pa.array(x, t) for (name, x), t in zip(out.items(), types, strict=True)})
-
-
-class SuffixTree:
-    """Natural probabilities; word numbers as above. Its size is bounded by MIN_SHARE and LEAST_NEXT."""
-
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, discount: float, contexts: list) -> None:
-        """counts: of the end token, then of the frequent words; contexts: (context, depth, words, counts, total)."""
-        self.frequent, self.counts, self.n, self.v, self.discount = frequent, counts, n, v, discount
-        self.root = np.maximum(counts - discount, 1e-9) / n if n else np.ones(1)
-        depth = {}
-        for c, d, words, counts_, total in sorted(contexts, key=lambda x: (x[1], x[0])):
-            depth.setdefault(d, []).append((c, words, counts_, total))
-        self.names, self.back, self.entries, self.entry_log = {}, {}, {}, {}
-        known: dict[tuple[int, int], dict[int, float]] = {}
-        left: dict[tuple[int, int], float] = {}
-
-        def share(c: int, d: int, w: int) -> float:
-            factor = 1.0
-            while d:
-                c |= (1 << 16 * (DEPTH - d)) - 1
-                own = known.get((c, d))
-                if own is not None:
-                    if w in own:
-                        return factor * own[w]
-                    factor *= left[c, d]
-                d -= 1
-            return factor * float(self.root[w])
-
-        for d in range(1, DEPTH + 1):
-            rows = depth.get(d, [])
-            keys, logs = [], []
-            for i, (c, words, counts_, total) in enumerate(rows):
-                own = {int(w): (float(k) - DISCOUNT) / total for w, k in zip(words, counts_, strict=True)}
-                others = 1 - sum(share(c, d - 1, w) for w in own)
-                left[c, d] = max(1e-12, 1 - sum(own.values())) / max(1e-12, others)
-                known[c, d] = own
-                keys += [(i << 16) | w for w in own]
-                logs += list(own.values())
-            order = np.argsort(np.array(keys, np.uint64))
-            self.names[d] = np.array([r[0] for r in rows], np.uint64)
-            self.back[d] = np.log10(np.array([left[r[0], d] for r in rows]))
-            self.entries[d], self.entry_log[d] = np.array(keys, np.uint64)[order], np.log10(np.array(logs))[order]
-
-    def score(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probabilities; of a rare word what its context adds to that of the root."""
-        out, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-        for d in range(DEPTH, 0, -1):
-            names = self.names[d]
-            if not len(names):
-                continue
-            rows = np.flatnonzero(open_)
-            c = _shorter(context[rows], d)
-            at = np.minimum(np.searchsorted(names, c), len(names) - 1)
-            hit = names[at] == c
-            rows, at = rows[hit], at[hit]
-            key = (at.astype(np.uint64) << _U16) | word[rows]
-            e = np.minimum(np.searchsorted(self.entries[d], key), max(0, len(self.entries[d]) - 1))
-            kept = self.entries[d][e] == key if len(self.entries[d]) else np.zeros(len(key), bool)
-            out[rows[kept]] += self.entry_log[d][e[kept]]
-            open_[rows[kept]] = False
-            out[rows[~kept]] += self.back[d][at[~kept]]
-        rows = np.flatnonzero(open_ & (word != RARE))
-        out[rows] += np.log10(self.root)[word[rows].astype(np.int64)]
-        return out
-
-
-def train(docs: DataFrame) -> SuffixTree:
-    """docs: doc_id and text (binary)."""
-    spark = docs.sparkSession
-    n_shards = shards(spark)
-    schema = "shard int, keys binary, counts binary"
-    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    size = docs.where(training).agg(F.coalesce(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(WORD))), F.lit(0)) + F.count("*"), F.count("*")).first()
-    n, ends = (size[0] or 0), size[1]
-    threshold = max(LEAST, int(MIN_SHARE * n))
-    counted = docs.mapInArrow(lambda b: _counted(b, n_shards, lambda t: tokens(t)[0], lambda k: k >> np.uint64(40)), schema)
-    stats = saved(counted.groupBy("shard").applyInArrow(lambda rows: _word_stats(rows, threshold), "word long, n long, v long, n1 long, n2 long"))
-    v, n1, n2 = stats.where("word is null").agg(F.sum("v"), F.sum("n1"), F.sum("n2")).first()
-    words = sorted((r["word"] % (1 << 64), r["n"]) for r in stats.where("word is not null").collect())  # 1 / MIN_SHARE words at most
-    frequent, counts = np.array([w for w, _ in words], np.uint64), np.array([ends, *(c for _, c in words)], np.int64)
-    discount = min(0.95, max(0.1, (n1 or 0) / max(1, (n1 or 0) + 2 * (n2 or 0))))
-    v = (v or 0) + (ends > 0)
-    share = np.append(counts / max(1, n), max(1e-9, 1 - counts.sum() / max(1, n)))
-    root, known = {"share": share}, spark.sparkContext.broadcast(frequent)
-
-    def keys_of(texts: list[bytes]) -> np.ndarray:
-        hashes, text = tokens(texts)
-        context, word, _ = windows(numbered(hashes, known.value), text, len(texts))
-        key = (context << _U16) | word
-        return key[(context >> np.uint64(16 * (DEPTH - 1))) != NONE]
-
-    ngrams = docs.mapInArrow(lambda b: _counted(b, n_shards, keys_of, lambda k: (k >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)), schema)
-    found = saved(ngrams.groupBy("shard").applyInArrow(lambda rows: _contexts(rows, threshold, root), "context long, depth int, words binary, counts binary, total long"))
-    contexts = [(r["context"], r["depth"], np.frombuffer(r["words"], np.uint16), np.frombuffer(r["counts"], np.int64), r["total"]) for r in found.collect()]  # DEPTH / MIN_SHARE contexts at most
-    return SuffixTree(frequent, counts, n, v, discount, contexts)
-
-
-_PARTS = ("keys", "train", "per_key", "docs", "counts")
-
-
-def _requests(batches: Iterator[pa.RecordBatch], n_shards: int, tree: SuffixTree) -> Iterator[pa.RecordBatch]:
-    """Per batch of documents: a row of what is known of them, and per shard its tokens with their places."""
+def _of_documents(kind: pa.DataType, *names: str) -> list[tuple[str, pa.DataType]]:
+    return [("ids", pa.list_(kind)), *((k, pa.binary()) for k in names)]
+
+
+# First exchange: words.
+
+
+def _requests(batches: Iterator[pa.RecordBatch], n_shards: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Per block: a row of its documents and the places of their words, and per shard its distinct words with their training counts."""
     from pyspark import TaskContext
 
-    part, number = TaskContext.get().partitionId(), 0
+    part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
-        all_ids, all_texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in pieces([len(t or b"") for t in all_texts], CHUNK_BYTES):
-            ids, texts = all_ids.slice(a, b - a), [t or b"" for t in all_texts[a:b]]
-            chunk, number = f"{part}-{number}", number + 1
-            held = np.array([is_held_out(i) for i in ids.to_pylist()])
-            hashes, doc = tokens(texts)
-            n_tokens = np.bincount(doc, minlength=len(texts)) + 1
-            number = numbered(hashes, tree.frequent)
-            context, word, text = windows(number, doc, len(texts))
-            score = np.bincount(text, tree.score(context, word), len(texts))
-            common = np.where(word == RARE, 0, word).astype(np.int64)
-            base = np.bincount(text, np.log10(tree.counts + 1.0)[common] * (word != RARE), len(texts))
-            known = np.bincount(text, (tree.counts > 0)[common] & (word != RARE), len(texts)).astype(np.int64)
-            rare = number == RARE
-            hashes, doc = hashes[rare], doc[rare]
-            order = np.argsort(hashes, kind="stable")
-            hashes, doc = hashes[order], doc[order]
-            pair = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            n, doc, hashes = np.diff(np.append(pair, len(doc))), doc[pair], hashes[pair]
-            key = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            trained = np.add.reduceat(n * ~held[doc], key) if len(key) else key
-            per_key = np.diff(np.append(key, len(doc)))
-            rows = [{"shard": part % n_shards, "chunk": chunk, "ids": ids.to_pylist(), "held": held.tolist(), "n_tokens": n_tokens.tolist(), "n_known": known.tolist(), "bases": base.tolist(), "scores": score.tolist()}]
-            cut = np.searchsorted(hashes[key], np.array([(s << 64) // n_shards for s in range(n_shards)], np.uint64))
-            for s, (x, y) in enumerate(zip(cut, [*cut[1:], len(key)], strict=True)):
-                if y > x:
-                    i, j = key[x], key[y] if y < len(key) else len(doc)
-                    arrays = hashes[key[x:y]], trained[x:y].astype(np.uint32), per_key[x:y].astype(np.uint32), doc[i:j].astype(np.uint32), n[i:j].astype(np.uint32)
-                    rows.append({"shard": s, "chunk": chunk} | {k: v.tobytes() for k, v in zip(_PARTS, arrays, strict=True)})
-            fields = [("shard", pa.int32()), ("chunk", pa.string()), *((k, pa.binary()) for k in _PARTS), ("ids", pa.list_(ids.type)), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("bases", pa.list_(pa.float64())), ("scores", pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
-
-
-_KNOWN = ("ids", "held", "n_tokens", "n_known", "bases", "scores")
-
-
-def _answers(rows: pa.Table, discount: float) -> pa.Table:
-    """Of one shard: per batch the documents' sums of log10(count + 1), of log10(count - discount) of known words, and their number."""
-    read = lambda name, kind: [np.frombuffer(x, kind) if x is not None else np.zeros(0, kind) for x in rows.column(name).to_pylist()]
-    keys, trained = read("keys", np.uint64), read("train", np.uint32)
-    lengths = np.array([len(k) for k in keys])
-    flat, n = np.concatenate(keys), np.concatenate(trained).astype(np.int64)
+        all_ids, all_texts = batch.column(0), batch.column(1)
+        sizes = [64 + (len(t.as_buffer()) if t.is_valid else 0) for t in all_texts]  # a row costs something too
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), *_of_documents(all_ids.type, "held", "sizes", "places")])
+        for a, b in pieces(sizes, block_bytes):
+            ids = all_ids.slice(a, b - a).to_pylist()
+            held = np.array([is_held_out(i) for i in ids])
+            hashes, n_words = [], []
+            for x, y in pieces(sizes[a:b], block_bytes >> 3):
+                h, doc = hashed_words([t.as_py() or b"" for t in all_texts.slice(a + x, y - x)], LOWER_BLANK)
+                hashes.append(h)
+                n_words.append(np.bincount(doc, minlength=y - x))
+            n_words = np.concatenate(n_words)
+            distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
+            counts = np.bincount(places, np.repeat(~held, n_words), len(distinct)).astype(np.int64)
+            shard = (distinct >> np.uint64(32)).astype(np.int64) * n_shards >> 32
+            block = f"{part}-{serial}"
+            rows = [{"shard": serial % n_shards, "block": block, "ids": ids, "held": packed(held), "sizes": packed(n_words), "places": packed(places)}]
+            rows += [{"shard": s, "block": block, "keys": distinct[i:j].tobytes(), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
+            serial += 1
+            yield _batch(rows, schema)
+
+
+def _answers(rows: pa.Table, n_shards: int, hot: int) -> pa.Table:
+    """Of one shard: every block's words with their number and count; the documents as they are; and a row of totals."""
+    asks, names = rows.to_pylist(), [k for k in rows.column_names if k not in ("keys", "counts")]
+    shard = asks[0]["shard"]
+    own = [r for r in asks if r["keys"] is not None]
+    keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
     distinct, where = np.unique(flat, return_inverse=True)
-    total = np.bincount(where, n, len(distinct)).astype(np.int64)
-    log, at = np.log10(total + 1.0)[where], total[where] > 0
-    less = np.log10(np.where(total > 0, total - discount, 1.0))[where]
-    out = {k: [] for k in ("chunk", "docs", "sums", "less", "known", *_KNOWN)}
-    know = [rows.column(k).to_pylist() for k in _KNOWN]
-    for i, (chunk, per, docs, counts) in enumerate(zip(rows.column("chunk").to_pylist(), read("per_key", np.uint32), read("docs", np.uint32), read("counts", np.uint32), strict=True)):
-        stop = int(lengths[: i + 1].sum()) if i == 0 else stop + int(lengths[i])
-        begin = stop - int(lengths[i])
-        if len(docs):
-            sums = np.bincount(docs, np.repeat(log[begin:stop], per) * counts)
-            known = np.bincount(docs, np.repeat(at[begin:stop], per) * counts)
-            there = np.flatnonzero(np.bincount(docs))
-            lower = np.bincount(docs, np.repeat(less[begin:stop], per) * counts)
-            values = there.astype(np.uint32).tobytes(), sums[there].tobytes(), lower[there].tobytes(), known[there].astype(np.uint32).tobytes()
+    total = np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(unpacked(r["counts"]) for r in own)]), len(distinct)).astype(np.int64)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.lexsort((distinct, -total))] = np.arange(len(distinct))  # frequent words have small numbers
+    number = np.where(total > 0, WORDS + rank * n_shards + shard, UNKNOWN)
+    ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+    for r, k, end in zip(own, keys, ends.tolist(), strict=True):
+        at = where[end - len(k) : end]
+        r["numbers"], r["totals"] = packed(number[at]), packed(total[at])
+    out = [{k: r.get(k) for k in (*names, "numbers", "totals")} for r in asks]
+    out.append({"shard": shard, "n": int(total.sum()), "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "hot": int((total > hot).sum())})
+    fields = [*(rows.schema.field(k) for k in names), ("numbers", pa.binary()), ("totals", pa.binary()), *((k, pa.int64()) for k in ("n", "v", "n1", "n2", "hot"))]
+    return pa.Table.from_pylist(out, schema=pa.schema(fields))
+
+
+class Counts:
+    """What is known of the whole training data: tokens, distinct ones, end tokens, and the root's discount."""
+
+    def __init__(self, n: int, v: int, ends: int, n1: int, n2: int) -> None:
+        self.n, self.v, self.ends = n, v, ends
+        self.discount = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
+
+    def root(self, total: np.ndarray) -> np.ndarray:
+        """Probabilities of tokens by their counts; of 0, that of any unknown word."""
+        return np.where(total > 0, np.maximum(total - self.discount, 1e-9), self.discount * self.v) / max(1, self.n)
+
+
+# Second exchange: tokens in their contexts.
+
+
+class Block:
+    """A block's tokens, ends included: number, count, place of the document, and the numbers of the DEPTH tokens before it."""
+
+    def __init__(self, rows: pa.Table, counts: Counts) -> None:
+        found = rows.to_pylist()
+        own = [r for r in found if r["ids"] is not None]
+        if len(own) != 1:
+            raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
+        self.name, self.ids, (self.held, sizes, places) = own[0]["block"], own[0]["ids"], (unpacked(own[0][k]) for k in ("held", "sizes", "places"))
+        self.held = self.held.astype(bool)
+        parts = sorted((r["shard"], r["numbers"], r["totals"]) for r in found if r["numbers"] is not None)
+        number, total = (np.concatenate([np.zeros(0, np.int64), *(unpacked(r[k]) for r in parts)]) for k in (1, 2))
+        n = len(sizes)
+        stop = np.cumsum(sizes + 1) - 1  # where the ends go
+        word = np.ones(len(places) + n, bool)
+        word[stop] = False
+        self.doc = np.repeat(np.arange(n), sizes + 1)
+        self.token, self.count = np.full(len(word), END), np.full(len(word), counts.ends)
+        self.token[word], self.count[word] = number[places], total[places]
+        first = np.repeat(stop - sizes, sizes + 1)
+        at = np.arange(len(word))
+        self.before = []
+        for k in range(1, DEPTH + 1):
+            back = at - k
+            self.before.append(np.where(back >= first, self.token[np.maximum(back, 0)], np.where(back == first - 1, END, NONE)))
+        self.before_count = np.where(at > first, self.count[np.maximum(at - 1, 0)], counts.ends)
+
+    def sums(self, values: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.bincount(self.doc[at], values, len(self.ids))
+
+
+def _groups(block: Block, at: np.ndarray, n_shards: int, hot: int) -> np.ndarray:
+    """The groups of the tokens: 0 and up by the nearest context word, below 0 those of hot words."""
+    near, total = block.before[0][at], block.before_count[at]
+    scattered = ((near * 0x9E3779B1) & 0xFFFFFFFF) * n_shards >> 32
+    deal = ((block.before[1][at] * 0x85EBCA6B) & 0xFFFFFFFF) * -(-total // hot) >> 32
+    return np.where(total > hot, -1 - ((near << 20) | deal), scattered)
+
+
+_EVENTS = ("pairs", "lengths", "contexts", "docs")
+
+
+def _events(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Table:
+    """Of one block: what is known of its documents, and its tokens by group."""
+    block = Block(rows, counts)
+    log = np.log10(counts.root(block.count))
+    goes = (block.before[0] != UNKNOWN) & (block.before_count >= LEAST)
+    known = {"n_tokens": block.sums(np.ones(len(block.doc))).astype(np.int64), "n_known": block.sums(block.count > 0).astype(np.int64), "bases": block.sums(np.log10(block.count + 1.0)), "scores": block.sums(log * ~goes)}
+    at = np.flatnonzero(goes)
+    group = _groups(block, at, n_shards, hot)
+    order = np.lexsort((block.token[at], block.before[0][at], group))
+    at, group = at[order], group[order]
+    out = [{"shard": sum(map(ord, block.name)) % n_shards, "block": block.name, "ids": block.ids, "held": packed(block.held)} | {k: v.tobytes() for k, v in known.items()}]
+    near, token = block.before[0][at], block.token[at]
+    for g, i, j in _cuts(group):
+        own = slice(i, j)
+        pair = np.flatnonzero(np.concatenate([[True], (near[own][1:] != near[own][:-1]) | (token[own][1:] != token[own][:-1])]))
+        of = at[own]
+        pairs = b"".join(len(p).to_bytes(4, "little") + p for p in (packed(x[pair]) for x in (near[own], token[own], block.count[of])))
+        context = b"".join(len(p).to_bytes(4, "little") + p for p in (packed(b[of]) for b in block.before[1:]))
+        row = (pairs, packed(np.diff(np.append(pair, j - i))), context, packed(block.doc[of] * 2 + block.held[block.doc[of]]))
+        out.append({"shard": g, "block": block.name} | dict(zip(_EVENTS, row, strict=True)))
+    fields = [("shard", pa.int64()), ("block", pa.string()), *((k, pa.binary()) for k in _EVENTS), rows.schema.field("ids"), *((k, pa.binary()) for k in ("held", *known))]
+    return pa.Table.from_pylist(out, schema=pa.schema(fields))
+
+
+def _split(data: bytes) -> list[np.ndarray]:
+    out, i = [], 0
+    while i < len(data):
+        n = int.from_bytes(data[i : i + 4], "little")
+        out.append(unpacked(data[i + 4 : i + 4 + n]))
+        i += 4 + n
+    return out
+
+
+def _hot_pairs(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Table:
+    """Of one block: its distinct pairs of a hot word and the next, by group, with training occurrences and the next word's count."""
+    block = Block(rows, counts)
+    at = np.flatnonzero(block.before_count > hot)
+    group = _groups(block, at, n_shards, hot)
+    order = np.lexsort((block.token[at], group))
+    at, group = at[order], group[order]
+    near, token, count, train = block.before[0][at], block.token[at], block.count[at], ~block.held[block.doc[at]]
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (token[1:] != token[:-1])])) if len(at) else np.zeros(0, np.int64)
+    n = np.add.reduceat(train.astype(np.int64), first) if len(at) else first
+    return pa.table({"shard": group[first], "near": near[first], "token": token[first], "count": count[first], "n": n})
+
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    """shard, token, n, total, distinct, gain: of each group of a hot word its next words, counted over all groups of the hot word."""
+    own = saved(pairs.groupBy("shard", "near", "token").agg(F.max("count").alias("count"), F.sum("n").alias("n")))
+    words = own.groupBy("near", "token").agg(F.max("count").alias("count"), F.sum("n").alias("n")).where("n > 0")
+    state = words.groupBy("near").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(F.col("n") * (F.log("n") - F.log("count"))).alias("gain"))
+    whole = own.withColumn("n", F.sum("n").over(Window.partitionBy("near", "token")))
+    return whole.join(state, "near").select("shard", "token", "n", "total", "distinct", "gain")
+
+
+def probabilities(before: list[np.ndarray], token: np.ndarray, count: np.ndarray, train: np.ndarray, counts: Counts, shared: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Of tokens in their contexts, all with a nearest context word of this group: builds the tree from those in train, and gives each one's probability.
+
+    before: the numbers of the tokens before, nearest first. count: the token's own count. shared: for a hot word, what is
+    counted over all its groups; token ascending.
+    """
+    p = counts.root(count)
+    words, word = np.unique(token, return_inverse=True)
+    rows, state = np.arange(len(token)), np.zeros(len(token), np.int64)
+    above_n, above_total = count, np.full(len(token), counts.n)
+    for depth, context in enumerate(before):
+        there = (context[rows] != UNKNOWN) & (context[rows] != NONE)
+        rows, state, above_n, above_total = (x[there] for x in (rows, state, above_n, above_total))
+        if not len(rows):
+            break
+        _, begin, state = np.unique(state * (int(context.max()) + 1) + context[rows], return_index=True, return_inverse=True)
+        _, first, entry = np.unique(state * len(words) + word[rows], return_index=True, return_inverse=True)
+        own, of, trained = len(begin), state[first], train[rows]
+        n, total = np.bincount(entry[trained], minlength=len(first)), np.bincount(state[trained], minlength=own)
+        if depth == 0 and shared is not None:
+            n = shared["n"][np.searchsorted(shared["token"], token[rows][first])]
+            total, distinct, gain = (np.full(own, shared[k][0]) for k in ("total", "distinct", "gain"))
         else:
-            values = None, None, None, None
-        for k, x in zip(out, (chunk, *values, *(c[i] for c in know)), strict=True):
-            out[k].append(x)
-    types = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), *(rows.schema.field(k).type for k in _KNOWN)]
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+            met = np.flatnonzero(n > 0)
+            distinct = np.bincount(of[met], minlength=own)
+            gain = np.bincount(of[met], n[met] * (np.log(n[met]) - np.log(above_n[first][met])), own)
+        gain = gain - total * (np.log(np.maximum(total, 1)) - np.log(np.maximum(above_total[begin], 1)))
+        kept = (total >= LEAST) & (gain >= DIVERGENCE_SUM + DIVERGENCE * distinct)
+        on = np.flatnonzero(kept[state])
+        at, s, total_ = rows[on], state[on], total[state[on]]
+        p[at] = np.maximum(n[entry[on]] - DISCOUNT, 0) / total_ + DISCOUNT * distinct[s] / total_ * p[at]
+        deeper = total[state] >= LEAST
+        above_n, above_total = n[entry][deeper], total[state][deeper]
+        rows, state = rows[deeper], state[deeper]
+    return p
+
+
+_KNOWN = ("n_tokens", "n_known", "bases", "scores")
+
+
+def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.Table:
+    """Of one group: each block's sums of log10 probabilities by document; and what is known of documents, as it is."""
+    found = rows.to_pylist()
+    own = [r for r in found if r["pairs"] is not None]
+    out = [{k: r.get(k) for k in ("block", "ids", "held", *_KNOWN)} for r in found if r["ids"] is not None]
+    if own:
+        lengths = [unpacked(r["lengths"]) for r in own]
+        near, token, count = (np.concatenate([np.repeat(x, n) for x, n in zip(part, lengths, strict=True)]) for part in zip(*(_split(r["pairs"]) for r in own), strict=True))
+        further = [np.concatenate(part) for part in zip(*(_split(r["contexts"]) for r in own), strict=True)]
+        docs = [unpacked(r["docs"]) for r in own]
+        shared = None
+        if hot is not None and hot.num_rows:
+            shared = {k: hot.column(k).to_numpy() for k in ("token", "n", "total", "distinct", "gain")}
+            order = np.argsort(shared["token"])
+            shared = {k: x[order] for k, x in shared.items()}
+        log = np.log10(probabilities([near, *further], token, count, np.concatenate(docs) & 1 == 0, counts, shared))
+        end = 0
+        for r, d in zip(own, docs, strict=True):
+            sums = np.bincount(d >> 1, log[end : end + len(d)])
+            there = np.flatnonzero(np.bincount(d >> 1))
+            out.append({"block": r["block"], "docs": packed(there), "sums": sums[there].tobytes()})
+            end += len(d)
+    fields = [("block", pa.string()), ("docs", pa.binary()), ("sums", pa.binary()), *(rows.schema.field(k) for k in ("ids", "held", *_KNOWN))]
+    return pa.Table.from_pylist(out, schema=pa.schema(fields))
+
+
+# Third exchange: back to the documents.
 
 
 def _combined(rows: pa.Table) -> pa.Table:
-    """Of one batch of documents: the sums over the shards."""
-    cols = {k: rows.column(k).to_pylist() for k in rows.column_names}
-    main = next(i for i, x in enumerate(cols["ids"]) if x is not None)
-    size = len(cols["ids"][main])
-    sums, less, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-    shares = sorted(x for x in zip(*(cols[k] for k in ("docs", "sums", "less", "known")), strict=True) if x[0] is not None)
-    for d, s, m, k in shares:
-        at = np.frombuffer(d, np.uint32)
-        sums[at] += np.frombuffer(s, np.float64)
-        less[at] += np.frombuffer(m, np.float64)
-        known[at] += np.frombuffer(k, np.uint32)
-    of = {k: np.array(cols[k][main]) for k in ("n_tokens", "n_known", "bases", "scores")}
-    # words that are neither frequent nor known: all tokens but the end and those found anywhere
-    values = cols["ids"][main], cols["held"][main], of["n_tokens"], of["n_known"] + known, of["bases"] + sums, of["scores"] + less, known
-    types = rows.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()
-    names = "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare_known"
-    return pa.table({k: pa.array(v, t) for k, v, t in zip(names, values, types, strict=True)})
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Of one block: the documents with their scores."""
+    found = rows.to_pylist()
+    own = [r for r in found if r["ids"] is not None]
+    if len(own) != 1:
+        raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
+    r = own[0]
+    score = np.frombuffer(r["scores"], np.float64).copy()
+    for docs, sums in sorted((x["docs"], x["sums"]) for x in found if x["docs"] is not None):
+        score[unpacked(docs)] += np.frombuffer(sums, np.float64)
+    columns = [pa.array(r["ids"], rows.schema.field("ids").type.value_type), pa.array(unpacked(r["held"]).astype(bool))]
+    columns += [np.frombuffer(r[k], t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("bases", np.float64))]
+    return pa.table([*columns, score], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    block_bytes and shard_tokens: how much text a block, and how many tokens a group has, about; results do not depend on them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind, n_shards = rows.schema["doc_id"].dataType.simpleString(), max(1, shards(spark) // 2)
-    tree = spark.sparkContext.broadcast(train(rows))
-    known = f"ids array<{kind}>, held array<boolean>, n_tokens array<long>, n_known array<long>, bases array<double>, scores array<double>"
-    asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, tree.value), f"shard int, chunk string, {', '.join(f'{k} binary' for k in _PARTS)}, {known}")
-    n, v, discount = tree.value.n, tree.value.v, tree.value.discount
-    answered = asked.groupBy("shard").applyInArrow(lambda rows: _answers(rows, discount), f"chunk string, docs binary, sums binary, less binary, known binary, {known}")
-    out = answered.groupBy("chunk").applyInArrow(_combined, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_known long")
-    log = lambda x: F.lit(float(np.log10(x)))
-    base = F.col("base") - F.col("n_tokens") * log(n + v + 1.0)
-    unknown = F.col("n_tokens") - F.col("n_known")
-    score = F.col("score") - F.col("rare_known") * log(max(1, n)) + unknown * log(discount * v / n if n else 1.0)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (score if n else base).alias("score"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    size, ends = rows.agg(input_bytes("text"), F.count_if(training)).first()
+    n_shards, hot = max(1, min(shards(spark), size >> 20), size // WORD_SHARD_BYTES), max(1, shard_tokens // 2)
+    documents = f"ids array<{kind}>, held binary, sizes binary, places binary"
+    asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, block_bytes), f"shard int, block string, keys binary, counts binary, {documents}")
+    answers = asked.groupBy("shard").applyInArrow(lambda rows: _answers(rows, n_shards, hot), f"shard int, block string, {documents}, numbers binary, totals binary, n long, v long, n1 long, n2 long, hot long")
+    with arrow_batches(spark):
+        answers = saved(answers)
+    n, v, n1, n2, hot_words = (x or 0 for x in answers.agg(*(F.sum(k) for k in ("n", "v", "n1", "n2", "hot"))).first())
+    counts = Counts(n + ends, v + (ends > 0), ends, n1, n2)
+    n_groups = max(1, min(shards(spark), size >> 20), 2 * counts.n // shard_tokens)
+    blocks = answers.where("block is not null").drop("n", "v", "n1", "n2", "hot").groupBy("block")
+    known = f"ids array<{kind}>, held binary, n_tokens binary, n_known binary, bases binary, scores binary"
+    events = blocks.applyInArrow(lambda rows: _events(rows, counts, n_groups, hot), f"shard long, block string, pairs binary, lengths binary, contexts binary, docs binary, {known}").groupBy("shard")
+    schema = f"block string, docs binary, sums binary, {known}"
+    if hot_words or ends > hot:
+        pairs = blocks.applyInArrow(lambda rows: _hot_pairs(rows, counts, n_groups, hot), "shard long, near long, token long, count long, n long")
+        scored = events.cogroup(saved(_shared(pairs)).groupBy("shard")).applyInArrow(lambda rows, shared: _scored(rows, counts, shared), schema)
+    else:
+        scored = events.applyInArrow(lambda rows: _scored(rows, counts), schema)
+    out = scored.groupBy("block").applyInArrow(_combined, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(counts.n + counts.v + 1.0)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") if counts.n else base).alias("score"))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

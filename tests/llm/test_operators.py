@@ -154,18 +154,80 @@ def test_language_model_base_and_gain(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_language_model(rows):
+    """Scores by an own suffix tree in dictionaries."""
+    sequences = [(i, WORD.findall(t.encode().translate(LOWER)) + ["end"]) for i, t in rows]
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows}
+    training = [w for i, w in sequences if not held[i]]
+    counts = collections.Counter(x for w in training for x in w)
+    n, v = sum(counts.values()), len(counts)
+    times = collections.Counter(c for x, c in counts.items() if x != "end")
+    d = min(0.95, max(0.1, times[1] / max(1, times[1] + 2 * times[2])))
+    states = collections.defaultdict(collections.Counter)
+    known = lambda x: x if counts[x] else None
+
+    def contexts(line, i):
+        for k in range(1, op4.DEPTH + 1):
+            own = tuple(known(x) for x in line[max(0, i - k) : i])
+            if len(own) < k or None in own:
+                return
+            yield own
+
+    for w in training:
+        line = ["end", *w]
+        for i in range(1, len(line)):
+            for c in contexts(line, i):
+                states[c][line[i]] += 1
+    kept = {}
+    for c, following in states.items():
+        total, above = sum(following.values()), states[c[1:]] if len(c) > 1 else counts
+        gain = sum(k * math.log(k / total / (above[x] / sum(above.values()))) for x, k in following.items())
+        if total >= op4.LEAST and gain >= op4.DIVERGENCE_SUM + op4.DIVERGENCE * len(following):
+            kept[c] = following, total
+    p = lambda x: (counts[x] - d if counts[x] else d * v) / n
+    out = []
+    for i, w in sequences:
+        line, score = ["end", *w], 0.0
+        for j in range(1, len(line)):
+            q = p(line[j])
+            for c in contexts(line, j):
+                if c in kept:
+                    following, total = kept[c]
+                    q = max(following[line[j]] - op4.DISCOUNT, 0) / total + op4.DISCOUNT * len(following) / total * q
+            score += math.log10(q)
+        out.append((i, score))
+    return out, kept
+
+
+def test_language_model_against_brute_force(spark, docs):
+    some = docs.where("doc_id % 3 = 1").select("doc_id", "text")
+    want, kept = brute_language_model(texts(some))
+    assert {len(c) for c in kept} == {1, 2, 3}
+    for shard_tokens in (1 << 20, 500):  # hot words are dealt to several groups in the second case
+        rows = op4.score_documents(some, block_bytes=20_000, shard_tokens=shard_tokens).collect()
+        assert sorted((r.doc_id, round(r.score, 6)) for r in rows) == sorted((i, round(s, 6)) for i, s in want)
+
+
+@pytest.mark.parametrize("text", ["'same words again'", "null", "concat('word ', id % 97, ' of ', id % 5)"])
+def test_language_model_loses_no_row_of_many_blocks(spark, text):
+    df = spark.range(0, 6_000, 1, 1).selectExpr("id as doc_id", f"cast({text} as string) as text")
+    rows = op4.score_documents(df, block_bytes=1 << 14).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6_000))
+    assert {(r.n_tokens, r.base_score, round(r.score, 9)) for r in rows} == {(r.n_tokens, r.base_score, round(r.score, 9)) for r in op4.score_documents(df).collect()}
+
+
 def test_language_model_is_a_distribution():
-    """Over frequent words, known rare words and the unknown one, in every context, probabilities sum to one."""
-    counts = np.array([5, 40, 30, 20])
-    n, v, d = 120, 12, 0.6
-    context = (1 << 32) | (op4.NONE << 16) | op4.NONE
-    deeper = (1 << 32) | (2 << 16) | op4.NONE
-    tree = op4.SuffixTree(np.array([7, 8, 9], np.uint64), counts, n, v, d, [(context, 1, np.array([2, 3]), np.array([10, 5]), 20), (deeper, 2, np.array([2]), np.array([4]), 6)])
-    rare = (120 - 95 - d * 8) / n + d * v / n  # eight rare words, and the unknown one
-    for c in (context, deeper, (3 << 32) | (op4.NONE << 16) | op4.NONE):
-        words = np.array([0, 1, 2, 3, op4.RARE], np.uint64)
-        p = 10 ** tree.score(np.full(5, c, np.uint64), words)
-        assert p[:4].sum() + p[4] * rare == pytest.approx(1)
+    """In every context, the probabilities of known words and the unknown one sum to one."""
+    rng, counts = np.random.default_rng(5), op4.Counts(400, 5, 100, 1, 1)
+    word, before = rng.integers(3, 7, 300), [np.full(300, 3), rng.integers(3, 5, 300), rng.integers(3, 5, 300)]
+    word = np.where(before[1] == 3, word, np.minimum(word, 4))
+    of = np.array([op4.END, 3, 4, 5, 6, op4.UNKNOWN])
+    count = {op4.END: 100, op4.UNKNOWN: 0} | {w: 75 for w in range(3, 7)}
+    for b, c in ((3, 3), (3, 4), (4, 4), (op4.NONE, op4.NONE)):
+        asked = [np.append(x, np.full(6, y)) for x, y in zip(before, (3, b, c), strict=True)]
+        token = np.append(word, of)
+        p = op4.probabilities(asked, token, np.array([count[x] for x in token.tolist()]), np.arange(306) < 300, counts)
+        assert p[300:].sum() == pytest.approx(1)
 
 
 def test_language_model_on_odd_tables(odd, empty):
