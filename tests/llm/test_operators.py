@@ -63,16 +63,62 @@ def test_html_never_fails(page):
     assert isinstance(op1.main_text(page), str)
 
 
+def article_of(page):
+    """The blocks that the generated page's article has."""
+    import html
+
+    inner = re.search(r"<article>(.*)</article>", page, re.S).group(1)
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?p>|</?h1>", inner))
+    return [p for p in parts if p]
+
+
+def test_html_needs_no_article_element(spark, sf):
+    right = found = wanted = 0
+    for r in table(spark, sf.replace("sf0.001", "sf0.01"), "pages").collect():
+        want = collections.Counter(article_of(r.html))
+        got = collections.Counter(op1.main_text(r.html.replace("article>", "div>")).split("\n"))
+        right, found, wanted = right + (want & got).total(), found + got.total(), wanted + want.total()
+    assert right > 0.97 * wanted and right > 0.97 * found
+
+
+BODY = "<p>" + "This is the text of a page that has all the words which are in it. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "first"),
+    [
+        (f'<div id="page" class="has-sidebar">{BODY}</div>', "This is"),
+        (f'<article class="recommended post">{BODY}</article>', "This is"),
+        (f'<article><div class="article-header"><h1>Title</h1></div>{BODY}</article>', "Title\nThis is"),
+        (f'<form runat="server"><h1>Title</h1>{BODY}</form>', "Title\nThis is"),
+        (f'{BODY}<div id="comments"><article class="comment-body">{BODY * 4}</article></div>', "This is"),
+    ],
+)
+def test_html_hints_do_not_swallow_the_text(page, first):
+    got = op1.main_text(page)
+    assert got.startswith(first) and got.count("This is") == 3 and got.endswith("in it.")
+
+
+@pytest.mark.parametrize("page", ["<a x " * 400_000, "<![CDATA[" * 220_000, "<div>" * 100_000 + "</b></p>" * 200_000, """<a "'>""" * 330_000, "<!--" * 500_000, '<i class="ad"><div>' + '<span class="ad">' * 60_000 + "</i>" * 200_000])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    op1.main_text(page)
+    assert time.process_time() - began < 6
+
+
+def test_html_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x", "a", 7, 2), (None, None, None, None, None)], "page_id long, html string, text string, n_chars int, label int")
+    assert op1.extract(df).columns == ["page_id", "label", "text", "n_chars"] and {(r.page_id, r.text, r.n_chars) for r in op1.extract(df).collect()} == {(1, op1.main_text("<p>x"), len(op1.main_text("<p>x"))), (None, "", 0)}
+
+
 def test_html_on_pages(spark, sf):
     pages = table(spark, sf, "pages")
     got = {r.page_id: r for r in op1.op1_html(spark, sf).collect()}
     assert len(got) == pages.count()
-    import html
-
     for r in pages.collect():
-        article = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
-        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?p>|</?h1>", article))
-        assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
+        assert got[r.page_id].text == "\n".join(article_of(r.html)) and got[r.page_id].n_chars == len(got[r.page_id].text)
     assert op1.extract(pages.where("false").select("page_id", "html")).count() == 0
 
 
