@@ -11,16 +11,17 @@ counts of occurrences, so the tree grows with the training data; neither words n
 Exchanges, all of packed arrays:
 1. A task cuts its documents into blocks of about BLOCK_BYTES of text and asks, by range of word hashes, for the counts of
    a block's distinct words. A range adds the counts up, names the words by number, and answers each block.
+   Words and their counts are put in order by block and written.
 2. A block now knows its base scores. It sends its tokens with their contexts, by the nearest context word: all contexts
    that end in a word, and all that follows them, are in one group, which builds that part of the tree and scores in it.
 3. The groups return each document's sums to its block.
-A word of more than half of SHARD_TOKENS occurrences is hot: its tokens are dealt to several groups by the word before it,
+A word of more than SHARD_TOKENS occurrences is hot: its tokens are dealt to several groups by the word before it,
 so contexts of two words or more stay whole; next words of the hot word alone are counted over its groups by a plain
 aggregation beforehand, and each group gets the counts that it needs.
 
 Defined cases: a null or empty text is the end token alone. A row is training data if crc32(doc_id as text) mod 7 is not
 2 (null: the empty text); without training rows every count is 0 and scores are those of the base. A very long text is one
-block, cut at white space while words are hashed. Repeated rows each count and are each reported. An empty table gives no
+block, cut at white space while words are hashed. Tied counts number words by their hashes; results do not depend on numbers. Repeated rows each count and are each reported. An empty table gives no
 rows. Other columns, whatever their names, are not read.
 """
 
@@ -40,7 +41,11 @@ DEPTH, LEAST = 3, 4
 #: Nats by which a context's next words differ from the shorter one's: over all occurrences, and for each of its distinct next words.
 DIVERGENCE_SUM, DIVERGENCE = 4.0, 0.5
 DISCOUNT = 0.75
-BLOCK_BYTES, WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 22, 1 << 24, 1 << 20
+#: A block has this much text at least, and more in larger inputs, so that what it sends to each group stays worth a row.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 22, 1 << 25
+WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 1 << 20
+#: Scores are summed as whole multiples of this, so that sums do not depend on their order.
+GRAIN = 2.0**-24
 #: Token numbers: the end token (before a text: its start), a word that is not in the training data, no token; words follow.
 END, UNKNOWN, NONE, WORDS = 0, 1, 2, 3
 
@@ -50,14 +55,19 @@ def is_held_out(doc_id) -> bool:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """Numbers of 0 or more in as few bytes each as the largest needs, after a byte that says how many."""
-    top = int(a.max()) if len(a) else 0
-    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
-    return bytes([size]) + a.astype(f"u{size}").tobytes()
+    """Numbers of 0 or more: how many, bytes each as the largest needs, and these byte by byte of all numbers, compressed."""
+    top = int(a.view(np.uint64).max()) if len(a) and a.dtype == np.int64 else int(a.max()) if len(a) else 0
+    size = next(s for s in range(1, 9) if top < 1 << 8 * s)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:size])
+    return len(a).to_bytes(5, "little") + bytes([size]) + (pa.compress(planes, "zstd", asbytes=True) if len(a) > 16 else planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    n, size = int.from_bytes(data[:5], "little"), data[5]
+    planes = pa.decompress(data[6:], n * size, "zstd", asbytes=True) if n > 16 else data[6:]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(planes, np.uint8).reshape(size, n).T
+    return out.view("<i8").reshape(-1)
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -105,7 +115,7 @@ def _requests(batches: Iterator[pa.RecordBatch], n_shards: int, block_bytes: int
             shard = (distinct >> np.uint64(32)).astype(np.int64) * n_shards >> 32
             block = f"{part}-{serial}"
             rows = [{"shard": serial % n_shards, "block": block, "ids": ids, "held": packed(held), "sizes": packed(n_words), "places": packed(places)}]
-            rows += [{"shard": s, "block": block, "keys": distinct[i:j].tobytes(), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
+            rows += [{"shard": s, "block": block, "keys": packed(distinct[i:j].view(np.int64)), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
             serial += 1
             yield _batch(rows, schema)
 
@@ -115,7 +125,7 @@ def _answers(rows: pa.Table, n_shards: int, hot: int) -> pa.Table:
     asks, names = rows.to_pylist(), [k for k in rows.column_names if k not in ("keys", "counts")]
     shard = asks[0]["shard"]
     own = [r for r in asks if r["keys"] is not None]
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
+    keys = [unpacked(r["keys"]).view(np.uint64) for r in own]
     flat = np.concatenate([np.zeros(0, np.uint64), *keys])
     distinct, where = np.unique(flat, return_inverse=True)
     total = np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(unpacked(r["counts"]) for r in own)]), len(distinct)).astype(np.int64)
@@ -132,6 +142,25 @@ def _answers(rows: pa.Table, n_shards: int, hot: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema(fields))
 
 
+_TOTALS = ("n", "v", "n1", "n2", "hot")
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Of one block: its documents with the numbers and counts of its words; totals go on as they are."""
+    found = rows.to_pylist()
+    if found[0]["block"] is None:
+        out = [{k: sum(r[k] for r in found) for k in _TOTALS}]
+    else:
+        own = [r for r in found if r["ids"] is not None]
+        if len(own) != 1:
+            raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
+        parts = sorted((r["shard"], r["numbers"], r["totals"]) for r in found if r["numbers"] is not None)
+        numbers, totals = (packed(np.concatenate([np.zeros(0, np.int64), *(unpacked(r[k]) for r in parts)])) for k in (1, 2))
+        out = [own[0] | {"numbers": numbers, "totals": totals}]
+    schema = pa.schema([rows.schema.field(k) for k in rows.column_names if k != "shard"])
+    return pa.Table.from_pylist([{k: r.get(k) for k in schema.names} for r in out], schema=schema)
+
+
 class Counts:
     """What is known of the whole training data: tokens, distinct ones, end tokens, and the root's discount."""
 
@@ -150,15 +179,10 @@ class Counts:
 class Block:
     """A block's tokens, ends included: number, count, place of the document, and the numbers of the DEPTH tokens before it."""
 
-    def __init__(self, rows: pa.Table, counts: Counts) -> None:
-        found = rows.to_pylist()
-        own = [r for r in found if r["ids"] is not None]
-        if len(own) != 1:
-            raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
-        self.name, self.ids, (self.held, sizes, places) = own[0]["block"], own[0]["ids"], (unpacked(own[0][k]) for k in ("held", "sizes", "places"))
+    def __init__(self, row: dict, counts: Counts) -> None:
+        self.name, self.ids = row["block"], row["ids"]
+        self.held, sizes, places, number, total = (unpacked(row[k]) for k in ("held", "sizes", "places", "numbers", "totals"))
         self.held = self.held.astype(bool)
-        parts = sorted((r["shard"], r["numbers"], r["totals"]) for r in found if r["numbers"] is not None)
-        number, total = (np.concatenate([np.zeros(0, np.int64), *(unpacked(r[k]) for r in parts)]) for k in (1, 2))
         n = len(sizes)
         stop = np.cumsum(sizes + 1) - 1  # where the ends go
         word = np.ones(len(places) + n, bool)
@@ -186,15 +210,25 @@ def _groups(block: Block, at: np.ndarray, n_shards: int, hot: int) -> np.ndarray
     return np.where(total > hot, -1 - ((near << 20) | deal), scattered)
 
 
+def grains(log: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities, as multiples of GRAIN below 0."""
+    return np.rint(log / -GRAIN).astype(np.int64)
+
+
 _EVENTS = ("pairs", "lengths", "contexts", "docs")
 
 
-def _events(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Table:
-    """Of one block: what is known of its documents, and its tokens by group."""
-    block = Block(rows, counts)
+def _events(batches: Iterator[pa.RecordBatch], counts: Counts, n_shards: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Of each block: what is known of its documents, and its tokens by group."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _events_of(Block(row, counts), batch.schema.field("ids"), counts, n_shards, hot)
+
+
+def _events_of(block: Block, ids: pa.Field, counts: Counts, n_shards: int, hot: int) -> pa.RecordBatch:
     log = np.log10(counts.root(block.count))
     goes = (block.before[0] != UNKNOWN) & (block.before_count >= LEAST)
-    known = {"n_tokens": block.sums(np.ones(len(block.doc))).astype(np.int64), "n_known": block.sums(block.count > 0).astype(np.int64), "bases": block.sums(np.log10(block.count + 1.0)), "scores": block.sums(log * ~goes)}
+    known = {"n_tokens": block.sums(np.ones(len(block.doc))).astype(np.int64), "n_known": block.sums(block.count > 0).astype(np.int64), "bases": block.sums(np.log10(block.count + 1.0)), "scores": block.sums(grains(log) * ~goes).astype(np.int64)}
     at = np.flatnonzero(goes)
     group = _groups(block, at, n_shards, hot)
     order = np.lexsort((block.token[at], block.before[0][at], group))
@@ -209,8 +243,8 @@ def _events(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Table
         context = b"".join(len(p).to_bytes(4, "little") + p for p in (packed(b[of]) for b in block.before[1:]))
         row = (pairs, packed(np.diff(np.append(pair, j - i))), context, packed(block.doc[of] * 2 + block.held[block.doc[of]]))
         out.append({"shard": g, "block": block.name} | dict(zip(_EVENTS, row, strict=True)))
-    fields = [("shard", pa.int64()), ("block", pa.string()), *((k, pa.binary()) for k in _EVENTS), rows.schema.field("ids"), *((k, pa.binary()) for k in ("held", *known))]
-    return pa.Table.from_pylist(out, schema=pa.schema(fields))
+    fields = [("shard", pa.int64()), ("block", pa.string()), *((k, pa.binary()) for k in _EVENTS), ids, *((k, pa.binary()) for k in ("held", *known))]
+    return _batch(out, pa.schema(fields))
 
 
 def _split(data: bytes) -> list[np.ndarray]:
@@ -222,9 +256,14 @@ def _split(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _hot_pairs(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Table:
-    """Of one block: its distinct pairs of a hot word and the next, by group, with training occurrences and the next word's count."""
-    block = Block(rows, counts)
+def _hot_pairs(batches: Iterator[pa.RecordBatch], counts: Counts, n_shards: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Of each block: its distinct pairs of a hot word and the next, by group, with training occurrences and the next word's count."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _hot_pairs_of(Block(row, counts), n_shards, hot)
+
+
+def _hot_pairs_of(block: Block, n_shards: int, hot: int) -> pa.RecordBatch:
     at = np.flatnonzero(block.before_count > hot)
     group = _groups(block, at, n_shards, hot)
     order = np.lexsort((block.token[at], group))
@@ -232,7 +271,7 @@ def _hot_pairs(rows: pa.Table, counts: Counts, n_shards: int, hot: int) -> pa.Ta
     near, token, count, train = block.before[0][at], block.token[at], block.count[at], ~block.held[block.doc[at]]
     first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (token[1:] != token[:-1])])) if len(at) else np.zeros(0, np.int64)
     n = np.add.reduceat(train.astype(np.int64), first) if len(at) else first
-    return pa.table({"shard": group[first], "near": near[first], "token": token[first], "count": count[first], "n": n})
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (group[first], near[first], token[first], count[first], n)], names=["shard", "near", "token", "count", "n"])
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
@@ -299,12 +338,11 @@ def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.T
             shared = {k: hot.column(k).to_numpy() for k in ("token", "n", "total", "distinct", "gain")}
             order = np.argsort(shared["token"])
             shared = {k: x[order] for k, x in shared.items()}
-        log = np.log10(probabilities([near, *further], token, count, np.concatenate(docs) & 1 == 0, counts, shared))
+        grain = grains(np.log10(probabilities([near, *further], token, count, np.concatenate(docs) & 1 == 0, counts, shared)))
         end = 0
         for r, d in zip(own, docs, strict=True):
-            sums = np.bincount(d >> 1, log[end : end + len(d)])
-            there = np.flatnonzero(np.bincount(d >> 1))
-            out.append({"block": r["block"], "docs": packed(there), "sums": sums[there].tobytes()})
+            there, at = np.unique(d >> 1, return_inverse=True)
+            out.append({"block": r["block"], "docs": packed(there), "sums": packed(np.bincount(at, grain[end : end + len(d)]).astype(np.int64))})
             end += len(d)
     fields = [("block", pa.string()), ("docs", pa.binary()), ("sums", pa.binary()), *(rows.schema.field(k) for k in ("ids", "held", *_KNOWN))]
     return pa.Table.from_pylist(out, schema=pa.schema(fields))
@@ -320,15 +358,16 @@ def _combined(rows: pa.Table) -> pa.Table:
     if len(own) != 1:
         raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
     r = own[0]
-    score = np.frombuffer(r["scores"], np.float64).copy()
-    for docs, sums in sorted((x["docs"], x["sums"]) for x in found if x["docs"] is not None):
-        score[unpacked(docs)] += np.frombuffer(sums, np.float64)
+    grain = np.frombuffer(r["scores"], np.int64).copy()
+    for x in found:
+        if x["docs"] is not None:
+            grain[unpacked(x["docs"])] += unpacked(x["sums"])
     columns = [pa.array(r["ids"], rows.schema.field("ids").type.value_type), pa.array(unpacked(r["held"]).astype(bool))]
     columns += [np.frombuffer(r[k], t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("bases", np.float64))]
-    return pa.table([*columns, score], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+    return pa.table([*columns, grain * -GRAIN], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     block_bytes and shard_tokens: how much text a block, and how many tokens a group has, about; results do not depend on them."""
@@ -337,24 +376,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
     size, ends = rows.agg(input_bytes("text"), F.count_if(training)).first()
-    n_shards, hot = max(1, min(shards(spark), size >> 20), size // WORD_SHARD_BYTES), max(1, shard_tokens // 2)
+    n_shards, hot = max(1, min(shards(spark), size >> 20), size // WORD_SHARD_BYTES), max(1, shard_tokens)
+    block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, int(100 * size**0.5)))
     documents = f"ids array<{kind}>, held binary, sizes binary, places binary"
+    words = f"block string, {documents}, numbers binary, totals binary, {', '.join(f'{k} long' for k in _TOTALS)}"
     asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, block_bytes), f"shard int, block string, keys binary, counts binary, {documents}")
-    answers = asked.groupBy("shard").applyInArrow(lambda rows: _answers(rows, n_shards, hot), f"shard int, block string, {documents}, numbers binary, totals binary, n long, v long, n1 long, n2 long, hot long")
+    answers = asked.groupBy("shard").applyInArrow(lambda rows: _answers(rows, n_shards, hot), f"shard int, {words}")
     with arrow_batches(spark):
-        answers = saved(answers)
-    n, v, n1, n2, hot_words = (x or 0 for x in answers.agg(*(F.sum(k) for k in ("n", "v", "n1", "n2", "hot"))).first())
+        answers = saved(answers.groupBy("block").applyInArrow(_merged, words))
+    n, v, n1, n2, hot_words = (x or 0 for x in answers.agg(*(F.sum(k) for k in _TOTALS)).first())
     counts = Counts(n + ends, v + (ends > 0), ends, n1, n2)
     n_groups = max(1, min(shards(spark), size >> 20), 2 * counts.n // shard_tokens)
-    blocks = answers.where("block is not null").drop("n", "v", "n1", "n2", "hot").groupBy("block")
+    blocks = answers.where("block is not null").drop(*_TOTALS)
     known = f"ids array<{kind}>, held binary, n_tokens binary, n_known binary, bases binary, scores binary"
-    events = blocks.applyInArrow(lambda rows: _events(rows, counts, n_groups, hot), f"shard long, block string, pairs binary, lengths binary, contexts binary, docs binary, {known}").groupBy("shard")
+    events = blocks.mapInArrow(lambda batches: _events(batches, counts, n_groups, hot), f"shard long, block string, pairs binary, lengths binary, contexts binary, docs binary, {known}").groupBy("shard")
     schema = f"block string, docs binary, sums binary, {known}"
-    if hot_words or ends > hot:
-        pairs = blocks.applyInArrow(lambda rows: _hot_pairs(rows, counts, n_groups, hot), "shard long, near long, token long, count long, n long")
-        scored = events.cogroup(saved(_shared(pairs)).groupBy("shard")).applyInArrow(lambda rows, shared: _scored(rows, counts, shared), schema)
-    else:
-        scored = events.applyInArrow(lambda rows: _scored(rows, counts), schema)
+    with arrow_batches(spark, 2):  # a row is a whole block
+        if hot_words or ends > hot:
+            pairs = blocks.mapInArrow(lambda batches: _hot_pairs(batches, counts, n_groups, hot), "shard long, near long, token long, count long, n long")
+            scored = events.cogroup(saved(_shared(pairs)).groupBy("shard")).applyInArrow(lambda rows, shared: _scored(rows, counts, shared), schema)
+        else:
+            scored = events.applyInArrow(lambda rows: _scored(rows, counts), schema)
+        scored = saved(scored)
     out = scored.groupBy("block").applyInArrow(_combined, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(counts.n + counts.v + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") if counts.n else base).alias("score"))
