@@ -59,11 +59,30 @@ def input_bytes(text_col: str) -> Column:
     return F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches between the JVM and Python hold rows rows at most from now on: whole texts in them are what executors have in memory twice."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def fresh(*names: str) -> list[str]:
+    """Column names that no table of a caller has."""
+    tag = uuid.uuid4().hex
+    return [f"{name}_{tag}" for name in names]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+#: Keys that make up more than one in this many rows join by broadcast: no more than this many can.
+HOT_KEYS = 4096
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, whose keys are distinct, on keys; weight: how many rows have the key. Hot keys are broadcast, so that none gathers in a task."""
+    hot = keyed.agg(F.sum(weight)).first()[0] or 0
+    heavy = keyed.where(F.col(weight) > hot / HOT_KEYS).drop(weight)
+    light = keyed.where(F.col(weight) <= hot / HOT_KEYS).drop(weight)
+    if hot < HOT_KEYS:  # every key would be hot, and there are few rows
+        return rows.join(keyed.drop(weight), keys, how)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
 def shards(spark: SparkSession) -> int:

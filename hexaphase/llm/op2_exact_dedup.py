@@ -7,8 +7,10 @@ counts. Fingerprints with a count above one route their rows to byte verificatio
 that a collision of fingerprints cannot join two texts.
 
 Defined cases: a null text counts as empty, and all empty or blank texts are one group. Rows with equal text, equal
-length and equal doc_id are alike: each is reported, and each is kept if that id is kept; drop_exact_duplicates() leaves one of them. Null doc_ids sort last. An
-empty table gives no rows. Columns other than the id and the text, whatever their names, are not read.
+length and equal doc_id are alike: each is reported, and each is kept if that id is kept; drop_exact_duplicates() leaves one
+of them. Of equally long texts the smallest doc_id stays; null doc_ids sort last. Very long texts are handled whole, by the
+JVM. An empty table gives no rows. Columns other than the id and the text, whatever their names, are not read, and
+drop_exact_duplicates() returns them as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, shards, table
+from .common import SPACE, columns, fresh, join_keyed, saved, shards, table
 
 
 class CountingQuotientFilter:
@@ -53,17 +55,31 @@ class CountingQuotientFilter:
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], bits: int) -> CountingQuotientFilter:
         keys, counts = (np.concatenate(x) for x in zip(*(f.items() for f in filters), strict=True))
+        # each filter's items ascend: a stable sort of them end to end merges those runs, without ordering any anew
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return cls.build(keys[first], np.add.reduceat(counts, first), bits)
 
     def dump(self) -> dict[str, bytes]:
-        return {k: getattr(self, k).tobytes() for k in ("quotients", "runs", "remainders", "counts")}
+        """Numbers take as many bytes as the largest of their kind needs."""
+        return {"quotients": self.quotients.tobytes()} | {k: _narrow(getattr(self, k)) for k in ("runs", "remainders", "counts")}
 
     @classmethod
     def load(cls, bits: int, quotients: bytes, runs: bytes, remainders: bytes, counts: bytes) -> CountingQuotientFilter:
-        return cls(bits, np.frombuffer(quotients, np.uint8), np.frombuffer(runs, np.uint32), np.frombuffer(remainders, np.uint64), np.frombuffer(counts, np.uint64))
+        return cls(bits, np.frombuffer(quotients, np.uint8), *map(_wide, (runs, remainders, counts)))
+
+
+def _narrow(a: np.ndarray) -> bytes:
+    size = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    size = data[0]
+    out = np.zeros(((len(data) - 1) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    return out.view("<u8").reshape(-1)
 
 
 _PARTS = ("quotients", "runs", "remainders", "counts")
@@ -132,7 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
     classes = rows.join(repeated, "fp", "left_semi").groupBy("fp", "norm").agg(best, F.count("*").alias("group_size"))
     classes = saved(classes.select("fp", F.sha2("norm", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.m")).alias("keep_n"), "group_size"))
-    out = light.join(classes, ["fp", "sha"], "left")
+    out = join_keyed(light, classes.withColumn("rows", F.col("group_size")), ["fp", "sha"], "rows", "left")
     single = F.col("group_size").isNull()
     return out.select(
         "doc_id",
@@ -146,19 +162,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows alike in id and text, one stays: the first by its other columns."""
-    found = saved(exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"), "kept"))
-    ids = found.groupBy("_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
-    gone = saved(ids.where("stay = 0").select("_id"))  # saved, so that its size is known when the join is planned
-    care = saved(ids.where("stay > 0 and rows > 1").select("_id"))  # ids of several rows: as good as none where doc_id names a row
-    by_id = docs[id_col].eqNullSafe(F.col("_id"))
+    i, n, sha, place, rows, stay = fresh("i", "n", "sha", "place", "rows", "stay")
+    found = saved(exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias(i), F.col("n_chars").alias(n), F.col("text_sha256").alias(sha), "kept"))
+    ids = found.groupBy(i).agg(F.count("*").alias(rows), F.count_if("kept").alias(stay))
+    gone = saved(ids.where(F.col(stay) == 0).select(i))  # saved, so that its size is known when the join is planned
+    care = saved(ids.where((F.col(stay) > 0) & (F.col(rows) > 1)).select(i))  # ids of several rows: as good as none where doc_id names a row
+    by_id = docs[id_col].eqNullSafe(F.col(i))
     single = docs.join(gone.union(care), by_id, "left_anti")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own_i, own_n, own_sha, care_i = fresh("own_i", "own_n", "own_sha", "care_i")
     named = docs.join(care, by_id, "left_semi")
-    named = named.withColumns({"_id_": F.col(id_col), "_n_": F.length(text).cast("long"), "_sha_": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
-    stay = found.where("kept").select("_id", "_n", "_sha").join(care.withColumnRenamed("_id", "_c"), F.col("_id").eqNullSafe(F.col("_c")), "left_semi").distinct()
-    named = named.join(stay, F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_n_") == F.col("_n")) & (F.col("_sha_") == F.col("_sha")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id_", "_n_", "_sha_").orderBy(*docs.columns))
-    return single.unionByName(named.withColumn("_place", place).where("_place = 1").select(*docs.columns))
+    named = named.withColumns({own_i: F.col(id_col), own_n: F.length(text).cast("long"), own_sha: F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
+    kept = found.where("kept").select(i, n, sha).join(care.withColumnRenamed(i, care_i), F.col(i).eqNullSafe(F.col(care_i)), "left_semi").distinct()
+    named = named.join(kept, F.col(own_i).eqNullSafe(F.col(i)) & (F.col(own_n) == F.col(n)) & (F.col(own_sha) == F.col(sha)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(own_i, own_n, own_sha).orderBy(*columns(docs)))
+    return single.unionByName(named.withColumn(place, first).where(F.col(place) == 1).select(*columns(docs)))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

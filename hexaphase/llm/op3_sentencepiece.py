@@ -11,8 +11,9 @@ few characters and kept. Characters without a piece become their UTF-8 bytes.
 Texts are cut where no merge can reach: at a blank, and between two characters that stand side by side in no piece.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text. Decoding undoes encoding exactly, save that
-U+2581, which the vocabulary uses for a blank, comes back as one. Invalid bytes decode to U+FFFD. Repeated rows are
-each encoded; an empty table gives no rows; other columns are not read. No tokenizer is trained.
+U+2581, which the vocabulary uses for a blank, comes back as one. Invalid bytes decode to U+FFFD. Of paths of equal
+score (ties) the one with the earlier merge wins, as in the library. A very long text, or word, is encoded whole. Repeated rows
+are each encoded; an empty table gives no rows; other columns, whatever their names, are not read. No tokenizer is trained.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, table
+from .common import fresh, mix, pieces, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -260,7 +261,7 @@ class Codec:
 def tokenize(docs: DataFrame, text_col: str = "text", model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, and: ids array<int>, n_tokens, decoded_sha256 (of the text that the ids decode to), round_trip (it is the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).alias(fresh("text")[0]))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>", "n_tokens long", "decoded_sha256 string", "round_trip boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

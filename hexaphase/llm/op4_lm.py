@@ -43,9 +43,9 @@ DIVERGENCE_SUM, DIVERGENCE = 4.0, 0.5
 DISCOUNT = 0.75
 #: A block has this much text at least, and more in larger inputs, so that what it sends to each group stays worth a row.
 BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 22, 1 << 25
-WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 1 << 20
+WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 3 << 18
 #: Scores are summed as whole multiples of this, so that sums do not depend on their order.
-GRAIN = 2.0**-24
+GRAIN = 2.0**-20
 #: Token numbers: the end token (before a text: its start), a word that is not in the training data, no token; words follow.
 END, UNKNOWN, NONE, WORDS = 0, 1, 2, 3
 
@@ -96,28 +96,36 @@ def _requests(batches: Iterator[pa.RecordBatch], n_shards: int, block_bytes: int
     """Per block: a row of its documents and the places of their words, and per shard its distinct words with their training counts."""
     from pyspark import TaskContext
 
-    part, serial = TaskContext.get().partitionId(), 0
+    part, serial, ids, texts, total, kind = TaskContext.get().partitionId(), 0, [], [], 0, None
     for batch in batches:
-        all_ids, all_texts = batch.column(0), batch.column(1)
-        sizes = [64 + (len(t.as_buffer()) if t.is_valid else 0) for t in all_texts]  # a row costs something too
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), *_of_documents(all_ids.type, "held", "sizes", "places")])
-        for a, b in pieces(sizes, block_bytes):
-            ids = all_ids.slice(a, b - a).to_pylist()
-            held = np.array([is_held_out(i) for i in ids])
-            hashes, n_words = [], []
-            for x, y in pieces(sizes[a:b], block_bytes >> 3):
-                h, doc = hashed_words([t.as_py() or b"" for t in all_texts.slice(a + x, y - x)], LOWER_BLANK)
-                hashes.append(h)
-                n_words.append(np.bincount(doc, minlength=y - x))
-            n_words = np.concatenate(n_words)
-            distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
-            counts = np.bincount(places, np.repeat(~held, n_words), len(distinct)).astype(np.int64)
-            shard = (distinct >> np.uint64(32)).astype(np.int64) * n_shards >> 32
-            block = f"{part}-{serial}"
-            rows = [{"shard": serial % n_shards, "block": block, "ids": ids, "held": packed(held), "sizes": packed(n_words), "places": packed(places)}]
-            rows += [{"shard": s, "block": block, "keys": packed(distinct[i:j].view(np.int64)), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
-            serial += 1
-            yield _batch(rows, schema)
+        kind = batch.schema.field(0).type
+        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            size = 64 + (len(t.as_buffer()) if t.is_valid else 0)  # a row costs something too
+            if ids and total + size > block_bytes:
+                yield _block(f"{part}-{serial}", ids, texts, n_shards, kind)
+                serial, ids, texts, total = serial + 1, [], [], 0
+            ids.append(i.as_py())
+            texts.append(t.as_py() or b"")
+            total += size
+    if ids:
+        yield _block(f"{part}-{serial}", ids, texts, n_shards, kind)
+
+
+def _block(name: str, ids: list, texts: list[bytes], n_shards: int, kind: pa.DataType) -> pa.RecordBatch:
+    held = np.array([is_held_out(i) for i in ids])
+    hashes, n_words = [], []
+    for x, y in pieces([len(t) for t in texts], 1 << 19):
+        h, doc = hashed_words(texts[x:y], LOWER_BLANK)
+        hashes.append(h)
+        n_words.append(np.bincount(doc, minlength=y - x))
+    n_words = np.concatenate(n_words)
+    distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(places, np.repeat(~held, n_words), len(distinct)).astype(np.int64)
+    shard = (distinct >> np.uint64(32)).astype(np.int64) * n_shards >> 32
+    rows = [{"shard": sum(map(ord, name)) % n_shards, "block": name, "ids": ids, "held": packed(held), "sizes": packed(n_words), "places": packed(places)}]
+    rows += [{"shard": s, "block": name, "keys": packed(distinct[i:j].view(np.int64)), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), *_of_documents(kind, "held", "sizes", "places")])
+    return _batch(rows, schema)
 
 
 def _answers(rows: pa.Table, n_shards: int, hot: int) -> pa.Table:
@@ -397,8 +405,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             scored = events.cogroup(saved(_shared(pairs)).groupBy("shard")).applyInArrow(lambda rows, shared: _scored(rows, counts, shared), schema)
         else:
             scored = events.applyInArrow(lambda rows: _scored(rows, counts), schema)
-        scored = saved(scored)
-    out = scored.groupBy("block").applyInArrow(_combined, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+        out = saved(scored.groupBy("block").applyInArrow(_combined, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"))
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(counts.n + counts.v + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") if counts.n else base).alias("score"))
 

@@ -15,8 +15,9 @@ Components: the smallest id spreads along links by alternating large-star and sm
 folder, until nothing changes.
 
 Defined cases: a null or empty text has the fingerprint zero and links like any other; with one or two words the whole
-sequence is hashed. Repeated rows are each reported. Null doc_ids are reported, and count as the largest ids. An empty
-table gives no rows. Other columns are not read.
+sequence is hashed. Very long texts are hashed whole, in pieces. A bit set in just half of the hashes is 0. Repeated rows are
+each reported. Null doc_ids are reported, and count as the largest ids. An empty table gives no rows. Other columns, whatever
+their names, are not read, and drop_near_duplicates() returns them as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BLANK, saved, table
+from .common import LOWER_BLANK, join_keyed, saved, table
 
 SHINGLE, MAX_BITS = 3, 3
 HALF = 16
@@ -109,13 +110,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id."""
     fps = saved(fingerprints(docs, id_col, text_col))
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")))
     roots = saved(components(links(classes)).withColumnRenamed("node", "fp"))
     linked = roots.join(classes, "fp").select("fp", "root", "id")
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    return fps.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = saved(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"), "rows"))
+    return join_keyed(fps, classes, ["fp"], "rows").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

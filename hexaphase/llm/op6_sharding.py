@@ -10,8 +10,9 @@ and reruns agree.
 
 Only the table of bucket totals, of as many rows as there are buckets, is broadcast or meets in one task.
 
-Defined cases: a null text has size 1 and checksum 0. Rows alike in id and text take consecutive numbers. Null ids are
-ids. An empty table gives no rows. Other columns, whatever their names, are not read.
+Defined cases: a null or empty text has size 1 and checksum 0; a very long one counts whole. Rows alike in id and text (ties)
+take consecutive numbers, however many they are. Null ids are ids. An empty table gives no rows. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKETS = 4096
+RUN = 4096
 ROUNDS = 6
 #: At most rows - 1 numbers of the grid lie outside the range, so this many walks end surely for up to WALKS**2 rows; beyond, one walk goes on with odds of less than 1 / WALKS, and all of them with less than WALKS**-WALKS.
 WALKS = 64
@@ -69,6 +71,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     light = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     entries = light.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_rows_alike"))
     out = numbered(entries, ["doc_id", "size", "text_crc32"], "_rows_alike", seed)
+    # an entry of very many rows alike is cut into runs first, which spread over tasks
+    runs = out.where(f"_rows_alike > {RUN}").withColumn("_r", F.explode(F.expr(f"sequence(0L, (_rows_alike - 1) div {RUN})")))
+    runs = runs.withColumn("_rows_alike", F.expr(f"least({RUN}, _rows_alike - _r * {RUN})")).withColumn("first", F.expr(f"first + _r * {RUN}")).repartition("_r", "first")
+    out = out.where(f"_rows_alike <= {RUN}").unionByName(runs.drop("_r"))
     out = out.withColumn("number", F.explode(F.expr("sequence(first, first + _rows_alike - 1)")))
     out = permuted(out, "number", "total", seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.expr(f"cast(place % {shards} as int)").alias("shard"), F.expr(f"place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "number")

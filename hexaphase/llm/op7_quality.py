@@ -10,10 +10,10 @@ Only the fit reads labels, and only of rows whose crc32(doc_id as text) mod 4 is
 most in expectation, chosen by a hash of doc_id. Scores read texts alone. The fit is one task over that bounded sample;
 the model (a few MB, whatever the input) is broadcast.
 
-Defined cases: a null or empty text gets the score of the zero vector. Several labels of a doc_id count by majority; null
-labels and labels without a document do not count. With no labels, or labels of one kind only, the score of every text
-is their share of ones, drawn towards a half. Repeated rows are each scored. Other columns, whatever their names, are
-not read.
+Defined cases: a null or empty text gets the score of the zero vector; a very long one is read whole. Several labels of a
+doc_id count by majority, and a tie as 1; null labels and labels without a document do not count. With no labels, or labels of one kind only, the score of every text
+is their share of ones, drawn towards a half. Repeated rows are each scored. An empty table gives no rows. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", F.col(text_col).alias("_text"), "_y")
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(known), texts["_i"] == known["_id"]).select("_id", "_text", "_y")
     model = rows.repartition(1).mapInArrow(_fit, "name string, kind string, shape array<long>, data binary").collect()
     if not model:  # no labelled row has a document
         return {"context": np.zeros((_SIZE, DIM), np.float16)} | Network.fit(np.zeros((0, 2 * DIM)), np.zeros(0)).parts
@@ -181,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", to: str = "score") -> DataFrame:
-    """docs with a column more: the probability of label 1."""
+    """docs with a column more, or in place of one of that name: the probability of label 1."""
+    docs = docs.drop(to) if to in docs.columns and to != text_col else docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType([*docs.schema.fields, StructField(to, DoubleType(), False)])
     at = docs.columns.index(text_col)

@@ -14,7 +14,8 @@ is completed after the tasks' results have been written, from the few boundary r
 
 Defined cases: a null or empty text has no terms; its fingerprint is all zeros, and it is like another empty text only.
 Null doc_ids come after all others. Rows of equal doc_id follow in ascending order of text. A lone row is its own next.
-Repeated rows are each reported; an empty table gives no rows; other columns are not read.
+A very long text is sampled whole, in pieces; of equal draws (ties) the smaller term hash wins. Repeated rows are each reported;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

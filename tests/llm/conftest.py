@@ -19,8 +19,8 @@ def odd(spark):
         (10, "ab" * 400, "en", "é", 800),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("score", "fp", "hash", "_text", "shard", "bucket", "size", "s", "n"):
-        df = df.selectExpr("*", f"'clash' as {name}")
+    for name in ("score", "fp", "hash", "_text", "shard", "bucket", "size", "s", "n", "_id", "_y", "_n", "_sha", "_place", "_times", "_h", "_gone", "rows", "kept", "stay", "node", "root", "id", "target", "start", "block", "html", "a.b"):
+        df = df.selectExpr("*", f"'clash' as `{name}`")
     return df.repartition(3)
 
 
