@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mix, pieces, saved, shards, small_batches, table
+from .common import RangeHash, arrow_batches, mix, pieces, saved, shards, table
 
 LENGTH, GRAM = 100, 40
 CHUNK_BYTES = 1 << 19
@@ -346,10 +346,10 @@ def marked_runs(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes: kept, the bytes that stay, too."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("_t").alias("hash"), F.col("_t").cast("binary").alias("text"))
-    marks = marked_runs(rows.select("doc", "hash", "text"))
+    with arrow_batches(docs.sparkSession):
+        marks = saved(marked_runs(rows.select("doc", "hash", "text")))
     shard = F.expr(_SHARD.format(n=shards(docs.sparkSession)))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_bytes else 4]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)]

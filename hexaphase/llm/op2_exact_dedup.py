@@ -49,7 +49,7 @@ class CountingQuotientFilter:
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         width = self.quotient_bits(len(self.remainders), self.bits)
-        q = np.repeat(np.flatnonzero(np.unpackbits(self.quotients)[: 1 << width]).astype(np.uint64), self.runs)
+        q = np.repeat(np.flatnonzero(np.unpackbits(self.quotients)[: 1 << width]).astype(np.uint64), self.runs.astype(np.int64))
         return (q << np.uint64(self.bits - width)) | self.remainders, self.counts
 
     @classmethod
