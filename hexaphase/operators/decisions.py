@@ -9,17 +9,32 @@ from ..functions.columns import circular_distance, greedy_circular, is_open, sig
 from ..model import GATE_THRESHOLD
 
 
-def gate(df: DataFrame, p: str, state: str, threshold: float | str = GATE_THRESHOLD) -> DataFrame:
-    """Adds gate (open, closed, or the state that blocks it), sound_present and a diagnostic."""
+#: Why a gate is what it is.
+GATE_REASONS = {
+    "invalid": "current_probability_identity_or_interval_mismatch",
+    "unavailable": "requires_current_aligned_20ms_probability",
+    "warming_up": "current_probability_warming_up",
+    "open": "current_probability_at_or_above_threshold",
+    "closed": "current_probability_below_threshold",
+}
+
+
+def gate(df: DataFrame, p: str, state: str, threshold: float | str = GATE_THRESHOLD, matches: Column | None = None) -> DataFrame:
+    """Adds gate (open, closed, or the state that blocks it), sound_present and gate_reason. matches: whether the probability is of this session, epoch and interval; the gate is invalid where it is not."""
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     kind = F.when(F.col(state) != "ready", F.col(state)).when(F.col(p).isNull(), "unavailable").when(F.col(p) >= limit, "open").otherwise("closed")
-    return df.withColumn("gate", kind).withColumn("sound_present", F.col("gate") == "open")
+    if matches is not None:
+        kind = F.when(~F.coalesce(matches, F.lit(False)), "invalid").otherwise(kind)
+    reason = F.element_at(F.create_map(*(F.lit(x) for pair in GATE_REASONS.items() for x in pair)), F.col("gate"))
+    return df.withColumn("gate", kind).withColumns({"sound_present": F.col("gate") == "open", "gate_reason": reason})
 
 
-def open_run(df: DataFrame, session: list[str], order: str, is_on: Column, to: str = "k") -> DataFrame:
-    """Place of each open row in its run of consecutive open rows; 0 when not open."""
+def open_run(df: DataFrame, session: list[str], order: str, is_on: Column, to: str = "k", step: int | None = None) -> DataFrame:
+    """Place of each open row in its run of consecutive open rows; 0 when not open. step: rows further apart than this in order are not consecutive."""
     w = Window.partitionBy(*session).orderBy(order)
-    df = df.withColumn("_on", is_on).withColumn("_i", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_on", F.coalesce(is_on, F.lit(False)))
+    begins = ~F.col("_on") if step is None else ~F.col("_on") | F.coalesce(F.col(order) - F.lag(order).over(w) != step, F.lit(False))
+    df = df.withColumn("_i", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy(*session, "_i", "_on").orderBy(order))
     return df.withColumn(to, F.when(F.col("_on"), place).otherwise(0).cast("long")).drop("_on", "_i")
 
@@ -28,12 +43,17 @@ def frames_in_use(k: str = "k", first: int = 15, most: int = 19) -> Column:
     return F.when(F.col(k) > 0, F.least(F.lit(most), first + 2 * (F.col(k) - 1))).otherwise(0).cast("long")
 
 
-def vote(df: DataFrame, session: list[str], order: str, raw: str) -> DataFrame:
-    """Adds stable: the value that two of the last three agree on, else the last such value."""
+def vote(df: DataFrame, session: list[str], order: str, raw: str, step: int | None = None) -> DataFrame:
+    """Adds stable: the value that two of the last three agree on, else the last such value. step: a gap wider than this in order forgets what came before."""
     w = Window.partitionBy(*session).orderBy(order)
+    keys = list(session)
+    if step is not None:
+        gap = F.coalesce(F.col(order) - F.lag(order).over(w) > step, F.lit(False))
+        df = df.withColumn("_gap", gap).withColumn("_run", F.sum(F.col("_gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        keys, w = [*keys, "_run"], Window.partitionBy(*session, "_run").orderBy(order)
     r0, r1, r2 = F.col(raw), F.lag(raw, 1).over(w), F.lag(raw, 2).over(w)
     df = df.withColumn("_v", F.when((r0 == r1) | (r0 == r2), r0).when(r1 == r2, r1))
-    return df.withColumn("stable", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
+    return df.withColumn("stable", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_v", "_gap", "_run")
 
 
 def order_plan(gate_open: Column, enabled: Column, follow: Column, count: Column, fault: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kernel_queries, signal_queries, stream_queries  # noqa: F401
+from . import control_queries, kernel_queries, signal_queries, stream_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "epoch_axis"
