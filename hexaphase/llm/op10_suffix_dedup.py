@@ -2,49 +2,55 @@
 
 Anchors: in every window of LENGTH bytes, the place whose GRAM bytes have the least hash (the leftmost of equals) is its anchor; equal
 windows have it at the same place, so windows can only be equal if their anchors' grams are. About one place in thirty
-is an anchor. Grams that occur once anywhere cannot start a repeat: a first pass finds those that occur again, and a
-Bloom filter of fixed size, which may only err towards keeping, lets their anchors through.
-
-Classes: such an anchor sends no bytes, but a hash of the string that its windows cover. Of strings alike in gram and
-hash the first by (doc_id, start) stays and all windows of the others are marked: whole copies end here. Only the first
-ones of grams that start several classes need their bytes; a second filter lets those through.
-
-Suffixes: they send the bytes that their windows cover. Splitters, from a sample of anchors, range-partition
-them by the leading bytes of the suffix that starts at the anchor, and all suffixes of a gram fall between the same two
-splitters, so no group of equal strings straddles a boundary. A bucket sorts its suffixes by multikey quicksort
-(eight bytes at a time, going on inside ties only) and its reversed prefixes likewise, and compares neighbours: the lengths
-of their common beginnings give, for each distance between window and anchor, the classes of equal windows. In each
-class the first by (doc_id, start) stays and the others are marked.
+is an anchor; the suffixes that start at anchors are the array.
+
+Tokens of a suffix: its first eight bytes, its gram, and the string that the anchor's windows cover (128 bits of hash, over
+its bytes). Splitters over all three, from a bounded sample of anchors, range-partition the suffixes, so that neither common
+beginnings nor common grams gather in a bucket. A bucket sorts its suffixes by these tokens, one after the other inside ties only,
+and compares neighbours: of those alike in all tokens the first by (doc_id, start) stays and the others are marked. Whole
+copies end here.
+
+The others may still share windows with suffixes of the same gram. Those whose gram has another string in their bucket, or
+reaches the bucket's boundary, come back with their bytes: a Bloom filter of their places, sized by their number and of
+128 MB at most, lets them through, and may only err towards sending. They are range-partitioned by (first bytes, gram), so that
+a gram's suffixes meet in one bucket, which sorts suffixes by multikey quicksort (eight bytes at a time, going on inside ties only)
+and the reversed prefixes likewise, and compares neighbours: the lengths of their common beginnings give, for each distance
+between window and anchor, the classes of equal windows. In each class the first by (doc_id, start) stays and the others are
+marked.
 
 Before it sends anything, a task marks the strings of a chunk of texts that stand earlier in the chunk: a passage that a
 third of all rows share costs one string per chunk, and marks.
 
-Finally the marks meet their documents, shard by shard, and each byte under a marked window goes.
+Finally the marks meet their documents, shard by shard, and each byte under a marked window goes. Buckets and shards are as many
+as the input's bytes ask for.
 
-Defined cases: null or empty texts have no bytes; texts under LENGTH bytes keep all. doc_id names a document: rows alike
-in doc_id and text are one document, reported for each row; rows of one doc_id with different texts follow each other by
-a hash of the text. Null doc_ids count as -2**63. An empty table gives no rows. Other columns are not read.
+Defined cases: null or empty texts have no bytes; texts under LENGTH bytes keep all; a very long text is one chunk. doc_id
+names a document: rows alike in doc_id and text are one document, reported for each row; rows of one doc_id with different
+texts follow each other by a hash of the text. Null doc_ids count as
+-2**63. Copies that tie in all of this are one document. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, arrow_batches, mix, pieces, saved, shards, table
+from .common import RangeHash, arrow_batches, input_bytes, mix, pieces, saved, shards, table
 
 LENGTH, GRAM = 100, 40
 CHUNK_BYTES = 1 << 19
-FILTER_BITS = 27
-SLICE_BITS = 16
-#: Anchors in the sample for splitters: one in this many grams, and this many per bucket in the end at most.
-SAMPLE_ONE_IN, SAMPLE_PER_BUCKET = 2048, 64
+#: Bits of the filter for each place, and of the whole at most, as a power of two.
+PLACE_BITS, MOST_FILTER_BITS, SLICE_BITS = 8, 30, 16
+#: Input bytes for each bucket and shard, and documents in the sample for splitters.
+BUCKET_BYTES, SAMPLE = 1 << 23, 4000
 _REACH = LENGTH - GRAM
 
 
@@ -88,52 +94,47 @@ def _leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
-    """Per shard the distinct gram hashes of a task, with a mark on those that it met again; and a sample of leading bytes."""
-    keys, again, lead = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
-
-    def emit():
-        cuts = np.searchsorted(keys, np.array([(s << 64) // n_shards for s in range(n_shards)], np.uint64)).tolist() + [len(keys)]
-        rows = [(s, keys[a:b].tobytes(), np.packbits(again[a:b]).tobytes(), lead[a:b][keys[a:b] % np.uint64(SAMPLE_ONE_IN) == 0].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "keys", "again", "leads"])
-
+def _sampled(batches: Iterator[pa.RecordBatch], per_text: int = 16) -> Iterator[pa.RecordBatch]:
+    """Tokens of some anchors of each text: first bytes, gram, first half of the string's hash."""
     for batch in batches:
         for _, _, buf, ends in _joined(batch, 0):
-            at, _, _, gram = anchors(buf, ends)
-            place = np.unique(at, return_index=True)[1]
-            gram, new_lead = gram[place], _leading(buf, at[place])
-            gram, back, count = np.unique(gram, return_index=True, return_counts=True)
-            both = np.concatenate([keys, gram])
-            order = np.argsort(both, kind="stable")
-            met, leads = np.concatenate([again, count > 1])[order], np.concatenate([lead, new_lead[back]])[order]
-            both = both[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(both)))
-            keys, again, lead = both[first], (np.logical_or.reduceat(met, first) if len(first) else met) | (size > 1), leads[first]
-            if len(keys) > 1 << 22:  # bounded memory
-                yield emit()
-                keys, again, lead = keys[:0], again[:0], lead[:0]
-    if len(keys):
-        yield emit()
-
-
-def _repeated(rows: pa.Table) -> pa.Table:
-    """Of one shard: the filter's bits of the grams that occur again, by slice; and the sample."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
-    marks = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(k)] for k, x in zip(keys, rows.column("again"), strict=True)]
-    flat, mark = np.concatenate(keys), np.concatenate(marks)
-    order = np.argsort(flat, kind="stable")
-    flat, mark = flat[order], mark[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    again = (np.maximum.reduceat(mark, first) > 0) | (np.diff(np.append(first, len(flat))) > 1)
-    out = _filter_rows(np.unique(_bit(flat[first][again])))
-    leads = np.sort(np.frombuffer(b"".join(x.as_py() for x in rows.column("leads")), np.uint64))
-    leads = leads[np.linspace(0, len(leads) - 1, min(len(leads), SAMPLE_PER_BUCKET)).astype(np.int64)]
-    return _table([*out, (None, -1, leads.tobytes())], _MARKS)
-
-
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            at, first, last, gram = anchors(buf, ends)
+            some = np.sort(np.argsort(mix(gram))[: per_text * len(ends)])
+            names = _named_strings(buf, at[some], first[some], last[some])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_leading(buf, at[some]), gram[some], names[:, 0])], names=["lead", "gram", "string"])
+
+
+def _named_strings(buf: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits for the bytes that each anchor's windows cover, and for where in them the anchor is."""
+    view = memoryview(buf)
+    digests = b"".join([xxhash.xxh3_128_digest(view[f:e]) for f, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+    out = np.frombuffer(digests, np.uint64).reshape(-1, 2).copy()
+    out[:, 0] += (at - first).astype(np.uint64)
+    return out
+
+
+class Splitters:
+    """Tokens of suffixes that part the buckets, ascending."""
+
+    def __init__(self, rows: list[tuple[int, ...]], buckets: int) -> None:
+        rows = sorted(set(rows))
+        cut = sorted({i * len(rows) // buckets for i in range(1, buckets)}) if rows else []
+        self.tokens = np.array([rows[i] for i in cut], np.uint64).reshape(len(cut), len(rows[0]) if rows else 1)
+
+    def __call__(self, *tokens: np.ndarray) -> np.ndarray:
+        """Buckets: how many splitters are not above."""
+        first = self.tokens[:, 0] if len(self.tokens) else np.zeros(0, np.uint64)
+        low, high = (np.searchsorted(first, tokens[0], side=s) for s in ("left", "right"))
+        out = low.astype(np.int64)
+        for lead in np.unique(tokens[0][high > low]):  # first tokens that are a splitter's too
+            at = np.flatnonzero(tokens[0] == lead)
+            for j in range(low[at[0]], high[at[0]]):
+                above, same = np.zeros(len(at), bool), np.ones(len(at), bool)
+                for x, t in zip(tokens[1:], self.tokens[j, 1:], strict=False):
+                    above |= same & (x[at] > t)
+                    same &= x[at] == t
+                out[at] += above | same
+        return out
 
 
 def _shard(doc: np.ndarray, text_hash: np.ndarray, n: int) -> np.ndarray:
@@ -155,22 +156,20 @@ def _packed(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, windows:
     return [(s, None, columns[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
-def _filter_rows(bit: np.ndarray) -> list[tuple[None, int, bytes]]:
-    """Bits of a filter by slice."""
-    out, part = [], bit >> SLICE_BITS
-    for s in np.unique(part):
-        bits = np.zeros(1 << SLICE_BITS, np.uint8)
-        bits[bit[part == s] & ((1 << SLICE_BITS) - 1)] = 1
-        out.append((None, int(s), np.packbits(bits).tobytes()))
-    return out
-
-
 def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(fields)})
 
 
-def _through(filter_: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((filter_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1) if len(bit) else np.zeros(0, np.int64)
+class PlaceFilter:
+    """A Bloom filter of one hash, whose bits are as many as PLACE_BITS for each place asks for."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.data = bits, np.zeros(1 << (bits - 3), np.uint8)
+
+    def through(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may be in it."""
+        at = keys >> np.uint64(64 - self.bits)
+        return np.flatnonzero((self.data[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1)
 
 
 def _place(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -178,68 +177,91 @@ def _place(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray) -> np.ndar
     return mix(mix(doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + text_hash.astype(np.uint64)) + start.astype(np.uint64))
 
 
-_CLASSES = [("bucket", pa.int32()), ("gram", pa.int64()), ("string", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())]
+_CLASSES = [("bucket", pa.int32()), ("lead", pa.int64()), ("gram", pa.int64()), ("string", pa.int64()), ("string2", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())]
+_CLASSES_SQL = "bucket int, lead long, gram long, string long, string2 long, doc long, hash long, start long, windows int"
 _STRINGS = [("bucket", pa.int32()), ("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], filter_: np.ndarray):
-    """Per chunk the strings around anchors whose grams the filter lets through: document, hash of its text, place, anchor, windows, gram, and where they are in the bytes."""
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """Per chunk the strings around anchors: bytes, document, hash of its text, place, anchor, windows, gram."""
     for batch in batches:
         doc_ids, text_hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for a, _, buf, ends in _joined(batch, 2):
             at, first, last, gram = anchors(buf, ends)
-            keep = _through(filter_, _bit(gram))
-            at, first, last, gram = at[keep], first[keep], last[keep], gram[keep]
             text = np.searchsorted(ends, first, side="right")
             start = first - np.concatenate([[0], ends[:-1]])[text] if len(text) else first
-            yield buf, doc_ids[a + text], text_hashes[a + text], start, at, first, last, gram
-
-
-def _classes(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Strings as hashes, by bucket of grams; those that stand earlier in the same chunk too go without them, as marks."""
-    for buf, doc, text_hash, start, at, first, last, gram in _runs(batches, filter_):
-        if not len(doc):
-            continue
-        string = mix(RangeHash(buf)(first, last + LENGTH) + (at - first).astype(np.uint64))
-        order = np.lexsort((start, text_hash, doc, string, gram))
-        doc, text_hash, start, string, gram, windows = (x[order] for x in (doc, text_hash, start, string, gram, last - first + 1))
-        head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])])
+            if len(text):
+                yield buf, doc_ids[a + text], text_hashes[a + text], start, at, first, last, gram
+
+
+def _classes(batches: Iterator[pa.RecordBatch], splitters: Splitters, n: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes as tokens, by bucket; those whose string stands earlier in the same chunk too go without them, as marks."""
+    for buf, doc, text_hash, start, at, first, last, gram in _runs(batches):
+        names = _named_strings(buf, at, first, last)
+        order = np.lexsort((start, text_hash, doc, names[:, 1], names[:, 0], gram))
+        doc, text_hash, start, gram, names, at, windows = (x[order] for x in (doc, text_hash, start, gram, names, at, last - first + 1))
+        head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (names[1:] != names[:-1]).any(axis=1)])
         leader = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
         later = (doc != doc[leader]) | (text_hash != text_hash[leader]) | (start != start[leader])
-        bucket = ((gram >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+        lead = _leading(buf, at[head])
+        bucket = splitters(lead, gram[head], names[head, 0]).astype(np.int32)
         nothing = pa.nulls(int(later.sum()), pa.int64())
-        names = [k for k, _ in _CLASSES]
-        yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (bucket, gram.view(np.int64), string.view(np.int64), doc, text_hash, start, windows.astype(np.int32))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.mod(doc[later], n).astype(np.int32)), nothing, nothing, *(pa.array(x[later]) for x in (doc, text_hash, start, windows.astype(np.int32)))], names=names)
+        columns = [k for k, _ in _CLASSES]
+        tokens = (lead.view(np.int64), gram[head].view(np.int64), *(names[head, i].copy().view(np.int64) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *tokens, doc[head], text_hash[head], start[head], windows[head].astype(np.int32))], names=columns)
+        yield pa.RecordBatch.from_arrays([pa.array(np.mod(doc[later], n).astype(np.int32)), *[nothing] * 4, *(pa.array(x[later]) for x in (doc, text_hash, start, windows.astype(np.int32)))], names=columns)
+
+
+def token_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their tokens, further ones only where all before are equal; and of neighbours in it, how many tokens they share."""
+    order = np.argsort(tokens[0], kind="stable")
+    common = np.zeros(max(0, len(order) - 1), np.int64)
+    for depth, x in enumerate(tokens):
+        if depth:
+            same = common == depth
+            if not same.any():
+                break
+            tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+            part = order[tied]
+            order[tied] = part[np.lexsort((x[part], group))]
+        alike = common == depth
+        common[alike] += x[order[1:][alike]] == x[order[:-1][alike]]
+    return order, common
 
 
 def _first_of_classes(rows: pa.Table, n: int) -> pa.Table:
-    """Of one bucket: marks on all strings of a class but the first; and filter bits of the first ones of grams with several classes."""
+    """Of one bucket: marks on all suffixes alike but the first; and the places of the first ones whose gram has other strings, or reaches the bucket's boundary."""
     met = rows.filter(pc.is_null(rows.column("gram")))
     rows = rows.filter(pc.is_valid(rows.column("gram")))
     marks = [np.stack([met.column(k).to_numpy().astype(np.int64) for k in ("doc", "hash", "start", "windows")])]
-    bits = np.zeros(0, np.int64)
+    places = np.zeros(0, np.uint64)
     if len(rows):
-        gram, string, doc, text_hash, start, windows = (rows.column(k).to_numpy() for k in ("gram", "string", "doc", "hash", "start", "windows"))
-        order = np.lexsort((start, text_hash, doc, string, gram))
-        gram, string, doc, text_hash, start, windows = (x[order] for x in (gram, string, doc, text_hash, start, windows))
-        head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])])
+        tokens = [rows.column(k).to_numpy().view(np.uint64) for k in ("lead", "gram", "string", "string2")]
+        doc, text_hash, start, windows = (rows.column(k).to_numpy() for k in ("doc", "hash", "start", "windows"))
+        order, common = token_sort(tokens)
+        doc, text_hash, start, windows = (x[order] for x in (doc, text_hash, start, windows))
+        number = np.cumsum(np.concatenate([[0], common < len(tokens)]))
+        order = np.lexsort((start, text_hash, doc, number))  # within a class the first in the corpus leads
+        doc, text_hash, start, windows = (x[order] for x in (doc, text_hash, start, windows))
+        head = np.concatenate([[True], common < len(tokens)])
         leader = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
         later = (doc != doc[leader]) | (text_hash != text_hash[leader]) | (start != start[leader])  # rows alike are one document
         marks.append(np.stack([x[later].astype(np.int64) for x in (doc, text_hash, start, windows)]))
-        group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
+        group = np.cumsum(np.concatenate([[0], common < 2]))  # of one gram
         several = np.bincount(group, head)[group] > 1
+        several |= (group == 0) | (group == group[-1])
         lead = head & several
-        bits = np.unique(_bit(_place(doc[lead], text_hash[lead], start[lead])))
-    return _table([*_packed(*np.concatenate(marks, axis=1), n), *_filter_rows(bits)], _MARKS)
+        places = _place(doc[lead], text_hash[lead], start[lead])
+    return _table([*_packed(*np.concatenate(marks, axis=1), n), (None, 0, places.tobytes())], _MARKS)
 
 
-def _strings(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, places: np.ndarray, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Strings with their bytes, by bucket of the suffixes at their anchors: those that the second filter lets through."""
-    for buf, doc, text_hash, start, at, first, last, _ in _runs(batches, filter_):
-        keep = _through(places, _bit(_place(doc, text_hash, start)))
+def _strings(batches: Iterator[pa.RecordBatch], places: PlaceFilter, splitters: Splitters) -> Iterator[pa.RecordBatch]:
+    """Strings with their bytes, by bucket of the suffixes at their anchors: those that the filter lets through."""
+    for buf, doc, text_hash, start, at, first, last, gram in _runs(batches):
+        keep = places.through(_place(doc, text_hash, start))
         if len(keep):
-            raw, bucket = buf.tobytes(), np.searchsorted(splitters, _leading(buf, at[keep]), side="right")
+            raw, bucket = buf.tobytes(), splitters(_leading(buf, at[keep]), gram[keep])
             columns = bucket.astype(np.int32), doc[keep], text_hash[keep], start[keep], (at - first)[keep].astype(np.int32), (last - first + 1)[keep].astype(np.int32), [raw[f:e] for f, e in zip(first[keep].tolist(), (last + LENGTH)[keep].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _STRINGS, strict=True)], names=[k for k, _ in _STRINGS])
 
@@ -313,33 +335,43 @@ def _removed(start: np.ndarray, windows: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _filter_of(df: DataFrame) -> np.ndarray:
-    """The bits in columns slice and data: 2**FILTER_BITS of them."""
-    bits, size = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 1 << (SLICE_BITS - 3)
-    merged = df.where("slice >= 0").groupBy("slice").applyInArrow(_ored, "slice int, data binary")
-    for r in merged.collect():
-        bits[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
-    return bits
+def _place_filter(known: DataFrame) -> PlaceFilter:
+    """Of the places in column data. The driver holds the filter's bits, and not the places."""
+    total = known.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    out = PlaceFilter(max(SLICE_BITS, min(MOST_FILTER_BITS, (total // 8 * PLACE_BITS).bit_length())))
+    shift, size = 64 - out.bits, 1 << (SLICE_BITS - 3)
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                bit = np.unique((np.frombuffer(data.as_buffer(), np.uint64) >> np.uint64(shift)).astype(np.int64))
+                part = bit >> SLICE_BITS
+                for k in np.unique(part):
+                    own = (bit[part == k] & ((1 << SLICE_BITS) - 1)).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slice", "data"])
 
-def _ored(rows: pa.Table) -> pa.Table:
-    data = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("data")])
-    return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+    def joined(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << SLICE_BITS, np.uint8)
+        for x in rows.column("data"):
+            bits[np.frombuffer(x.as_buffer(), np.uint16)] = 1
+        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "data": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    for r in known.select("data").mapInArrow(sliced, "slice int, data binary").groupBy("slice").applyInArrow(joined, "slice int, data binary").toLocalIterator():
+        out.data[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
+    return out
 
 
-def marked_runs(docs: DataFrame) -> DataFrame:
-    """shard, data: runs of marked windows; of docs with doc and hash (longs that name a text) and text (binary)."""
+def marked_runs(docs: DataFrame, n: int) -> DataFrame:
+    """shard, data: runs of marked windows, by one of n shards of documents; of docs with doc and hash (longs that name a text) and text (binary)."""
     spark = docs.sparkSession
-    n = shards(spark)
-    grams = docs.select("text").mapInArrow(lambda b: _grams(b, n), "shard int, keys binary, again binary, leads binary")
-    known = saved(grams.groupBy("shard").applyInArrow(_repeated, "shard int, slice int, data binary"))
-    sample = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["data"], np.uint64) for r in known.where("slice < 0").collect())]))
-    splitters = np.unique(sample[np.arange(1, n) * len(sample) // n]) if len(sample) else sample
-    again = spark.sparkContext.broadcast(_filter_of(known))
-    classes = docs.mapInArrow(lambda b: _classes(b, again.value, n), "bucket int, gram long, string long, doc long, hash long, start long, windows int")
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.expr(f"pmod(xxhash64(hash, doc, 11), 1000000) < {math.ceil(share * 1_000_000)}")).select("text")
+    sample = [tuple(x % (1 << 64) for x in r) for r in some.mapInArrow(_sampled, "lead long, gram long, string long").collect()]  # SAMPLE texts, a few anchors each
+    by_string, by_gram = Splitters(sample, n), Splitters([x[:2] for x in sample], n)
+    classes = docs.mapInArrow(lambda b: _classes(b, by_string, n), _CLASSES_SQL).repartition(n, "bucket")
     firsts = saved(classes.groupBy("bucket").applyInArrow(lambda rows: _first_of_classes(rows, n), _MARKS_SQL))
-    places = spark.sparkContext.broadcast(_filter_of(firsts))
-    strings = docs.mapInArrow(lambda b: _strings(b, again.value, places.value, splitters), "bucket int, doc long, hash long, start long, left int, windows int, bytes binary")
+    places = spark.sparkContext.broadcast(_place_filter(firsts.where("shard is null")))
+    strings = docs.mapInArrow(lambda b: _strings(b, places.value, by_gram), "bucket int, doc long, hash long, start long, left int, windows int, bytes binary").repartition(n, "bucket")
     marks = strings.groupBy("bucket").applyInArrow(lambda rows: _marks(rows, n), _MARKS_SQL)
     return marks.unionByName(firsts.where("shard is not null")).select("shard", "data")
 
@@ -348,9 +380,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes: kept, the bytes that stay, too."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("_t").alias("hash"), F.col("_t").cast("binary").alias("text"))
+    n = max(shards(docs.sparkSession), rows.agg(input_bytes("text")).first()[0] // BUCKET_BYTES)
     with arrow_batches(docs.sparkSession):
-        marks = saved(marked_runs(rows.select("doc", "hash", "text")))
-    shard = F.expr(_SHARD.format(n=shards(docs.sparkSession)))
+        marks = saved(marked_runs(rows.select("doc", "hash", "text"), n))
+    shard = F.expr(_SHARD.format(n=n))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_bytes else 4]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)]
 
@@ -369,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((len(text), int(gone.sum()), int(spans), hashlib.sha256(kept).hexdigest(), kept))
         return pa.table([own.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["doc_id", *names])
 
-    both = rows.withColumn("shard", shard).groupBy("shard").cogroup(marks.groupBy("shard"))
+    both = rows.withColumn("shard", shard).repartition(n, "shard").groupBy("shard").cogroup(marks.repartition(n, "shard").groupBy("shard"))
     return both.applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
