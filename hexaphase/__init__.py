@@ -1,3 +1,8 @@
 """hexaphase: Spark-native analytics for multichannel sensor-array time series."""
 
-__version__ = "0.1.0"
+from .config import Settings
+from .interfaces import AudioDecoder, AudioSource, DirectionScanner, DirectionTracker, HotmapSource
+from .model import ProjectConfig, RateConfig, ScanConfig, TrackerConfig
+
+__version__ = "0.2.0"
+__all__ = ["AudioDecoder", "AudioSource", "DirectionScanner", "DirectionTracker", "HotmapSource", "ProjectConfig", "RateConfig", "ScanConfig", "Settings", "TrackerConfig"]

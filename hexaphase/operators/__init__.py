@@ -1,0 +1,5 @@
+"""DataFrame operators: timeline, channels, spectra, acoustics, decisions, pipeline, control, reuse, sequential, tracklog, serving."""
+
+from . import acoustics, channels, control, decisions, pipeline, reuse, sequential, serving, spectra, timeline, tracklog
+
+__all__ = ["acoustics", "channels", "control", "decisions", "pipeline", "reuse", "sequential", "serving", "spectra", "timeline", "tracklog"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +31,32 @@ def encode_pcm16(blocks: DataFrame, col: str = "samples", to: str = "payload") -
     return blocks.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{to} binary"]))
 
 
-def decode_pcm16(blocks: DataFrame, channels: int = 8, col: str = "payload", to: str = "samples") -> DataFrame:
+def pcm16(payload: bytes, channels: int) -> np.ndarray:
     """Samples in [-1, 1), row by row; a payload that is no whole number of rows is an error."""
+    if len(payload) % (2 * channels):
+        raise ValueError(f"a payload is no whole number of rows of {channels} channels")
+    return np.frombuffer(payload, "<i2").astype(np.float32) / np.float32(32768)
+
+
+def decode(blocks: DataFrame, decoder: Callable[[bytes, int], np.ndarray] = pcm16, channels: int = 8, col: str = "payload", to: str = "samples") -> DataFrame:
+    """blocks with their samples in place of the payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(b.schema.get_field_index(col)).to_pylist()
-            if any(len(x) % (2 * channels) for x in raw):
-                raise ValueError(f"a payload is no whole number of rows of {channels} channels")
-            rows = [np.frombuffer(x, "<i2").astype(np.float32) / np.float32(32768) for x in raw]
+            rows = [np.asarray(decoder(x.as_py(), channels), np.float32).ravel() for x in b.column(b.schema.get_field_index(col))]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.float32), *rows])))
             keep = [i for i, n in enumerate(b.schema.names) if n != col]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(rows, pa.list_(pa.float32()))], names=[*(b.schema.names[i] for i in keep), to])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), samples], names=[*(b.schema.names[i] for i in keep), to])
 
     fields = [f for f in blocks.schema.fields if f.name != col]
     return blocks.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{to} array<float>"]))
 
 
+def decode_pcm16(blocks: DataFrame, channels: int = 8, col: str = "payload", to: str = "samples") -> DataFrame:
+    return decode(blocks, pcm16, channels, col, to)
+
+
 def permute(blocks: DataFrame, mapping: tuple[int, ...] = CHANNEL_MAP, col: str = "samples") -> DataFrame:
     """Logical channel j of each sample is native channel mapping[j]."""
     if sorted(mapping) != list(range(len(mapping))):

@@ -95,6 +95,15 @@ def latest_before(df: DataFrame, session: list[str], order: list[str], is_source
     return df.withColumn("_h", held).withColumns({f"{prefix}{c}": F.col(f"_h.{c}") for c in columns}).drop("_h")
 
 
+def side_input(df: DataFrame, session: list[str], order: list[str], is_source: Column, columns: list[str], required: bool = False, prefix: str = "asof_") -> DataFrame:
+    """latest_before() with degraded: no source row yet. required: that is an error."""
+    out = latest_before(df, session, order, is_source, [*columns, order[-1]], prefix)
+    missing = F.col(f"{prefix}{order[-1]}").isNull()
+    if required:
+        missing = F.when(missing, F.raise_error(F.lit("the side input is required and missing")).cast("boolean")).otherwise(False)
+    return out.withColumn("degraded", missing).drop(*([f"{prefix}{order[-1]}"] if order[-1] not in columns else []))
+
+
 def mailbox(df: DataFrame, session: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The latest row of each session."""
     return df.groupBy(*session).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")).select(*session, "_r.*")
@@ -104,4 +113,4 @@ def nearest_within(theta: str, clicked: str, reach: float = 8.0) -> Column:
     return circular_distance(theta, clicked) <= reach
 
 
-__all__ = ["alive", "associations", "frames_in_use", "gate", "hold_last", "is_open", "latest_before", "mailbox", "nearest_within", "open_run", "order_plan", "select_directions", "vote"]
+__all__ = ["alive", "associations", "frames_in_use", "gate", "hold_last", "is_open", "latest_before", "mailbox", "nearest_within", "open_run", "order_plan", "select_directions", "side_input", "vote"]

@@ -1,4 +1,8 @@
-"""Spectra, pair and covariance features of eight-sample blocks in relational form; the kernels of full size are in kernels/."""
+"""Spectra, pair and covariance features of eight-sample blocks in relational form; the kernels of full size are in kernels/.
+
+A block is one row, and its spectrum stays in that row as an array by channel and bin, so nothing here moves between tasks but
+the means over a session's blocks, which are aggregated before they move.
+"""
 
 from __future__ import annotations
 
@@ -11,69 +15,87 @@ from ..functions.columns import power_db, robust_z
 from ..model import MICS
 
 N_FFT = 8
+_BINS = N_FFT // 2 + 1
 
 
-def dft(samples: DataFrame) -> DataFrame:
-    """Per block, channel and bin k: real and imaginary part of the mean-free block's transform, and its power. The bins' cosines are literals, so the transform is one aggregate."""
-    mean = samples.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("session", "seq", "c")))
-    parts = []
-    for k in range(N_FFT // 2 + 1):
-        turn = [2 * math.pi * ((k * i) % N_FFT) / N_FFT for i in range(N_FFT)]
-        cos, sin = (F.element_at(F.array(*(F.lit(f(t)) for t in turn)), (F.col("i") + 1).cast("int")) for f in (math.cos, math.sin))
-        parts.append(F.struct(F.lit(k).cast("long").alias("k"), F.sum(F.col("x") * cos).alias("re"), (-F.sum(F.col("x") * sin)).alias("im")))
-    out = mean.groupBy("session", "seq", "c").agg(F.array(*parts).alias("b"))
-    return out.select("session", "seq", "c", F.inline("b")).withColumn("power", (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / N_FFT)
+def _turns(f) -> str:
+    return "array(" + ", ".join(f"{f(2 * math.pi * n / N_FFT)!r}D" for n in range(N_FFT)) + ")"
+
+
+def spectrum(blocks: DataFrame) -> DataFrame:
+    """session, seq, and spec: by channel and bin the real and imaginary part of the mean-free block's transform, and its power. blocks: samples row by row."""
+    sums = lambda turns: f"aggregate(sequence(0, 7), 0D, (acc, i) -> acc + get(x, i) * get({turns}, (k * i) % {N_FFT}))"
+    rows = blocks.select("session", "seq", F.expr(f"transform(sequence(0, 7), c -> transform(sequence(0, {N_FFT - 1}), i -> get(samples, 8 * i + c)))").alias("x"))
+    free = rows.withColumn("x", F.expr(f"transform(x, v -> transform(v, y -> y - aggregate(v, 0D, (acc, z) -> acc + z) / {N_FFT}))"))
+    parts = f"transform(x, x -> transform(sequence(0, {_BINS - 1}), k -> named_struct('re', {sums(_turns(math.cos))}, 'im', -{sums(_turns(math.sin))})))"
+    power = f"transform({parts}, v -> transform(v, z -> named_struct('re', z.re, 'im', z.im, 'power', (z.re * z.re + z.im * z.im) / {N_FFT})))"
+    return free.select("session", "seq", F.expr(power).alias("spec"))
+
+
+def _channels(spectra: DataFrame, mics: int = 8) -> DataFrame:
+    """session, seq, c, v: the bins of a channel."""
+    return spectra.select("session", "seq", F.posexplode(F.slice("spec", 1, mics)).alias("c", "v")).withColumn("c", F.col("c").cast("long"))
+
 
+def dft(spectra: DataFrame) -> DataFrame:
+    """session, seq, c, k, re, im, power."""
+    return _channels(spectra).select("session", "seq", "c", F.posexplode("v").alias("k", "z")).select("session", "seq", "c", F.col("k").cast("long").alias("k"), "z.*")
 
-def smooth3(spectra: DataFrame, value: str = "power") -> DataFrame:
-    """1/4, 1/2, 1/4 over neighbouring bins; the edges repeat."""
-    w = Window.partitionBy("session", "seq", "c").orderBy("k")
-    x = F.col(value)
-    return spectra.withColumn("smooth", 0.25 * F.coalesce(F.lag(value).over(w), x) + 0.5 * x + 0.25 * F.coalesce(F.lead(value).over(w), x))
+
+def smooth3(spectra: DataFrame) -> DataFrame:
+    """1/4, 1/2, 1/4 of the power over neighbouring bins; the edges repeat."""
+    last = _BINS - 1
+    smooth = f"transform(sequence(0, {last}), k -> named_struct('k', cast(k as long), 'smooth', 0.25D * get(v, greatest(k - 1, 0)).power + 0.5D * get(v, k).power + 0.25D * get(v, least(k + 1, {last})).power))"
+    return _channels(spectra).select("session", "seq", "c", F.inline(F.expr(smooth)))
 
 
 def band_mean(spectra: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
-    return spectra.where(F.col("k").between(low, high)).groupBy("session", "seq", "c").agg(power_db(F.avg("power")).alias("band_db"))
+    total = sum((F.get("v", F.lit(k))["power"] for k in range(low, high + 1)), F.lit(0.0))
+    return _channels(spectra).select("session", "seq", "c", power_db(total / (high - low + 1)).alias("band_db"))
 
 
 #: Presence weights of bins 1 to 3, which sum to one.
 BIN_WEIGHTS = (0.30, 0.30, 0.40)
+_P1 = f"greatest(0D, least(1D, ({' + '.join(f'{w}D * get(v, {k}).power' for k, w in enumerate(BIN_WEIGHTS, 1))}) / greatest(aggregate(v, 0D, (acc, z) -> acc + z.power), 1e-12D)))"
 
 
 def presence(spectra: DataFrame) -> DataFrame:
     """Per block and microphone: the weighted sum of each bin's share of the block's power, p1 in [0, 1]."""
-    w = Window.partitionBy("session", "seq", "c")
-    share = spectra.withColumn("spp", F.col("power") / F.greatest(F.sum("power").over(w), F.lit(1e-12)))
-    weight = F.coalesce(F.when(F.col("k").between(1, 3), F.try_element_at(F.array(*map(F.lit, BIN_WEIGHTS)), F.col("k").cast("int"))), F.lit(0.0))
-    return share.where(F.col("c") < MICS).groupBy("session", "seq", "c").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(weight * F.col("spp")))).alias("p1"))
+    return _channels(spectra, MICS).select("session", "seq", "c", F.expr(_P1).alias("p1"))
+
+
+def p2(spectra: DataFrame) -> DataFrame:
+    """The exact median of p1 over the microphones."""
+    return spectra.select("session", "seq", F.expr(f"get(array_sort(transform(slice(spec, 1, {MICS}), v -> {_P1})), {MICS // 2})").alias("p2"))
+
 
+_PAIRS = "array(" + ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a in range(MICS) for b in range(a + 1, MICS)) + ")"
 
-def p2(presences: DataFrame) -> DataFrame:
-    """The exact median over the microphones."""
-    return presences.groupBy("session", "seq").agg(F.median("p1").alias("p2"))
+
+def pair_bins(spectra: DataFrame) -> DataFrame:
+    """session, seq, a, b, x: PHAT cross-spectra of microphone pairs a < b, by bin. The floor follows the block's greatest magnitude."""
+    size = lambda z: f"sqrt({z}.re * {z}.re + {z}.im * {z}.im)"
+    top = f"aggregate(slice(spec, 1, {MICS}), 0D, (acc, v) -> greatest(acc, aggregate(v, 0D, (m, z) -> greatest(m, {size('z')}))))"
+    x = spectra.withColumn("floor", F.expr(f"1e-12D * greatest({top}, 1D)"))
+    x = x.select("session", "seq", "spec", "floor", F.inline(F.expr(_PAIRS)))
+    x = x.select("session", "seq", "a", "b", "floor", F.expr("zip_with(get(spec, cast(a as int)), get(spec, cast(b as int)), (p, q) -> named_struct('p', p, 'q', q))").alias("z"))
+    d = f"greatest({size('z.p')} * {size('z.q')}, floor)"
+    return x.select("session", "seq", "a", "b", F.expr(f"transform(z, z -> named_struct('re', (z.p.re * z.q.re + z.p.im * z.q.im) / {d}, 'im', (z.p.im * z.q.re - z.p.re * z.q.im) / {d}))").alias("x"))
 
 
 def pairs(spectra: DataFrame) -> DataFrame:
-    """PHAT cross-spectra of microphone pairs a < b. The floor follows the block's greatest magnitude."""
-    mag = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    x = spectra.where(F.col("c") < MICS).withColumn("mag", mag)
-    x = x.withColumn("floor", 1e-12 * F.greatest(F.max("mag").over(Window.partitionBy("session", "seq")), F.lit(1.0)))
-    a = x.select("session", "seq", "k", F.col("c").alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"), F.col("mag").alias("am"), "floor")
-    b = x.select("session", "seq", "k", F.col("c").alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"), F.col("mag").alias("bm"))
-    j = a.join(b, ["session", "seq", "k"]).where("a < b")
-    d = F.greatest(F.col("am") * F.col("bm"), F.col("floor"))
-    return j.select("session", "seq", "k", "a", "b", ((F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")) / d).alias("re"), ((F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")) / d).alias("im"))
-
-
-def gcc(cross: DataFrame, lags: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> DataFrame:
+    """session, seq, k, a, b, re, im of the cross-spectra."""
+    return pair_bins(spectra).select("session", "seq", "a", "b", F.posexplode("x").alias("k", "x")).select("session", "seq", F.col("k").cast("long").alias("k"), "a", "b", "x.*")
+
+
+def gcc(spectra: DataFrame, lags: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> DataFrame:
     """Per pair and lag: the mean over bins 1 to 3 of Re C exp(2 pi j k lag / 8)."""
     parts = []
     for lag in lags:
-        turn = [2 * math.pi * ((k * lag) % N_FFT) / N_FFT for k in range(N_FFT)]
-        cos, sin = (F.element_at(F.array(*(F.lit(f(t)) for t in turn)), (F.col("k") + 1).cast("int")) for f in (math.cos, math.sin))
-        parts.append(F.struct(F.lit(lag).cast("long").alias("lag"), F.avg(F.col("re") * cos - F.col("im") * sin).alias("gcc")))
-    g = cross.where(F.col("k").between(1, 3)).groupBy("session", "seq", "a", "b").agg(F.array(*parts).alias("g"))
-    return g.select("session", "seq", "a", "b", F.inline("g"))
+        turns = [2 * math.pi * ((k * lag) % N_FFT) / N_FFT for k in range(4)]
+        mean = sum((F.get("x", F.lit(k))["re"] * math.cos(turns[k]) - F.get("x", F.lit(k))["im"] * math.sin(turns[k]) for k in (1, 2, 3)), F.lit(0.0)) / 3
+        parts.append(F.struct(F.lit(lag).cast("long").alias("lag"), mean.alias("gcc")))
+    return pair_bins(spectra).select("session", "seq", "a", "b", F.inline(F.array(*parts)))
 
 
 def peak_z(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -86,11 +108,11 @@ def peak_z(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def covariance(spectra: DataFrame, bins: tuple[int, int] = (1, 3)) -> DataFrame:
     """Per session and bin the mean of x x^H over blocks, entries (a, b) of the upper triangle."""
-    x = spectra.where((F.col("c") < MICS) & F.col("k").between(*bins))
-    a = x.select("session", "seq", "k", F.col("c").alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = x.select("session", "seq", "k", F.col("c").alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    j = a.join(b, ["session", "seq", "k"]).where("a <= b")
-    return j.groupBy("session", "k", "a", "b").agg(F.avg(F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("re"), F.avg(F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("im"))
+    upper = "array(" + ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a in range(MICS) for b in range(a, MICS)) + ")"
+    x = spectra.select("session", "spec", F.explode(F.sequence(F.lit(bins[0]), F.lit(bins[1]))).alias("k"))
+    x = x.select("session", F.col("k").cast("long").alias("k"), F.expr("transform(spec, v -> get(v, k))").alias("z")).select("session", "k", "z", F.inline(F.expr(upper)))
+    p, q = (F.get("z", F.col(c).cast("int")) for c in ("a", "b"))
+    return x.groupBy("session", "k", "a", "b").agg(F.avg(p["re"] * q["re"] + p["im"] * q["im"]).alias("re"), F.avg(p["im"] * q["re"] - p["re"] * q["im"]).alias("im"))
 
 
 def regularized(cov: DataFrame, shrinkage: float = 0.05, loading: float = 1e-3, floor: float = 1e-10) -> DataFrame:
@@ -103,10 +125,10 @@ def regularized(cov: DataFrame, shrinkage: float = 0.05, loading: float = 1e-3,
 
 def fused(spectra: DataFrame, weights: tuple[float, ...] = (0.35, 0.90, 1.0)) -> DataFrame:
     """Per block and channel: bins 1 to 3, each divided by its maximum over the channels, in a weighted mean."""
-    top = F.max("power").over(Window.partitionBy("session", "seq", "k"))
-    x = spectra.where(F.col("k").between(1, 3)).withColumn("n", F.col("power") / F.greatest(top, F.lit(1e-12)))
-    w = F.element_at(F.array(*map(F.lit, weights)), F.col("k").cast("int"))
-    return x.groupBy("session", "seq", "c").agg((F.sum(w * F.col("n")) / sum(weights)).alias("fused"))
+    top = "transform(sequence(1, 3), k -> greatest(array_max(transform(spec, v -> get(v, k).power)), 1e-12D))"
+    x = spectra.withColumn("top", F.expr(top)).select("session", "seq", "top", F.posexplode("spec").alias("c", "v"))
+    mean = sum((w * F.get("v", F.lit(k))["power"] / F.get("top", F.lit(k - 1)) for k, w in enumerate(weights, 1)), F.lit(0.0)) / sum(weights)
+    return x.select("session", "seq", F.col("c").cast("long").alias("c"), mean.alias("fused"))
 
 
 def minmax(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import CONTEXT, HOP
+from ..model import CONTEXT, HOP, SAMPLE_RATE
 
 
 def continuity(df: DataFrame, session: list[str], order: list[str], seq: str, ts: str, tolerance, health: Column, rate: str | None = None, calibration: str | None = None, expected: Column | None = None) -> DataFrame:
@@ -25,6 +25,20 @@ def continuity(df: DataFrame, session: list[str], order: list[str], seq: str, ts
     return df.withColumn("reason", reason.when(started & (F.abs(F.col(ts) - F.lag(ts).over(w) - step) > tolerance), "timestamp_gap"))
 
 
+def numbered(df: DataFrame, session: list[str], order: list[str], seq: str, ts: str, frames: Column, origin: float = 0.0, rate: int = SAMPLE_RATE) -> DataFrame:
+    """Gives blocks without a number their place in the session, and those without a time that of the samples before them."""
+    w = Window.partitionBy(*session).orderBy(*order)
+    place = F.row_number().over(w) - 1
+    before = F.coalesce(F.sum(frames).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumns({seq: F.coalesce(F.col(seq), place), ts: F.coalesce(F.col(ts), F.lit(origin) + before / rate)})
+
+
+def run_ids(df: DataFrame, session: list[str], order: list[str], reason: str = "reason") -> DataFrame:
+    """Adds run: it grows with every reset that the calibration's delay line sees, which knows health events and gaps only."""
+    w = Window.partitionBy(*session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("run", F.count(F.when(F.col(reason).isin("health_event", "sequence_gap", "timestamp_gap"), 1)).over(w))
+
+
 def epochs(df: DataFrame, session: list[str], order: list[str], frames: Column) -> DataFrame:
     """Adds epoch, start_sample and end_sample to rows with a reason."""
     w = Window.partitionBy(*session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

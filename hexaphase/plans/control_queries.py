@@ -9,11 +9,12 @@ from ..operators import control as ct
 from ..operators import decisions as de
 from ..operators import pipeline as pl
 from ..operators import reuse as ru
+from ..operators import serving as sv
 from ..operators import timeline as tl
 from ..sources import tables as t
 from .registry import query
 from .signal_queries import rounded
-from .stream_queries import EP, EV, SL, _epochs
+from .stream_queries import CO, EP, EV, SL, _continuity, _epochs
 
 KINDS = {"click": "gate", "view": "direction", "signup": "tracking", "purchase": "count", "error": "follow"}
 _KIND = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KINDS.items()) + " END"
@@ -188,3 +189,49 @@ def candidate_pairs(spark, sf):
     g = ev.groupBy("user_id", "win").agg(rows.alias("r")).select("user_id", "win", F.col("r.theta").alias("theta"), F.col("r.event_id").alias("event_id"))
     z = g.select("user_id", "win", F.posexplode(F.arrays_zip("theta", "event_id")).alias("place", "x"))
     return z.select("user_id", "win", F.col("place").cast("long").alias("place"), "x.theta", "x.event_id")
+
+
+@query("fallback_numbers", f"WITH {EV}, b AS (SELECT *, 500 + (event_id % 7) * 173 AS n FROM ev) SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN h ELSE row_number() OVER w - 1 END AS seq, round(CASE WHEN event_type = 'click' THEN h::DOUBLE ELSE coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 48000 END, 9) AS at FROM b WINDOW w AS (PARTITION BY user_id ORDER BY h)")
+def fallback_numbers(spark, sf):
+    """Blocks of other kinds than click have no number and no time of their own."""
+    own = F.col("event_type") == "click"
+    ev = t.hops(spark, sf).withColumns({"seq": F.when(own, F.col("h")), "at": F.when(own, F.col("h").cast("double"))})
+    return rounded(tl.numbered(ev, ["user_id"], ["h"], "seq", "at", F.expr("500 + (event_id % 7) * 173")).select("user_id", "event_id", "seq", "at"), "at", digits=9)
+
+
+@query("rate_rejection", f"WITH {EV}, k AS (SELECT user_id, event_id, h, us FROM ev WHERE event_type <> 'signup') SELECT user_id, event_id, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY h) > 60 * 3600000000::BIGINT THEN 'timestamp_gap' END AS reason FROM k")
+def rate_rejection(spark, sf):
+    """Blocks of another sample rate are set apart before continuity is judged; they start no epoch."""
+    ev = t.hops(spark, sf).withColumn("rate", F.when(F.col("event_type") == "signup", 44_100).otherwise(48_000))
+    good, _ = sv.checked(ev, rate=F.col("rate") == 48_000)
+    good = good.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("h")))
+    return tl.continuity(good, ["user_id"], ["h"], "_n", "us", 60 * 3_600_000_000, F.lit(False)).select("user_id", "event_id", "reason")
+
+
+@query("record_quality", f"WITH {SL} SELECT user_id AS session, window_id, '[' || concat_ws(', ', CASE WHEN window_id % 5 = 0 THEN 'context' END, CASE WHEN window_id % 7 = 0 THEN 'grid' END) || ']' AS broken FROM wn WHERE window_id % 5 = 0 OR window_id % 7 = 0")
+def record_quality(spark, sf):
+    """Windows that break rules, with the rules' names: contexts one sample long or off the grid."""
+    w = tl.sliding(_epochs(spark, sf).withColumnRenamed("user_id", "session"), ["session"]).select("session", "epoch", "window_id", "decision_sample", "context_start")
+    off = F.when(F.col("window_id") % 7 == 0, 1).otherwise(0)
+    w = w.withColumns({"decision_sample": F.col("decision_sample") + off, "context_start": F.col("context_start") + off + F.when(F.col("window_id") % 5 == 0, 1).otherwise(0)})
+    _, bad = sv.checked(w, **sv.window_rules())
+    return bad.select("session", "window_id", F.concat(F.lit("["), F.concat_ws(", ", "broken"), F.lit("]")).alias("broken"))
+
+
+@query("telemetry_bounded", f"WITH {EV}, a AS (SELECT user_id, event_id, count(*) OVER r AS c, avg(value) OVER r AS m, avg(value) OVER l AS b FROM ev WINDOW r AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 720 * 3600000000::BIGINT PRECEDING AND CURRENT ROW), l AS (PARTITION BY user_id ORDER BY us ROWS 3 PRECEDING)) SELECT user_id, event_id, least(c, 4) AS n, round(CASE WHEN c > 4 THEN b ELSE m END, 9) AS mean FROM a")
+def telemetry_bounded(spark, sf):
+    """A trailing window that keeps four rows at most."""
+    out = sv.telemetry(t.hops(spark, sf), ["user_id"], "us", "value", 720 * 3_600_000_000, 4)
+    return rounded(out.select("user_id", "event_id", "n", "mean"), "mean", digits=9)
+
+
+@query("delay_runs", f"WITH {CO} SELECT user_id, event_id, count(*) FILTER (reason IN ('health_event', 'sequence_gap', 'timestamp_gap')) OVER (PARTITION BY user_id ORDER BY h) AS run FROM co")
+def delay_runs(spark, sf):
+    """Runs of the delay line: a new calibration does not reset it."""
+    return tl.run_ids(_continuity(spark, sf), ["user_id"], ["h"]).select("user_id", "event_id", "run")
+
+
+@query("side_input", f"WITH {EV} SELECT user_id, event_id, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY h) = 0 AS degraded FROM ev")
+def side_input(spark, sf):
+    """Rows before the first frame of an optional side input go on degraded."""
+    return de.side_input(t.hops(spark, sf), ["user_id"], ["h"], F.col("event_type") == "click", ["event_id"]).select("user_id", "event_id", "degraded")

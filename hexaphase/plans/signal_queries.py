@@ -32,6 +32,10 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
 
 
+def _spectra(spark, sf):
+    return sp.spectrum(t.blocks(spark, sf))
+
+
 @query("decode_interleave", f"WITH {S} SELECT seq, c, sum(greatest(-32768, least(32767, round_even(x * 32768, 0))) / 32768) AS total, max(abs(greatest(-32768, least(32767, round_even(x * 32768, 0))))) / 32768 AS top FROM s GROUP BY ALL")
 def decode_interleave(spark, sf):
     decoded = ch.decode_pcm16(ch.encode_pcm16(t.blocks(spark, sf)))
@@ -80,17 +84,17 @@ def db_power_mean(spark, sf):
 
 @query("dft_power", f"WITH {D} SELECT session, seq, c, k, round(power, 6) + 0.0 AS power FROM d")
 def dft_power(spark, sf):
-    return rounded(sp.dft(t.samples(spark, sf)).select("session", "seq", "c", "k", "power"), "power")
+    return rounded(sp.dft(_spectra(spark, sf)).select("session", "seq", "c", "k", "power"), "power")
 
 
 @query("freq_smooth3", f"WITH {D} SELECT session, seq, c, k, round(0.25 * coalesce(lag(power) OVER w, power) + 0.5 * power + 0.25 * coalesce(lead(power) OVER w, power), 6) + 0.0 AS smooth FROM d WINDOW w AS (PARTITION BY session, seq, c ORDER BY k)")
 def freq_smooth3(spark, sf):
-    return rounded(sp.smooth3(sp.dft(t.samples(spark, sf))), "smooth").select("session", "seq", "c", "k", "smooth")
+    return rounded(sp.smooth3(_spectra(spark, sf)), "smooth").select("session", "seq", "c", "k", "smooth")
 
 
 @query("band_mean_db", f"WITH {D} SELECT session, seq, c, round(10 * log10(greatest(avg(power), 1e-12)), 6) AS band_db FROM d WHERE k BETWEEN 1 AND 3 GROUP BY ALL")
 def band_mean_db(spark, sf):
-    return rounded(sp.band_mean(sp.dft(t.samples(spark, sf))), "band_db")
+    return rounded(sp.band_mean(_spectra(spark, sf)), "band_db")
 
 
 _P1 = f"{D}, q AS (SELECT *, power / greatest(sum(power) OVER (PARTITION BY session, seq, c), 1e-12) AS spp FROM d), p1 AS (SELECT session, seq, c, greatest(0.0, least(1.0, sum(CASE k WHEN 1 THEN 0.3 WHEN 2 THEN 0.3 WHEN 3 THEN 0.4 ELSE 0 END * spp))) AS p1 FROM q WHERE c < 7 GROUP BY ALL)"
@@ -98,17 +102,17 @@ _P1 = f"{D}, q AS (SELECT *, power / greatest(sum(power) OVER (PARTITION BY sess
 
 @query("gate_weighted_p1", f"WITH {_P1} SELECT session, seq, c, round(p1, 6) AS p1 FROM p1")
 def gate_weighted_p1(spark, sf):
-    return rounded(sp.presence(sp.dft(t.samples(spark, sf))), "p1")
+    return rounded(sp.presence(_spectra(spark, sf)), "p1")
 
 
 @query("p2_median", f"WITH {_P1} SELECT session, seq, round(median(p1), 6) AS p2 FROM p1 GROUP BY ALL")
 def p2_median(spark, sf):
-    return rounded(sp.p2(sp.presence(sp.dft(t.samples(spark, sf)))), "p2")
+    return rounded(sp.p2(_spectra(spark, sf)), "p2")
 
 
 @query("pair_cross_spectrum", f"WITH {P} SELECT session, k, a, b, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM p WHERE k BETWEEN 1 AND 3 GROUP BY ALL")
 def pair_cross_spectrum(spark, sf):
-    x = sp.pairs(sp.dft(t.samples(spark, sf))).where(F.col("k").between(1, 3))
+    x = sp.pairs(_spectra(spark, sf)).where(F.col("k").between(1, 3))
     return rounded(x.groupBy("session", "k", "a", "b").agg(F.avg("re").alias("re"), F.avg("im").alias("im")), "re", "im")
 
 
@@ -117,25 +121,25 @@ _GCC = f"{P}, g AS (SELECT session, seq, a, b, lag, avg(re * cos(2 * pi() * k *
 
 @query("gcc_lag", f"WITH {_GCC} SELECT session, a, b, lag::BIGINT AS lag, round(avg(gcc), 6) + 0.0 AS gcc FROM g GROUP BY ALL")
 def gcc_lag(spark, sf):
-    g = sp.gcc(sp.pairs(sp.dft(t.samples(spark, sf))))
+    g = sp.gcc(_spectra(spark, sf))
     return rounded(g.groupBy("session", "a", "b", "lag").agg(F.avg("gcc").alias("gcc")), "gcc")
 
 
 @query("robust_z", f"WITH {D}, w AS (SELECT session, seq, power, median(power) OVER (PARTITION BY session, seq) AS m FROM d WHERE c < 7 AND k > 0) SELECT session, seq, round(max(power), 6) AS peak, round((max(power) - any_value(m)) / greatest(1.4826 * median(abs(power - m)), 1e-6), 4) AS z FROM w GROUP BY ALL")
 def robust_z(spark, sf):
-    d = sp.dft(t.samples(spark, sf)).where("c < 7 and k > 0")
+    d = sp.dft(_spectra(spark, sf)).where("c < 7 and k > 0")
     out = sp.peak_z(d, ["session", "seq"], "power").select("session", "seq", "peak", "z")
     return rounded(rounded(out, "peak"), "z", digits=4)
 
 
 @query("cov_outer", f"WITH {V} SELECT session, k, a, b, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM v")
 def cov_outer(spark, sf):
-    return rounded(sp.covariance(sp.dft(t.samples(spark, sf))), "re", "im")
+    return rounded(sp.covariance(_spectra(spark, sf)), "re", "im")
 
 
 @query("cov_regularize", f"WITH {V}, w AS (SELECT *, sum(CASE WHEN a = b THEN re END) OVER (PARTITION BY session, k) / 7 AS p FROM v) SELECT session, k, a, b, round(0.95 * re + CASE WHEN a = b THEN 0.05 * p + 1e-3 * greatest(p, 1e-10) ELSE 0 END, 6) + 0.0 AS re, round(0.95 * im, 6) + 0.0 AS im FROM w")
 def cov_regularize(spark, sf):
-    return rounded(sp.regularized(sp.covariance(sp.dft(t.samples(spark, sf)))), "re", "im")
+    return rounded(sp.regularized(sp.covariance(_spectra(spark, sf))), "re", "im")
 
 
 _FUSE = f"{D}, n AS (SELECT *, power / greatest(max(power) OVER (PARTITION BY session, seq, k), 1e-12) AS n FROM d WHERE k BETWEEN 1 AND 3), f AS (SELECT session, seq, c, sum([0.35, 0.9, 1.0][k]::DOUBLE * n) / 2.25 AS fused FROM n GROUP BY ALL)"
@@ -143,12 +147,12 @@ _FUSE = f"{D}, n AS (SELECT *, power / greatest(max(power) OVER (PARTITION BY se
 
 @query("freq_weighted_fuse", f"WITH {_FUSE} SELECT session, seq, c, round(fused, 6) AS fused FROM f")
 def freq_weighted_fuse(spark, sf):
-    return rounded(sp.fused(sp.dft(t.samples(spark, sf))), "fused")
+    return rounded(sp.fused(_spectra(spark, sf)), "fused")
 
 
 @query("minmax_norm", f"WITH {_FUSE}, w AS (SELECT *, min(fused) OVER (PARTITION BY session, seq) AS lo, max(fused) OVER (PARTITION BY session, seq) AS hi FROM f) SELECT session, seq, c, round(CASE WHEN hi > lo THEN (fused - lo) / (hi - lo) ELSE 0 END, 6) AS normalized FROM w")
 def minmax_norm(spark, sf):
-    return rounded(sp.minmax(sp.fused(sp.dft(t.samples(spark, sf))), ["session", "seq"], "fused"), "normalized").select("session", "seq", "c", "normalized")
+    return rounded(sp.minmax(sp.fused(_spectra(spark, sf)), ["session", "seq"], "fused"), "normalized").select("session", "seq", "c", "normalized")
 
 
 @query("lag_correlation", f"""WITH {S}, j AS (SELECT a.session, a.c, a.seq, a.i, a.x, b.x AS r FROM s a JOIN s b ON a.session = b.session AND a.seq = b.seq AND a.i = b.i AND b.c = 6 WHERE a.c < 6),

@@ -98,11 +98,10 @@ def hotmap_asof(spark, sf):
 
 @query("hop_window_overlap", f"WITH {SL}, x AS (SELECT w.user_id, w.window_id, e.p FROM wn w JOIN ep e ON w.user_id = e.user_id AND w.epoch = e.epoch AND e.end_sample > w.decision_sample - 7680 AND e.end_sample - 960 < w.decision_sample) SELECT user_id, window_id, count(*) AS hops, round(max(p), 6) AS top FROM x GROUP BY ALL")
 def hop_window_overlap(spark, sf):
-    """The interval join as an equi-join: a window names the ends of its hops."""
-    ep = _epochs(spark, sf)
-    w = tl.sliding(ep, ["user_id"]).select("user_id", "epoch", "window_id", F.explode(F.expr("sequence(decision_sample - 6720, decision_sample, 960L)")).alias("end_sample"))
-    j = w.join(ep.select("user_id", "epoch", "end_sample", "p"), ["user_id", "epoch", "end_sample"])
-    return rounded(j.groupBy("user_id", "window_id").agg(F.count("*").alias("hops"), F.max("p").alias("top")), "top")
+    """The interval join without a join: a window's hops are the last eight rows of its epoch."""
+    w = Window.partitionBy("user_id", "epoch").orderBy("end_sample").rowsBetween(-7, 0)
+    ep = _epochs(spark, sf).withColumns({"hops": F.count("*").over(w), "top": F.max("p").over(w)})
+    return rounded(tl.sliding(ep, ["user_id"]).select("user_id", "window_id", "hops", "top"), "top")
 
 
 @query("p2_lookup", f"WITH {SL}, r AS (SELECT * FROM ep WHERE event_type <> 'error') SELECT w.user_id, w.window_id, CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN round(a.p, 6) END AS previous, CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN round(b.p, 6) END AS current FROM wn w LEFT JOIN r a ON a.user_id = w.user_id AND a.epoch = w.epoch AND a.end_sample = w.decision_sample - 960 LEFT JOIN r b ON b.user_id = w.user_id AND b.epoch = w.epoch AND b.end_sample = w.decision_sample")

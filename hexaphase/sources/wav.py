@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import wave
 from collections.abc import Iterator
 from pathlib import Path
@@ -52,3 +53,16 @@ def write(path: str, samples: np.ndarray, rate: int = 48_000) -> str:
     content = encode(samples, rate)
     Path(path).write_bytes(content)
     return hashlib.sha256(content).hexdigest()
+
+
+def checked_frames(recordings: DataFrame, seconds: float) -> DataFrame:
+    """Recordings (path, rate, hop) whose whole hops are too few for the time that they should hold: path, hops, wanted."""
+    from pyspark.sql import functions as F
+
+    n = recordings.groupBy("path").agg(F.count("*").alias("hops"), F.floor(F.first("rate") * seconds / 960).cast("long").alias("wanted"))
+    return n.where("hops < wanted")
+
+
+def write_manifest(path: str, files: dict[str, str], **report: object) -> None:
+    """A JSON file: names with their SHA-256, and what the report says. A driver-side report of a few files."""
+    Path(path).write_text(json.dumps({"files": [{"name": n, "sha256": h} for n, h in sorted(files.items())]} | report, sort_keys=True, indent=1) + "\n")

@@ -1,0 +1,5 @@
+"""The sequential operators over streams, and sinks."""
+
+from . import stateful
+
+__all__ = ["stateful"]

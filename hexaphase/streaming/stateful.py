@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,21 +85,43 @@ def read_blocks(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def publish_latest(stream: DataFrame, session: str, order: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest row of each session in a table of the catalog."""
+    """Keeps the latest row of each session in a view of the catalog.
+
+    A micro-batch with new sessions or rows writes the next version of the table, and then switches the view to it in one step;
+    readers see the one or the other as a whole. A batch that is run again writes the same version.
+    """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch
+        own = f"{table}_v{number % 3}"  # the version in use and the one before it stay readable
+        newest = batch.groupBy(session).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
         if spark.catalog.tableExists(table):
-            new = new.unionByName(spark.table(table))
-        w = Window.partitionBy(session).orderBy(F.desc(order))
-        latest = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-        latest.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+            before = spark.table(table)
+            newest = before.unionByName(newest).groupBy(session).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+        newest.write.mode("overwrite").saveAsTable(own)
+        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {own}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fanout(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, capacity: dict[str, int] | None = None, order: str | None = None) -> StreamingQuery:
+    """Each micro-batch to several sinks, read once. A sink with a capacity gets the newest so many rows of a batch by order, and loses the oldest."""
+    capacity = capacity or {}
+    if capacity and order is None:
+        raise ValueError("a capacity needs an order")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for name, sink in sinks.items():
+                own = batch.orderBy(F.desc(order)).limit(capacity[name]) if name in capacity else batch
+                sink(own, number)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_track_log(rows: DataFrame, path: str) -> None:
     """A small report, one line per track by id: track_id, duration and trajectory; replaced as a whole. rows is bounded by the log's own limits."""
     lines = ["track_id\tduration_s\ttrajectory"]
