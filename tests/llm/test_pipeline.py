@@ -92,3 +92,21 @@ def test_near_copies_leave(spark):
 def test_near_dedup_stage_against_brute_force(stages):
     want = smallest(ids(stages[2]), near_pairs([(r.doc_id, r.text) for r in stages[2].collect()]))
     assert sorted(ids(stages[3])) == sorted(i for i in want if want[i] == i)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Every stage keeps all columns, whatever their names, and gives defined rows for odd and for no rows."""
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0), (5, 0, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0, name
+        if name == "tokens":
+            assert out.count() == odd.count()
+        else:
+            assert out.columns == none.columns == odd.columns and out.count() <= odd.count() * (2 if name == "mixing" else 1), name
+            kept = {r.doc_id for r in out.collect()}
+            assert kept <= {r.doc_id for r in odd.collect()}, name
+            if name == "exact_dedup":
+                assert {1, 5, 6, 7, 8, 9, 10} <= kept and 0 not in kept and len(kept & {2, 3, 4}) == 1
+            if name == "near_dedup":
+                assert {5, 6, 7, 10} <= kept and not {1, 9} & kept
