@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that saved() wrote since the last call, once what was made of them is written elsewhere; how many."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder as Parquet and read back: its lineage is cut, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/hexaphase-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hexaphase.llm import op1_html as op1
 from hexaphase.llm import op2_exact_dedup as op2
@@ -20,7 +22,7 @@ from hexaphase.llm import op7_quality as op7
 from hexaphase.llm import op8_mixing as op8
 from hexaphase.llm import op9_fingerprints as op9
 from hexaphase.llm import op10_suffix_dedup as op10
-from hexaphase.llm import registry
+from hexaphase.llm import common, registry
 from hexaphase.llm.common import LOWER, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -361,9 +363,61 @@ def test_sharding_law(docs, odd, empty):
     assert op6.shard_rows(empty).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64() of ints ('i', n) and longs, chained from seed 42, signed."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_sharding_against_brute_force(docs):
+    entries = [(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts(docs)]
+    entries.sort(key=lambda e: (spark_hash(("i", 42), *e) % op6.BUCKETS, e))
+    n = len(entries)
+    cols = math.ceil(math.sqrt(n))
+    height = -(-n // cols)
+
+    def step(x):
+        v = [x // cols, x % cols]
+        for r in range(op6.ROUNDS):
+            to, size = (0, height) if r % 2 == 0 else (1, cols)
+            v[to] = (v[to] + spark_hash(42, ("i", r), v[1 - to]) % size) % size
+        return v[0] * cols + v[1]
+
+    want = {}
+    for number, e in enumerate(entries):
+        x = step(number)
+        while x >= n:
+            x = step(x)
+        want[e[0]] = x % 16, x // 16
+    assert {r.doc_id: (r.shard, r.slot) for r in op6.shard_rows(docs).collect()} == want
+
+
+def test_many_rows_alike_are_cut_into_runs(spark):
+    df = spark.range(10_000).selectExpr("7L as doc_id", "'same' as text")
+    rows = op6.shard_rows(df).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) == 10_000
+
+
 # 7
 
 
+def test_context_vectors_against_loops():
+    rng, index = np.random.default_rng(0), op7.index_vectors()
+    some = [rng.integers(0, 40, (n, 3)) for n in (1, 2, 9, 30)]
+    sums, n = np.zeros_like(index, np.float64), np.zeros(len(index))
+    for d in some:
+        for i in range(len(d)):
+            near = sum((index[f] for k in range(max(0, i - op7.WINDOW), min(len(d), i + op7.WINDOW + 1)) if k != i for f in d[k]), np.zeros(op7.DIM))
+            for f in d[i]:
+                sums[f] += near
+                n[f] += 1
+    want = sums / np.maximum(n, 1)[:, None] / (2 * op7.WINDOW * 3)
+    assert np.allclose(op7.context_vectors(some, index), want, atol=1e-5)
+
+
 def test_quality_separates_held_out_documents(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     label = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
@@ -416,6 +470,34 @@ def test_mix_meets_targets(docs, odd, empty):
     assert op8.mix_counts(empty).count() == 0
 
 
+def test_mix_against_brute_force(docs):
+    rows = [(r.doc_id, len(WORD.findall((r.text or "").encode())), r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    sizes = collections.Counter()
+    for _, n, s in rows:
+        sizes[s] += n
+    want = {i: 0 for i, _, _ in rows}
+    for s, target in targets(sizes).items():
+        block = max(1, min(op8.BLOCK_WORDS, sizes[s] // op8.LEAST_BLOCKS))
+        blocks = -(-sizes[s] // block)
+        whole = int(target // sizes[s])
+        slots = min(whole * blocks + min(blocks, math.floor((target - whole * sizes[s]) / block + 0.5)), 2 * blocks)
+        own = [(spark_hash(("i", 42), i), i, n) for i, n, x in rows if x == s and n]
+        start = 0
+        for _, i, n in sorted(own, key=lambda r: ((r[0] >> 32) % op8.BUCKETS, *r)):
+            for w in range(start, start + n):  # word by word: how often the source's slots take its block
+                b = w // block
+                want[i] += slots // blocks + (b < slots % blocks)
+            start += n
+    assert {r.doc_id: r.taken for r in op8.mix_counts(docs).collect()} == want
+
+
+def test_mix_with_many_sources_and_null_ids(spark):
+    df = spark.range(3_000).selectExpr("if(id % 50 = 0, null, id) as doc_id", "repeat('w ', cast(id % 7 as int)) as text", "if(id % 3 = 0, 'hot', concat('s', id % 900)) as source")
+    rows = op8.mix_counts(df).collect()
+    assert len(rows) == 3_000 and sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.size for r in rows), rel=0.1)
+    assert any(r.taken for r in rows if r.doc_id is None) and all(r.taken <= 2 * r.size for r in rows)
+
+
 def test_schedule_spreads_each_source(docs):
     rows, src = op8.prepared(docs, "doc_id", "text", "source", op8.WEIGHTS, op8.BUDGET, op8.CAP)
     slots = op8.schedule(src).toPandas()
@@ -448,12 +530,42 @@ def test_fingerprints_estimate_the_weighted_jaccard(docs):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def naive_samples(draw, text):
+    """Consistent weighted samples, one term and one sample after the other."""
+    h, weight = draw.terms(text)
+    out = []
+    for k in range(draw.samples):
+        best = None
+        for term, w in zip(h.tolist(), weight.tolist()):
+            row = int(op9.mix(np.array([term ^ 0xA5A5A5A5], np.uint64))[0] & draw.mask)
+            r, c, b = (np.float32(x[row, k]) for x in (draw.r, draw.c, draw.b))
+            t = np.floor(np.log(np.float32(w)) / r + b) if w > 1 else np.float32(0)
+            a = c * np.exp(-r * (t - b) - r) if w > 1 else draw.one[row, k]
+            if best is None or a < best[0] or a == best[0] and term < best[1]:
+                best = a, term, int(t)
+        x = (best[1] ^ (int(draw.salt[k]) + best[2] * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & (1 << 64) - 1
+        out.append(x)
+    return out
+
+
+def test_samples_against_loops():
+    draw = op9.Sampler(samples=32, rows_bits=10)
+    text = ("a b c d e f g " * 9 + " ".join(f"w{i}" for i in range(60))).encode()
+    x = np.array(naive_samples(draw, text), np.uint64)
+    want = np.maximum((op9.mix(x) >> np.uint64(48)).astype(np.uint16), 1)
+    assert np.mean(draw(text) == want) > 0.9  # vectorised float32 logarithms may round a tie otherwise
+
+
 def test_weights_count():
-    draw = op9.Sampler(samples=4096, rows_bits=12)
-    a, b = (draw(" ".join([f"t{k} a b c d"] * n + [f"u{k} e f g h"]).encode()) for k, n in ((0, 1), (0, 9)))
-    assert 0 < op9.likeness(a, b) < 1
-    one, two = np.array([np.uint64(5)]), np.array([3])
-    assert len(one) and len(two)
+    """The likeness of texts that differ in weights alone is that of the weighted sets, also with more terms than rows of variables."""
+    for n, bits in ((40, 12), (3_000, 9)):
+        draw = op9.Sampler(samples=2048, rows_bits=bits)
+        a = [f"t{k} u{k} v{k} w{k} x{k}" for k in range(n)]
+        texts_ = ["\n".join(a).encode(), "\n".join(a + a[: n // 2] * 2).encode()]
+        x, y = (collections.Counter(dict(zip(h.tolist(), w.tolist()))) for h, w in map(draw.terms, texts_))
+        want = sum((x & y).values()) / sum((x | y).values())
+        got = op9.likeness(*map(draw, texts_))
+        assert got == pytest.approx(want, abs=0.06 if n < 100 else 0.2), (n, got, want)
 
 
 def test_fingerprints_on_odd_tables(odd, empty):
@@ -513,6 +625,29 @@ def test_repeats_against_brute_force(spark, docs, odd, empty):
 # all
 
 
+def test_written_tables_can_be_deleted(spark):
+    df = common.saved(spark.range(5))
+    assert df.count() == 5 and common.clean(spark) >= 1 and common.clean(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 1, id) as k", "id")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = common.join_keyed(rows.unionByName(spark.createDataFrame([(-1, -1)], "k long, id long")), keyed, ["k"], "n", how)
+        assert got.count() == 20_000 + (how == "left") and got.where("x != 2 * k").count() == 0 and "n" not in got.columns
+
+
+def test_the_session_stays_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.arrow_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+    assert spark.conf.get(name) == before
+
+
 def test_registered_queries():
     names = set(registry.queries())
     assert {x.split("_")[0] for x in names} >= {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(registry.oracle_sql()) <= names
