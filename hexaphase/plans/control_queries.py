@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as cf
 from ..operators import control as ct
 from ..operators import decisions as de
 from ..operators import pipeline as pl
@@ -235,3 +236,10 @@ def delay_runs(spark, sf):
 def side_input(spark, sf):
     """Rows before the first frame of an optional side input go on degraded."""
     return de.side_input(t.hops(spark, sf), ["user_id"], ["h"], F.col("event_type") == "click", ["event_id"]).select("user_id", "event_id", "degraded")
+
+
+@query("nearest_unwrapped", f"WITH {EV}, l AS (SELECT *, 720.0 * (event_id % 3) - 360 + value AS ref FROM ev) SELECT user_id, event_id, round(ref + (fmod(fmod(angle - ref + 180, 360) + 360, 360) - 180), 6) AS theta FROM l")
+def nearest_unwrapped(spark, sf):
+    """The angle's turn that is nearest to a reference that is not wrapped."""
+    ref = 720.0 * (F.col("event_id") % 3) - 360 + F.col("value")
+    return rounded(t.hops(spark, sf).select("user_id", "event_id", cf.nearest_unwrapped("angle", ref).alias("theta")), "theta")

@@ -38,3 +38,18 @@ def test_rules_part_good_and_bad(spark):
     df = spark.createDataFrame([([0.0] * 16, 0, 2), ([0.0] * 15, 0, 2), ([float("nan")] * 8, 0, 1), (None, 0, 1)], "samples array<double>, start_sample long, end_sample long")
     good, bad = sv.checked(df, **sv.block_rules())
     assert good.count() == 1 and bad.count() == 3 and {x for r in bad.collect() for x in r.broken} == {"shape", "finite", "interval"}
+
+
+def test_displays(spark):
+    d = spark.createDataFrame([("Mic Array 8", "Windows WDM-KS", 8), ("mic array", "windows wdm-ks", 2), ("Webcam", "Windows WDM-KS", 8)], "name string, host_api string, channels long")
+    assert [r.name for r in sv.devices(d, "mic array", "wdm-ks").collect()] == ["Mic Array 8"]
+    hop = spark.createDataFrame([("abcdefghij", 3, 960)], "session string, epoch long, end_sample long")
+    assert sv.hop_status(hop).first().status == "RUNNING | session abcdefgh | epoch 003 | sample 0000000960"
+    t = spark.createDataFrame([(0, k, k, 1.0, th) for k, th in enumerate([0.0, 90.0, 180.0, 270.0], 1)], "w long, track_id long, rank long, score double, theta double")
+    p = {r.track_id: (round(r.x, 3), round(r.y, 3)) for r in sv.polar(t).collect()}
+    assert p[1] == (0.0, 0.965) and p[2] == (0.965, 0.0)
+    assert [r.track_id for r in sv.top_tracks(t, ["w"]).orderBy("rank").collect()] == [1, 2, 3]
+    m = spark.createDataFrame([(1.0,), (0.1,), (0.0,)], "rms double")
+    assert [round(r.shown_db, 3) for r in sv.meter_levels(m).collect()] == [0.0, -20.0, -120.0]
+    ages = spark.createDataFrame([(1.0,), (1.6,)], "published double")
+    assert [r.published for r in sv.fresh(ages, F.lit(2.0), "published").collect()] == [1.6]
