@@ -1,12 +1,13 @@
 """Operators whose every step needs the one before: one pass per stream, in order, in Arrow batches.
 
-A stream is one key; streams are independent and spread over tasks. The steps are those of kernels.recursions, which the
-streaming wrappers use too.
+A stream is one key; streams are independent and spread over tasks. A task steps through its sorted rows batch by batch and
+holds one state, so neither long streams nor many short ones cost more. The steps are those of kernels.recursions, which
+the streaming wrappers use too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,75 +16,72 @@ from ..kernels.recursions import RunningMinimum, queue_step, rate_step, sample_s
 from ..model import RateConfig
 
 
-def per_stream(df: DataFrame, keys: list[str], order: list[str], add: Callable[[pd.DataFrame], dict[str, list]], schema: str) -> DataFrame:
-    """add maps a stream's rows, in order, to new columns; schema names their types."""
-    names = df.columns
+def per_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, schema: str) -> DataFrame:
+    """step(state, *values of inputs) -> (state, values of the new columns); the state of a stream begins as None. schema names the new columns."""
+    new = [x.split()[0] for x in schema.split(", ")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        return rows.assign(**add(rows))[[*names, *[x.split()[0] for x in schema.split(",")]]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            out: list[list] = [[] for _ in new]
+            named = zip(*([None if x != x else x for x in rows[k].tolist()] for k in keys), strict=True)
+            for own, values in zip(named, zip(*(rows[c].tolist() for c in inputs), strict=True), strict=True):
+                if own != key:
+                    key, state = own, None
+                state, made = step(state, *values)
+                for column, x in zip(out, made, strict=True):
+                    column.append(x)
+            yield rows.assign(**dict(zip(new, out, strict=True)))
 
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + schema)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{types}, {schema}")
 
 
 def adaptive_rate(df: DataFrame, keys: list[str], order: list[str], queue_wait: str | None, slowest: str, cfg: RateConfig = RateConfig()) -> DataFrame:  # noqa: B008
     """Adds period_ms after each computed window."""
 
-    def add(rows: pd.DataFrame) -> dict[str, list]:
-        state, out = None, []
-        waits = rows[queue_wait] if queue_wait else [0.0] * len(rows)
-        for w, s in zip(waits, rows[slowest], strict=True):
-            state = rate_step(state, w, s, cfg)
-            out.append(state[0])
-        return {"period_ms": out}
+    def step(state, slow, wait=0.0):
+        state = rate_step(state, wait, slow, cfg)
+        return state, (state[0],)
 
-    return per_stream(df, keys, order, add, "period_ms long")
+    return per_stream(df, keys, order, [slowest, *([queue_wait] if queue_wait else [])], step, "period_ms long")
 
 
 def bounded_queue(df: DataFrame, keys: list[str], order: list[str], arrivals: str, served: str, capacity: int = 100) -> DataFrame:
     """Adds depth and drops of a queue that drops its oldest entry when full."""
 
-    def add(rows: pd.DataFrame) -> dict[str, list]:
-        state, out = None, []
-        for a, s in zip(rows[arrivals], rows[served], strict=True):
-            state = queue_step(state, int(a), int(s), capacity)
-            out.append(state)
-        return {"depth": [x[0] for x in out], "drops": [x[1] for x in out]}
+    def step(state, came, went):
+        state = queue_step(state, int(came), int(went), capacity)
+        return state, state
 
-    return per_stream(df, keys, order, add, "depth long, drops long")
+    return per_stream(df, keys, order, [arrivals, served], step, "depth long, drops long")
 
 
 def sampled(df: DataFrame, keys: list[str], order: list[str], at: str, gap: int) -> DataFrame:
     """Only rows at least gap after the last one kept."""
 
-    def add(rows: pd.DataFrame) -> dict[str, list]:
-        anchor, out = None, []
-        for x in rows[at]:
-            anchor, kept = sample_step(anchor, int(x), gap)
-            out.append(kept)
-        return {"_kept": out}
+    def step(anchor, now):
+        anchor, kept = sample_step(anchor, int(now), gap)
+        return anchor, (kept,)
 
-    return per_stream(df, keys, order, add, "_kept boolean").where("_kept").drop("_kept")
+    return per_stream(df, keys, order, [at], step, "_kept boolean").where("_kept").drop("_kept")
 
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, to: str = "smoothed") -> DataFrame:
     """First-order recursion: keep times the last value, the rest from the new one."""
 
-    def add(rows: pd.DataFrame) -> dict[str, list]:
-        state, out = None, []
-        for x in rows[value]:
-            state = smooth_step(state, x, keep)
-            out.append(state)
-        return {to: out}
+    def step(state, x):
+        state = smooth_step(state, x, keep)
+        return state, (state,)
 
-    return per_stream(df, keys, order, add, f"{to} double")
+    return per_stream(df, keys, order, [value], step, f"{to} double")
 
 
 def tracked_minimum(df: DataFrame, keys: list[str], order: list[str], value: str, steps: int = 5, windows: int = 10) -> DataFrame:
     """Adds minimum: over the last windows of steps values each, as the noise tracker has it."""
 
-    def add(rows: pd.DataFrame) -> dict[str, list]:
-        least = RunningMinimum(steps, windows)
-        return {"minimum": [least(x) for x in rows[value]]}
+    def step(state, x):
+        state = state or RunningMinimum(steps, windows)
+        return state, (state(x),)
 
-    return per_stream(df, keys, order, add, "minimum double")
+    return per_stream(df, keys, order, [value], step, "minimum double")
