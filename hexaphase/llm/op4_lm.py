@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BLANK, arrow_batches, hashed_words, input_bytes, pieces, saved, shards, table
 
-DEPTH, LEAST = 3, 4
+DEPTH, LEAST = 2, 4
 #: Nats by which a context's next words differ from the shorter one's: over all occurrences, and for each of its distinct next words.
 DIVERGENCE_SUM, DIVERGENCE = 4.0, 0.5
 DISCOUNT = 0.75

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BLANK, join_keyed, saved, table
+from .common import LOWER_BLANK, fresh, join_keyed, saved, table
 
 SHINGLE, MAX_BITS = 3, 3
 HALF = 16
@@ -121,9 +121,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns. doc_id names a document: an id goes with all its rows."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    (name,) = fresh("gone")
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = saved(gone)  # so that its size is known when the join is planned
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_near_copies_leave(spark):
     pairs = near_pairs(rows)
     want = smallest([i for i, _ in rows], pairs)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df.repartition(3), sample=0).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df.repartition(3)).collect()} == want
     assert set(ids(corpus_pipeline.near_dedup(spark, df, ""))) == {i for i in want if want[i] == i} and len(pairs) > 100
 
 
