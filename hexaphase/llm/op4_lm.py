@@ -54,20 +54,28 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Numbers of 0 or more: how many, bytes each as the largest needs, and these byte by byte of all numbers, compressed."""
-    top = int(a.view(np.uint64).max()) if len(a) and a.dtype == np.int64 else int(a.max()) if len(a) else 0
-    size = next(s for s in range(1, 9) if top < 1 << 8 * s)
-    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:size])
-    return len(a).to_bytes(5, "little") + bytes([size]) + (pa.compress(planes, "zstd", asbytes=True) if len(a) > 16 else planes.tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    n, size = int.from_bytes(data[:5], "little"), data[5]
-    planes = pa.decompress(data[6:], n * size, "zstd", asbytes=True) if n > 16 else data[6:]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :size] = np.frombuffer(planes, np.uint8).reshape(size, n).T
-    return out.view("<i8").reshape(-1)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers of 0 or more in one piece: how many, bytes each as the largest needs, and these byte by byte of all numbers, compressed together."""
+    head, planes = [], []
+    for a in arrays:
+        a = a.astype("<u8")
+        size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head.append(len(a).to_bytes(5, "little") + bytes([size]))
+        planes.append(a.view(np.uint8).reshape(-1, 8).T[:size].tobytes())
+    body = b"".join(planes)
+    return bytes([len(arrays)]) + b"".join(head) + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    shape = [(int.from_bytes(data[i : i + 5], "little"), data[i + 5]) for i in range(1, 1 + 6 * data[0], 6)]
+    body = np.frombuffer(pa.decompress(data[1 + 6 * data[0] :], sum(n * size for n, size in shape), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, size in shape:
+        wide = np.zeros((n, 8 if size > 3 else 4), np.uint8)
+        wide[:, :size] = body[at : at + n * size].reshape(size, n).T
+        out.append(wide.view("<i8" if size > 3 else "<i4").reshape(-1))
+        at += n * size
+    return out
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -85,10 +93,6 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _of_documents(kind: pa.DataType, *names: str) -> list[tuple[str, pa.DataType]]:
-    return [("ids", pa.list_(kind)), *((k, pa.binary()) for k in names)]
-
-
 # First exchange: words.
 
 
@@ -122,31 +126,32 @@ def _block(name: str, ids: list, texts: list[bytes], n_shards: int, kind: pa.Dat
     distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
     counts = np.bincount(places, np.repeat(~held, n_words), len(distinct)).astype(np.int64)
     shard = (distinct >> np.uint64(32)).astype(np.int64) * n_shards >> 32
-    rows = [{"shard": sum(map(ord, name)) % n_shards, "block": name, "ids": ids, "held": packed(held), "sizes": packed(n_words), "places": packed(places)}]
-    rows += [{"shard": s, "block": name, "keys": packed(distinct[i:j].view(np.int64)), "counts": packed(counts[i:j])} for s, i, j in _cuts(shard)]
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), *_of_documents(kind, "held", "sizes", "places")])
+    rows = [{"shard": sum(map(ord, name)) % n_shards, "block": name, "ids": ids, "places": packed(held, n_words, places)}]
+    rows += [{"shard": s, "block": name, "keys": packed(distinct[i:j], counts[i:j])} for s, i, j in _cuts(shard)]
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("ids", pa.list_(kind)), ("places", pa.binary())])
     return _batch(rows, schema)
 
 
 def _answers(rows: pa.Table, n_shards: int, hot: int) -> pa.Table:
     """Of one shard: every block's words with their number and count; the documents as they are; and a row of totals."""
-    asks, names = rows.to_pylist(), [k for k in rows.column_names if k not in ("keys", "counts")]
+    asks, names = rows.to_pylist(), [k for k in rows.column_names if k != "keys"]
     shard = asks[0]["shard"]
     own = [r for r in asks if r["keys"] is not None]
-    keys = [unpacked(r["keys"]).view(np.uint64) for r in own]
+    asked = [unpacked(r["keys"]) for r in own]
+    keys = [k.astype(np.int64).view(np.uint64) for k, _ in asked]
     flat = np.concatenate([np.zeros(0, np.uint64), *keys])
     distinct, where = np.unique(flat, return_inverse=True)
-    total = np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(unpacked(r["counts"]) for r in own)]), len(distinct)).astype(np.int64)
+    total = np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(n for _, n in asked)]), len(distinct)).astype(np.int64)
     rank = np.empty(len(distinct), np.int64)
     rank[np.lexsort((distinct, -total))] = np.arange(len(distinct))  # frequent words have small numbers
     number = np.where(total > 0, WORDS + rank * n_shards + shard, UNKNOWN)
     ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
     for r, k, end in zip(own, keys, ends.tolist(), strict=True):
         at = where[end - len(k) : end]
-        r["numbers"], r["totals"] = packed(number[at]), packed(total[at])
-    out = [{k: r.get(k) for k in (*names, "numbers", "totals")} for r in asks]
+        r["numbers"] = packed(number[at], total[at])
+    out = [{k: r.get(k) for k in (*names, "numbers")} for r in asks]
     out.append({"shard": shard, "n": int(total.sum()), "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum()), "hot": int((total > hot).sum())})
-    fields = [*(rows.schema.field(k) for k in names), ("numbers", pa.binary()), ("totals", pa.binary()), *((k, pa.int64()) for k in ("n", "v", "n1", "n2", "hot"))]
+    fields = [*(rows.schema.field(k) for k in names), ("numbers", pa.binary()), *((k, pa.int64()) for k in ("n", "v", "n1", "n2", "hot"))]
     return pa.Table.from_pylist(out, schema=pa.schema(fields))
 
 
@@ -162,9 +167,8 @@ def _merged(rows: pa.Table) -> pa.Table:
         own = [r for r in found if r["ids"] is not None]
         if len(own) != 1:
             raise ValueError(f"{len(own)} lists of documents in block {found[0]['block']}")
-        parts = sorted((r["shard"], r["numbers"], r["totals"]) for r in found if r["numbers"] is not None)
-        numbers, totals = (packed(np.concatenate([np.zeros(0, np.int64), *(unpacked(r[k]) for r in parts)])) for k in (1, 2))
-        out = [own[0] | {"numbers": numbers, "totals": totals}]
+        parts = [unpacked(x) for _, x in sorted((r["shard"], r["numbers"]) for r in found if r["numbers"] is not None)]
+        out = [own[0] | {"numbers": packed(*(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1)))}]
     schema = pa.schema([rows.schema.field(k) for k in rows.column_names if k != "shard"])
     return pa.Table.from_pylist([{k: r.get(k) for k in schema.names} for r in out], schema=schema)
 
@@ -189,7 +193,7 @@ class Block:
 
     def __init__(self, row: dict, counts: Counts) -> None:
         self.name, self.ids = row["block"], row["ids"]
-        self.held, sizes, places, number, total = (unpacked(row[k]) for k in ("held", "sizes", "places", "numbers", "totals"))
+        (self.held, sizes, places), (number, total) = unpacked(row["places"]), unpacked(row["numbers"])
         self.held = self.held.astype(bool)
         n = len(sizes)
         stop = np.cumsum(sizes + 1) - 1  # where the ends go
@@ -223,9 +227,6 @@ def grains(log: np.ndarray) -> np.ndarray:
     return np.rint(log / -GRAIN).astype(np.int64)
 
 
-_EVENTS = ("pairs", "lengths", "contexts", "docs")
-
-
 def _events(batches: Iterator[pa.RecordBatch], counts: Counts, n_shards: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Of each block: what is known of its documents, and its tokens by group."""
     for batch in batches:
@@ -247,23 +248,13 @@ def _events_of(block: Block, ids: pa.Field, counts: Counts, n_shards: int, hot:
         own = slice(i, j)
         pair = np.flatnonzero(np.concatenate([[True], (near[own][1:] != near[own][:-1]) | (token[own][1:] != token[own][:-1])]))
         of = at[own]
-        pairs = b"".join(len(p).to_bytes(4, "little") + p for p in (packed(x[pair]) for x in (near[own], token[own], block.count[of])))
-        context = b"".join(len(p).to_bytes(4, "little") + p for p in (packed(b[of]) for b in block.before[1:]))
-        row = (pairs, packed(np.diff(np.append(pair, j - i))), context, packed(block.doc[of] * 2 + block.held[block.doc[of]]))
-        out.append({"shard": g, "block": block.name} | dict(zip(_EVENTS, row, strict=True)))
-    fields = [("shard", pa.int64()), ("block", pa.string()), *((k, pa.binary()) for k in _EVENTS), ids, *((k, pa.binary()) for k in ("held", *known))]
+        # pairs of context and next word, how often each, the further contexts, and documents with whether they are held out
+        events = packed(near[own][pair], token[own][pair], block.count[of][pair], np.diff(np.append(pair, j - i)), block.doc[of] * 2 + block.held[block.doc[of]], *(b[of] for b in block.before[1:]))
+        out.append({"shard": g, "block": block.name, "events": events})
+    fields = [("shard", pa.int64()), ("block", pa.string()), ("events", pa.binary()), ids, *((k, pa.binary()) for k in ("held", *known))]
     return _batch(out, pa.schema(fields))
 
 
-def _split(data: bytes) -> list[np.ndarray]:
-    out, i = [], 0
-    while i < len(data):
-        n = int.from_bytes(data[i : i + 4], "little")
-        out.append(unpacked(data[i + 4 : i + 4 + n]))
-        i += 4 + n
-    return out
-
-
 def _hot_pairs(batches: Iterator[pa.RecordBatch], counts: Counts, n_shards: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Of each block: its distinct pairs of a hot word and the next, by group, with training occurrences and the next word's count."""
     for batch in batches:
@@ -334,13 +325,13 @@ _KNOWN = ("n_tokens", "n_known", "bases", "scores")
 def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.Table:
     """Of one group: each block's sums of log10 probabilities by document; and what is known of documents, as it is."""
     found = rows.to_pylist()
-    own = [r for r in found if r["pairs"] is not None]
+    own = [r for r in found if r["events"] is not None]
     out = [{k: r.get(k) for k in ("block", "ids", "held", *_KNOWN)} for r in found if r["ids"] is not None]
     if own:
-        lengths = [unpacked(r["lengths"]) for r in own]
-        near, token, count = (np.concatenate([np.repeat(x, n) for x, n in zip(part, lengths, strict=True)]) for part in zip(*(_split(r["pairs"]) for r in own), strict=True))
-        further = [np.concatenate(part) for part in zip(*(_split(r["contexts"]) for r in own), strict=True)]
-        docs = [unpacked(r["docs"]) for r in own]
+        parts = [unpacked(r["events"]) for r in own]
+        near, token, count = (np.concatenate([np.repeat(p[k], p[3]) for p in parts]) for k in range(3))
+        docs = [p[4] for p in parts]
+        further = [np.concatenate([p[k] for p in parts]) for k in range(5, 4 + DEPTH)]
         shared = None
         if hot is not None and hot.num_rows:
             shared = {k: hot.column(k).to_numpy() for k in ("token", "n", "total", "distinct", "gain")}
@@ -350,9 +341,9 @@ def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.T
         end = 0
         for r, d in zip(own, docs, strict=True):
             there, at = np.unique(d >> 1, return_inverse=True)
-            out.append({"block": r["block"], "docs": packed(there), "sums": packed(np.bincount(at, grain[end : end + len(d)]).astype(np.int64))})
+            out.append({"block": r["block"], "sums": packed(there, np.bincount(at, grain[end : end + len(d)]))})
             end += len(d)
-    fields = [("block", pa.string()), ("docs", pa.binary()), ("sums", pa.binary()), *(rows.schema.field(k) for k in ("ids", "held", *_KNOWN))]
+    fields = [("block", pa.string()), ("sums", pa.binary()), *(rows.schema.field(k) for k in ("ids", "held", *_KNOWN))]
     return pa.Table.from_pylist(out, schema=pa.schema(fields))
 
 
@@ -368,9 +359,10 @@ def _combined(rows: pa.Table) -> pa.Table:
     r = own[0]
     grain = np.frombuffer(r["scores"], np.int64).copy()
     for x in found:
-        if x["docs"] is not None:
-            grain[unpacked(x["docs"])] += unpacked(x["sums"])
-    columns = [pa.array(r["ids"], rows.schema.field("ids").type.value_type), pa.array(unpacked(r["held"]).astype(bool))]
+        if x["sums"] is not None:
+            there, sums = unpacked(x["sums"])
+            grain[there] += sums
+    columns = [pa.array(r["ids"], rows.schema.field("ids").type.value_type), pa.array(unpacked(r["held"])[0].astype(bool))]
     columns += [np.frombuffer(r[k], t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("bases", np.float64))]
     return pa.table([*columns, grain * -GRAIN], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
@@ -386,9 +378,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size, ends = rows.agg(input_bytes("text"), F.count_if(training)).first()
     n_shards, hot = max(1, min(shards(spark), size >> 20), size // WORD_SHARD_BYTES), max(1, shard_tokens)
     block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, int(100 * size**0.5)))
-    documents = f"ids array<{kind}>, held binary, sizes binary, places binary"
-    words = f"block string, {documents}, numbers binary, totals binary, {', '.join(f'{k} long' for k in _TOTALS)}"
-    asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, block_bytes), f"shard int, block string, keys binary, counts binary, {documents}")
+    documents = f"ids array<{kind}>, places binary"
+    words = f"block string, {documents}, numbers binary, {', '.join(f'{k} long' for k in _TOTALS)}"
+    asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, block_bytes), f"shard int, block string, keys binary, {documents}")
     answers = asked.groupBy("shard").applyInArrow(lambda rows: _answers(rows, n_shards, hot), f"shard int, {words}")
     with arrow_batches(spark):
         answers = saved(answers.groupBy("block").applyInArrow(_merged, words))
@@ -397,8 +389,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_groups = max(1, min(shards(spark), size >> 20), 2 * counts.n // shard_tokens)
     blocks = answers.where("block is not null").drop(*_TOTALS)
     known = f"ids array<{kind}>, held binary, n_tokens binary, n_known binary, bases binary, scores binary"
-    events = blocks.mapInArrow(lambda batches: _events(batches, counts, n_groups, hot), f"shard long, block string, pairs binary, lengths binary, contexts binary, docs binary, {known}").groupBy("shard")
-    schema = f"block string, docs binary, sums binary, {known}"
+    events = blocks.mapInArrow(lambda batches: _events(batches, counts, n_groups, hot), f"shard long, block string, events binary, {known}").groupBy("shard")
+    schema = f"block string, sums binary, {known}"
     with arrow_batches(spark, 2):  # a row is a whole block
         if hot_words or ends > hot:
             pairs = blocks.mapInArrow(lambda batches: _hot_pairs(batches, counts, n_groups, hot), "shard long, near long, token long, count long, n long")
