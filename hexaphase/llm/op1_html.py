@@ -388,15 +388,17 @@ def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataF
     """pages without their html, with the main text and its length in code points, n_chars."""
     at = pages.columns.index(html_col)
     kept = [i for i, c in enumerate(pages.columns) if c not in (html_col, to, "n_chars")]
-    schema = StructType([*(pages.schema.fields[i] for i in kept), StructField(to, StringType()), StructField("n_chars", LongType())])
+    names = [f"c{i}" for i in range(len(pages.columns))]  # names that no dot or case can upset
+    made = [*(names[i] for i in kept), "text", "n_chars"]
+    schema = StructType([*(StructField(names[i], pages.schema.fields[i].dataType) for i in kept), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(at)]
             columns = [batch.column(i) for i in kept] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in kept), to, "n_chars"])
+            yield pa.RecordBatch.from_arrays(columns, names=made)
 
-    return pages.mapInArrow(run, schema)
+    return pages.toDF(*names).mapInArrow(run, schema).toDF(*(pages.columns[i] for i in kept), to, "n_chars")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,8 +185,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     """docs with a column more, or in place of one of that name: the probability of label 1."""
     docs = docs.drop(to) if to in docs.columns and to != text_col else docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = StructType([*docs.schema.fields, StructField(to, DoubleType(), False)])
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*(f"c{i}" for i in range(len(docs.columns))), "made"]  # names that no dot or case can upset
+    out = StructType([*(StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields, strict=False)), StructField("made", DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(), dict(shared.value)
@@ -195,9 +195,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
         for batch in batches:
             x = [pooled(words(t.as_py()), vectors) for t in batch.column(at)]
             s = net.score(np.array(x, np.float64).reshape(len(x), 2 * DIM))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=names)
 
-    return docs.mapInArrow(run, out)
+    return docs.toDF(*names[:-1]).mapInArrow(run, out).toDF(*docs.columns, to)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
