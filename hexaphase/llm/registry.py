@@ -11,6 +11,7 @@ from . import op1_html as op1
 from . import op10_suffix_dedup as op10
 from . import op11_repair as op11
 from . import op12_alignment as op12
+from . import op13_ngram_join as op13
 from . import op2_exact_dedup as op2
 from . import op3_sentencepiece as op3
 from . import op4_lm as op4
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10.op10_suffix_dedup,
         "op11_repair": op11.op11_repair,
         "op12_alignment": op12.op12_alignment,
+        "op13_ngram_join": op13.op13_ngram_join,
     }
     if importlib.util.find_spec("corpus_pipeline") is not None:
         found["pipeline"] = _pipeline
