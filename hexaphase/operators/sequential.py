@@ -67,6 +67,21 @@ def sampled(df: DataFrame, keys: list[str], order: list[str], at: str, gap: int)
     return per_stream(df, keys, order, [at], step, "_kept boolean").where("_kept").drop("_kept")
 
 
+def recent_ids(df: DataFrame, keys: list[str], order: list[str], id_col: str, last: int = 1024) -> DataFrame:
+    """Only rows whose id is none of the stream's last so many new ids: an id that was forgotten comes as new again."""
+
+    def step(held, x):
+        held = {} if held is None else held
+        new = x not in held
+        if new:
+            held[x] = None
+            if len(held) > last:
+                del held[next(iter(held))]
+        return held, (new,)
+
+    return per_stream(df, keys, order, [id_col], step, "_new boolean").where("_new").drop("_new")
+
+
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, to: str = "smoothed") -> DataFrame:
     """First-order recursion: keep times the last value, the rest from the new one."""
 
