@@ -34,10 +34,6 @@ def sample_step(anchor: int | None, now: int, gap: int) -> tuple[int, bool]:
     return (now, True) if anchor is None or now - anchor >= gap else (anchor, False)
 
 
-def smooth_step(value: float | None, new: float, keep: float) -> float:
-    return new if value is None else keep * value + (1 - keep) * new
-
-
 class RunningMinimum:
     """Minimum over the last sub-windows of a fixed number of steps."""
 

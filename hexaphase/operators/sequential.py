@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..kernels.recursions import RunningMinimum, queue_step, rate_step, sample_step, smooth_step
+from ..kernels.recursions import RunningMinimum, queue_step, rate_step, sample_step
 from ..model import RateConfig
 
 
@@ -82,16 +82,6 @@ def recent_ids(df: DataFrame, keys: list[str], order: list[str], id_col: str, la
     return per_stream(df, keys, order, [id_col], step, "_new boolean").where("_new").drop("_new")
 
 
-def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, to: str = "smoothed") -> DataFrame:
-    """First-order recursion: keep times the last value, the rest from the new one."""
-
-    def step(state, x):
-        state = smooth_step(state, x, keep)
-        return state, (state,)
-
-    return per_stream(df, keys, order, [value], step, f"{to} double")
-
-
 def tracked_minimum(df: DataFrame, keys: list[str], order: list[str], value: str, steps: int = 5, windows: int = 10) -> DataFrame:
     """Adds minimum: over the last windows of steps values each, as the noise tracker has it."""
 

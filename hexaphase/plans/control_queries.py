@@ -48,10 +48,14 @@ def denoiser_choice(spark, sf):
     return ct.denoiser_choice(t.hops(spark, sf), ["user_id"], "h", F.col("event_type") == "click").select("user_id", "event_id", "emits", "denoised")
 
 
-@query("submit_gate", f"WITH {EV}, s AS (SELECT user_id, event_id, us, (us - min(us) OVER (PARTITION BY user_id)) // 86400000000 AS slot FROM ev) SELECT user_id, event_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id, slot ORDER BY us) = 1")
+_SG = f"""RECURSIVE {EP}, sg AS (SELECT user_id, h, event_id, us, epoch, us AS anchor, true AS kept FROM ep WHERE h = 0
+ UNION ALL SELECT e.user_id, e.h, e.event_id, e.us, e.epoch, CASE WHEN e.epoch <> sg.epoch OR e.us - anchor >= 86400000000 THEN e.us ELSE anchor END, e.epoch <> sg.epoch OR e.us - anchor >= 86400000000 FROM sg JOIN ep e ON e.user_id = sg.user_id AND e.h = sg.h + 1)"""
+
+
+@query("submit_gate", f"WITH {_SG} SELECT user_id, event_id FROM sg WHERE kept")
 def submit_gate(spark, sf):
-    """One row a day at most, counted from a stream's first row."""
-    return ct.submissions(t.hops(spark, sf), ["user_id"], "us", 86_400_000_000).select("user_id", "event_id")
+    """A row is handed on if a day has passed since the last one that was; an epoch starts anew."""
+    return ct.submissions(_epochs(spark, sf), ["user_id"], "us", 86_400_000_000, "epoch", ["h"]).select("user_id", "event_id")
 
 
 @query("discarded_tail", f"WITH {EP}, n AS (SELECT user_id, epoch, max(end_sample) AS samples FROM ep GROUP BY ALL) SELECT user_id, epoch, samples, greatest(0, samples - (CASE WHEN samples < 7680 THEN 6720 ELSE 6720 + ((samples - 7680) // 960 + 1) * 960 END))::BIGINT AS discarded FROM n")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import circular_distance, signed_delta
 from ..operators import decisions as de
+from ..operators import recurrences as rc
+from ..operators import recut
 from ..operators import sequential as sq
 from ..operators import timeline as tl
 from ..sources import tables as t
@@ -308,7 +310,7 @@ LOG = f"""RECURSIVE {EV}, kp AS (SELECT user_id, h, event_id, us, us AS anchor,
 
 @query("track_log_sampled", f"WITH {LOG} SELECT user_id, event_id FROM kp WHERE kept")
 def track_log_sampled(spark, sf):
-    return sq.sampled(t.hops(spark, sf).select("user_id", "h", "event_id", "us"), ["user_id"], ["h"], "us", 30 * HOUR).select("user_id", "event_id")
+    return rc.anchors(t.hops(spark, sf).select("user_id", "h", "event_id", "us"), ["user_id"], "us", 30 * HOUR, ["h"]).select("user_id", "event_id")
 
 
 @query("track_log_tsv", f"WITH {LOG} SELECT k.user_id AS track_id, (min(k.us) // 1000000) AS first_s, string_agg(k.h || ':' || (floor(e.angle * 10)::BIGINT // 10) || '.' || (floor(e.angle * 10)::BIGINT % 10), ',' ORDER BY k.h) AS trajectory FROM kp k JOIN ev e ON e.event_id = k.event_id WHERE kept GROUP BY k.user_id")
@@ -356,20 +358,13 @@ def latest_mailbox(spark, sf):
 def imcra_recursion(spark, sf):
     """The noise tracker's first pass: the smoothed power."""
     ev = t.hops(spark, sf).select("user_id", "h", "event_id", "value")
-    return rounded(sq.smoothed(ev, ["user_id"], ["h"], "value", 0.77), "smoothed").select("user_id", "event_id", "smoothed")
+    return rounded(rc.smoothed(ev, ["user_id"], "h", "value", 0.77), "smoothed").select("user_id", "event_id", "smoothed")
 
 
 @query("wiener_gain", f"WITH RECURSIVE {EV}, g AS (SELECT *, greatest(pow(10, -0.9), p) AS target FROM ev), r AS (SELECT user_id, h, event_id, target AS s FROM g WHERE h = 0 UNION ALL SELECT e.user_id, e.h, e.event_id, 0.8 * s + (1 - 0.8) * e.target FROM r JOIN g e ON e.user_id = r.user_id AND e.h = r.h + 1) SELECT user_id, event_id, round(s, 6) AS gain FROM r")
 def wiener_gain(spark, sf):
     ev = t.hops(spark, sf).select("user_id", "h", "event_id", F.greatest(F.lit(10**-0.9), F.col("p")).alias("target"))
-    return rounded(sq.smoothed(ev, ["user_id"], ["h"], "target", 0.8, "gain"), "gain").select("user_id", "event_id", "gain")
-
-
-@query("noise_minimum", f"WITH {EV}, w AS (SELECT *, max(h) OVER (PARTITION BY user_id) AS last FROM ev) SELECT user_id, event_id, round(CASE WHEN h < 4 THEN min(value) OVER (PARTITION BY user_id ORDER BY h) ELSE NULL END, 6) AS minimum FROM w WHERE h < 4")
-def noise_minimum(spark, sf):
-    """The first sub-window of the minimum tracker, which SQL can follow; noise_minimum_all has every hop."""
-    ev = t.hops(spark, sf).select("user_id", "h", "event_id", "value")
-    return rounded(sq.tracked_minimum(ev, ["user_id"], ["h"], "value"), "minimum").where("h < 4").select("user_id", "event_id", "minimum")
+    return rounded(rc.smoothed(ev, ["user_id"], "h", "target", 0.8, "gain"), "gain").select("user_id", "event_id", "gain")
 
 
 @query("noise_minimum_all")
@@ -377,3 +372,42 @@ def noise_minimum_all(spark, sf):
     """The minimum tracker at every hop, past closed sub-windows and those that it forgets."""
     ev = t.hops(spark, sf).select("user_id", "h", "event_id", "value")
     return rounded(sq.tracked_minimum(ev, ["user_id"], ["h"], "value"), "minimum").select("user_id", "event_id", "minimum")
+
+
+_RI = f"""RECURSIVE {EV}, i AS (SELECT user_id, h, event_id, floor(value / 4)::BIGINT AS id FROM ev), r AS (SELECT user_id, h, event_id, [id] AS held, true AS new FROM i WHERE h = 0
+ UNION ALL SELECT i.user_id, i.h, i.event_id, CASE WHEN list_contains(held, id) THEN held ELSE list_append(held, id)[-8:] END, NOT list_contains(held, id) FROM r JOIN i ON i.user_id = r.user_id AND i.h = r.h + 1)"""
+
+
+@query("recent_ids", f"WITH {_RI} SELECT user_id, event_id FROM r WHERE new")
+def recent_ids(spark, sf):
+    """Events whose id is none of the last eight new ones of their stream: a forgotten id comes as new again."""
+    ev = t.hops(spark, sf).select("user_id", "h", "event_id", F.floor(F.col("value") / 4).cast("long").alias("id"))
+    return sq.recent_ids(ev, ["user_id"], ["h"], "id", 8).select("user_id", "event_id")
+
+
+def _odd_blocks(spark, sf):
+    """The rows of embeddings as blocks of one to eight samples, end to end within a session."""
+    b = t.blocks(spark, sf).withColumn("n", F.col("seq") % 8 + 1)
+    end = F.sum("n").over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return b.select("session", F.lit(0).cast("long").alias("epoch"), "seq", (end - F.col("n")).alias("start_sample"), F.slice("samples", F.lit(1), (F.col("n") * 8).cast("int")).alias("samples"))
+
+
+_OD = """s0 AS (SELECT label::BIGINT AS session, vec_id AS seq, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS k FROM embeddings), s1 AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq, k) - 1 AS i FROM s0 WHERE k < (seq % 8 + 1) * 8)"""
+
+
+def _sums(df, *more):
+    """What tells samples and their order: the sum of each times its place."""
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(df.withColumn("checksum", weighed), "checksum", digits=5).select("session", *more, F.element_at("sequence_ids", 1).alias("first_seq"), F.element_at("sequence_ids", -1).alias("last_seq"), F.size("sequence_ids").cast("long").alias("blocks"), "checksum")
+
+
+@query("recut_hops", f"WITH {_OD} SELECT session, i // 40 AS hop, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT seq) AS blocks, round(sum(x * (i % 40 + 1)), 5) AS checksum FROM s1 GROUP BY ALL HAVING count(*) = 40")
+def recut_hops(spark, sf):
+    """Hops of five samples, cut from blocks of one to eight."""
+    return _sums(recut.hops(_odd_blocks(spark, sf), hop=5), "hop")
+
+
+@query("recut_windows", f"WITH {_OD}, n AS (SELECT session, max(i) AS last FROM s1 GROUP BY session), w AS (SELECT session, unnest(range(0, (last + 1) // 40 - 3)) AS window_id FROM n) SELECT w.session, window_id, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT seq) AS blocks, round(sum(x * (i - window_id * 40 + 1)), 5) AS checksum FROM w JOIN s1 ON s1.session = w.session AND i // 40 BETWEEN window_id AND window_id + 3 GROUP BY ALL")
+def recut_windows(spark, sf):
+    """Sliding windows of four such hops with their samples."""
+    return _sums(recut.windows(recut.hops(_odd_blocks(spark, sf), hop=5), 20, 5, chunk=50), "window_id")
