@@ -26,7 +26,6 @@ import hashlib
 import math
 from ast import literal_eval
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -66,8 +65,16 @@ def code_of(role: str, fault: int) -> int:
     return MUST_GO if fault in (BLANK, DUPLICATE) else ("sua".find(role[0]) % 4 if role else 3) * 2 + (fault == TRUNCATED)
 
 
-@lru_cache(maxsize=1 << 16)
+_STEPS: dict[tuple[int, Vector], Vector] = {}
+
+
 def _step(code: int, v: Vector) -> Vector:
+    if (code, v) not in _STEPS:
+        _STEPS[code, v] = _new_step(code, v)
+    return _STEPS[code, v]
+
+
+def _new_step(code: int, v: Vector) -> Vector:
     out = []
     for s in range(4):
         best = DELETE_COST + v[s]

@@ -3,13 +3,15 @@
 Two sets that similar share a token (a hashed shingle) among the first p = n - ceil(0.85 n) + 1 of each, whatever the global order
 of tokens; and among the first p - 1 + l of each they share l. No filter loses a link, so a pair must pass all of them:
 
-- Order 1 finds candidates. A quarter of all tokens, chosen by their hashes, comes first, the rarest before the others; then the rest by
-  hash. Only that quarter is counted over the corpus. Tokens of one set only can't be shared: a set whose first p tokens are all of
-  that kind is done, and passages that many documents share stand last and make no candidates.
-- Orders 2 and 3 are permutations of the hashes. Candidates must share min(p) tokens among the first 2 p - 1 of each.
+- Order 1 has a quarter of all tokens, chosen by their hashes, first, the rarest before the others; then the rest by hash. Only that
+  quarter is counted over the corpus. A token of one set only can't be shared: a set whose first p tokens are all of that kind has no
+  partner, and is done.
+- Order 2 has all tokens of the sets that are left, the rarest first, and finds candidates. Passages that many documents share stand
+  last and make none. A pair must also be able to be similar by how many tokens of each no other set has.
+- Orders 3 and 4 are permutations of the hashes. Candidates must share min(p) tokens among the first 2 p - 1 of each.
 - What passes is verified on the whole sets.
 
-Equal sets are one class and never meet as pairs. The classes that share a token of order 1's prefix are a cell. In a round each
+Equal sets are one class and never meet as pairs. The classes that share a token of order 2's prefix are a cell. In a round each
 cell names leaders, by a minimum that combines before the shuffle, and its classes are held against these; leaders then leave, and
 so does a cell whose classes are connected by what was found. Each round names more leaders, until no cell is left: every pair of
 a cell was either compared or is connected. So a group of copies costs about its size, and none is left out.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, RangeHash, arrow_batches, join_keyed, mix, saved, table, word_bounds
@@ -93,8 +95,8 @@ def share(x: bytes, y: bytes, size_x: int, size_y: int) -> bool:
     return True
 
 
-def similar(x: bytes, y: bytes, size_x: int, size_y: int) -> bool:
-    common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+def similar(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= PERCENT * (size_x + size_y - common)
 
 
@@ -102,6 +104,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    at = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in sets], dtype=np.int64)]), pa.int32())
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def embedded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the class), size, tokens (of first_order): one row per row of docs."""
     rows = _texts(docs, id_col, text_col)
@@ -110,10 +117,8 @@ def embedded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             sets = [shingles(t.as_py() or b"") for t in batch.column(1)]
             fps = np.array([_class_of(h) for h in sets], np.uint64).view(np.int64)
-            tokens = [first_order(h) for h in sets]
-            at = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens], dtype=np.int64)]), pa.int32())
-            flat = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "fp", "size", "tokens"])
+            columns = [batch.column(0), pa.array(fps), pa.array([len(h) for h in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists([first_order(h) for h in sets])], names=["doc_id", "fp", "size", "tokens"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, size int, tokens array<long>")
 
@@ -126,11 +131,9 @@ def _postings(rows: DataFrame) -> DataFrame:
     return once.select("fp", F.explode("tokens").alias("token"))
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """fp, token, n: the tokens that n classes hold, 2 or more."""
-    postings = _postings(rows)
-    total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    sample = rows.select(F.explode("tokens").alias("token")).sample(min(1.0, SAMPLED_ROWS / max(total, 1)), 7)
+def _shared(postings: DataFrame, total: int) -> DataFrame:
+    """fp, token, n of the postings (token, fp) whose token n classes hold, 2 or more. total: about how many postings there are."""
+    sample = postings.select("token").sample(min(1.0, SAMPLED_ROWS / max(total, 1)), 7)
     hot = saved(sample.groupBy("token").count().where(f"count > {HOT_ROWS}").select("token"))  # SAMPLED_ROWS / HOT_ROWS at most
     own = postings.join(F.broadcast(hot), "token", "left_semi")
     counts = own.groupBy("token").agg(F.count("*").alias("n"))
@@ -138,19 +141,40 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     return light.unionByName(own.join(F.broadcast(counts), "token")).where("n > 1").select("fp", "token", "n")
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """s (a token), fp, size, c (the class's component, itself so far): each class in the cells of order 1's prefix that others may share."""
-    kept = f"size - ({PERCENT} * size + 99) div 100 + 1"
-    classes = rows.where("size > 0").select("fp", "size", F.expr(f"size(filter(tokens, t -> t >= 0 and t < {COUNTED}L))").alias("counted")).dropDuplicates(["fp"])
-    met = _shared_tokens(rows).withColumn("first", F.expr(f"token >= 0 and token < {COUNTED}L"))
+_PREFIX = f"size - ({PERCENT} * size + 99) div 100 + 1"
+_COUNTED = f"(token >= 0 and token < {COUNTED}L)"
+
+
+def _alive(rows: DataFrame) -> DataFrame:
+    """fp of the classes that share a token of the prefix, as far as the counted quarter of all tokens tells: no other class has a partner."""
+    classes = rows.where("size > 0").select("fp", "size", F.expr(f"size(filter(tokens, token -> {_COUNTED}))").alias("counted")).dropDuplicates(["fp"])
+    met = _shared(_postings(rows), rows.agg(F.sum(F.size("tokens"))).first()[0] or 0).withColumn("first", F.expr(_COUNTED))
     met = met.join(classes.hint("merge"), "fp")
     met = met.withColumn("shared", F.expr("count_if(first) over (partition by fp)")).withColumn("place", F.expr("row_number() over (partition by fp order by not first, n, token)"))
-    chosen = met.where(f"not first or counted - shared + place <= {kept}")
-    return chosen.select(F.col("token").alias("s"), "fp", "size", F.col("fp").alias("c"))
+    return met.where(f"not first or counted - shared + place <= {_PREFIX}").select("fp").distinct()
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """s (a token), fp, size, lone, c: each class in the cells of its prefix, now by the rarity of all tokens among the classes that are left. lone: how many tokens no other class has. c: the class's component, itself so far."""
+    met = _shared(sets.select("fp", F.explode("tokens").alias("token")), sets.agg(F.sum("size")).first()[0] or 0)
+    met = met.join(sets.select("fp", "size").hint("merge"), "fp")
+    met = met.withColumn("lone", F.expr("size - cast(count(*) over (partition by fp) as int)")).withColumn("place", F.expr("row_number() over (partition by fp order by n, token)"))
+    cells = saved(met.where(f"lone + place <= {_PREFIX}").select(F.col("token").alias("s"), "fp", "size", "lone"))
+    # by size of a cell's classes, the fewest lone tokens: a class stays in a cell only if one of these can be its partner
+    by_size = cells.groupBy("s", "size").agg(F.min("lone").alias("lone"), F.count("*").alias("n"))
+    sizes = saved(by_size.groupBy("s").agg(F.collect_list(F.struct("size", "lone")).alias("sizes"), F.sum("n").alias("rows")).where("rows > 1"))
+    fits = join_keyed(cells, sizes, ["s"], "rows").where(F.exists("sizes", lambda y: _may_link(F.col("size"), F.col("lone"), y["size"], y["lone"])))
+    return fits.select("s", "fp", "size", "lone", F.col("fp").alias("c"))
+
+
+def _may_link(size_x: Column, lone_x: Column, size_y: Column, lone_y: Column) -> Column:
+    """Whether sets can be similar by their sizes and by how many of their tokens no other set has."""
+    most = F.least(size_x - lone_x, size_y - lone_y)
+    return 100 * most >= PERCENT * (size_x + size_y - most)
 
 
 def _sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """fp, orders, hashes of the classes fps, from the text of one document each."""
+    """fp, size, orders, tokens (the whole set) of the classes fps, from the text of one document each."""
     wanted = saved(rows.where("size > 0").join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id")))
     texts = _texts(docs, id_col, text_col)
     texts = texts.join(wanted.select("id").distinct(), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
@@ -159,9 +183,10 @@ def _sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, id_col: str, text_co
         for batch in batches:
             sets = [h for t in batch.column(0) if len(h := shingles(t.as_py() or b""))]
             fps_ = np.array([_class_of(h) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps_), pa.array([later_orders(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["fp", "orders", "hashes"])
+            columns = [pa.array(fps_), pa.array([len(h) for h in sets], pa.int32()), pa.array([later_orders(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], names=["fp", "size", "orders", "tokens"])
 
-    found = texts.mapInArrow(run, "fp long, orders binary, hashes binary").join(wanted.select("fp"), "fp", "left_semi")
+    found = texts.mapInArrow(run, "fp long, size int, orders binary, tokens array<long>").join(wanted.select("fp"), "fp", "left_semi")
     return saved(found.dropDuplicates(["fp"]))
 
 
@@ -173,40 +198,40 @@ def _passing(pairs: DataFrame, sets: DataFrame, name: str, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            keep = [test(x.as_py(), y.as_py(), m, n) for x, y, (m, n) in zip(batch.column(4), batch.column(5), sizes, strict=True)]
+            value = (lambda v: v.values.to_numpy()) if pa.types.is_list(batch.schema.field(4).type) else (lambda v: v.as_py())
+            keep = [test(value(x), value(y), m, n) for x, y, (m, n) in zip(batch.column(4), batch.column(5), sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "size_a", "size_b"]).filter(pa.array(keep, pa.bool_()))
 
     return saved(both.mapInArrow(run, "a long, b long, size_a int, size_b int"))
 
 
 def _led(open_: DataFrame, number: int, leaders: int) -> DataFrame:
-    """s, rows, led: up to so many classes of each cell that is not yet connected. The same classes lead in most of a group's cells."""
+    """s, rows, led: up to so many classes of each cell that is not yet connected, those with the fewest lone tokens first: copies meet their original. The same classes lead in most of a group's cells."""
     order = F.xxhash64(F.lit(number), "fp")
-    led = open_.groupBy("s", F.pmod(order, F.lit(leaders)).alias("j")).agg(F.min(F.struct(order.alias("o"), "fp", "size", "c")).alias("l"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
+    led = open_.groupBy("s", F.pmod(order, F.lit(leaders)).alias("j")).agg(F.min(F.struct("lone", order.alias("o"), "fp", "size", "c")).alias("l"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
     led = led.groupBy("s").agg(F.collect_list("l").alias("led"), F.sum("n").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
     return led.where("least < most").drop("least", "most")
 
 
 def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b: similar classes; those that are similar are connected by them, directly or through others. rows: of embedded()."""
-    open_, sets, found = saved(_cells(rows)), None, None
+    sets = _sets(docs, rows, saved(_alive(rows)), id_col, text_col)
+    open_, found = saved(_cells(sets)), rows.sparkSession.createDataFrame([], "a long, b long")
     leaders, number = LEADERS, 0
     while True:
         led = saved(_led(open_, number, leaders))
         if led.isEmpty():
-            return found if found is not None else rows.sparkSession.createDataFrame([], "a long, b long")
+            return found
         met = saved(join_keyed(open_, led, ["s"], "rows"))
-        sets = sets if sets is not None else _sets(docs, rows, met.select("fp").distinct(), id_col, text_col)
-        pairs = met.select("fp", "size", "c", F.explode("led").alias("l")).where("c != l.c").where(f"100 * least(size, l.size) >= {PERCENT} * greatest(size, l.size)")
+        pairs = met.select("fp", "size", "lone", "c", F.explode(F.filter("led", lambda l: (l["c"] != F.col("c")) & _may_link(F.col("size"), F.col("lone"), l["size"], l["lone"]))).alias("l"))
         ends = [f"if(fp < l.fp, {x}, {y})" for x, y in (("fp", "l.fp"), ("l.fp", "fp"), ("size", "l.size"), ("l.size", "size"))]
         pairs = saved(pairs.select(*(F.expr(e).alias(n) for e, n in zip(ends, ("a", "b", "size_a", "size_b"), strict=True))).distinct())
-        for name, test in (("orders", share), ("hashes", similar)):
+        for name, test in (("orders", share), ("tokens", similar)):
             pairs = _passing(pairs, sets, name, test)
-        new = pairs.select("a", "b")
-        roots = saved(components(new if found is None else found.unionByName(new)))
+        roots = saved(components(found.unionByName(pairs.select("a", "b"))))
         found = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        left = met.where("not exists(led, l -> l.fp = fp)").select("s", "fp", "size")
-        open_ = saved(left.join(roots, left["fp"] == roots["node"], "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")))
+        left = met.where("not exists(led, l -> l.fp = fp)").select("s", "fp", "size", "lone")
+        open_ = saved(left.join(roots, left["fp"] == roots["node"], "left").select("s", "fp", "size", "lone", F.coalesce("root", "fp").alias("c")))
         leaders, number = leaders * MORE, number + 1
 
 
