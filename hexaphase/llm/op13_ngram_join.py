@@ -7,7 +7,7 @@ of tokens; and among the first p - 1 + l of each they share l. No filter loses a
   quarter is counted over the corpus. A token of one set only can't be shared: a set whose first p tokens are all of that kind has no
   partner, and is done.
 - Order 2 has all tokens of the sets that are left, the rarest first, and finds candidates. Passages that many documents share stand
-  last and make none. A pair must also be able to be similar by how many tokens of each no other set has.
+  last and make none. In the cell of a pair's first common token, no token before it is common, which must leave enough.
 - Orders 3 and 4 are permutations of the hashes. Candidates must share min(p) tokens among the first 2 p - 1 of each.
 - What passes is verified on the whole sets.
 
@@ -44,7 +44,7 @@ COUNTED = 1 << 62
 #: Tokens that make up more than HOT_ROWS in SAMPLED_ROWS of all are dealt without a shuffle by token.
 SAMPLED_ROWS, HOT_ROWS = 1_000_000, 64
 #: Leaders of a cell in the first round, and how many times more in each later one.
-LEADERS, MORE = 8, 8
+LEADERS, MORE = 8, 4
 _FACTORS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -134,11 +134,11 @@ def _postings(rows: DataFrame) -> DataFrame:
 def _shared(postings: DataFrame, total: int) -> DataFrame:
     """fp, token, n of the postings (token, fp) whose token n classes hold, 2 or more. total: about how many postings there are."""
     sample = postings.select("token").sample(min(1.0, SAMPLED_ROWS / max(total, 1)), 7)
-    hot = saved(sample.groupBy("token").count().where(f"count > {HOT_ROWS}").select("token"))  # SAMPLED_ROWS / HOT_ROWS at most
-    own = postings.join(F.broadcast(hot), "token", "left_semi")
-    counts = own.groupBy("token").agg(F.count("*").alias("n"))
-    light = postings.join(F.broadcast(hot), "token", "left_anti").repartition("token").withColumn("n", F.expr("count(*) over (partition by token)"))
-    return light.unionByName(own.join(F.broadcast(counts), "token")).where("n > 1").select("fp", "token", "n")
+    hot = saved(sample.groupBy("token").count().where(f"count > {HOT_ROWS}").select("token", F.lit(True).alias("hot")))  # SAMPLED_ROWS / HOT_ROWS at most
+    counts = saved(postings.join(F.broadcast(hot), "token", "left").where("hot").groupBy("token").agg(F.count("*").alias("n")))
+    dealt = postings.join(F.broadcast(counts), "token", "left")
+    light = dealt.where("n is null").select("token", "fp").repartition("token").withColumn("n", F.expr("count(*) over (partition by token)"))
+    return light.unionByName(dealt.where("n is not null")).where("n > 1").select("fp", "token", "n")
 
 
 _PREFIX = f"size - ({PERCENT} * size + 99) div 100 + 1"
@@ -155,12 +155,16 @@ def _alive(rows: DataFrame) -> DataFrame:
 
 
 def _cells(sets: DataFrame) -> DataFrame:
-    """s (a token), fp, size, lone, c: each class in the cells of its prefix, now by the rarity of all tokens among the classes that are left. lone: how many tokens no other class has. c: the class's component, itself so far."""
+    """s (a token), fp, size, lone, c: each class in the cells of its prefix, now by the rarity of all tokens among the classes that are left. lone: how many of its tokens come before s. c: the class's component, itself so far.
+
+    A similar pair is found in the cell of its first common token. There, none of the tokens before it is common, which bounds how
+    similar the two can be: a class leaves a cell in which no other one could be its partner.
+    """
     met = _shared(sets.select("fp", F.explode("tokens").alias("token")), sets.agg(F.sum("size")).first()[0] or 0)
     met = met.join(sets.select("fp", "size").hint("merge"), "fp")
     met = met.withColumn("lone", F.expr("size - cast(count(*) over (partition by fp) as int)")).withColumn("place", F.expr("row_number() over (partition by fp order by n, token)"))
-    cells = saved(met.where(f"lone + place <= {_PREFIX}").select(F.col("token").alias("s"), "fp", "size", "lone"))
-    # by size of a cell's classes, the fewest lone tokens: a class stays in a cell only if one of these can be its partner
+    cells = saved(met.where(f"lone + place <= {_PREFIX}").select(F.col("token").alias("s"), "fp", "size", F.expr("lone + place - 1").alias("lone")))
+    # by size of a cell's classes, the fewest lone tokens: a class stays only if one of these can be its partner
     by_size = cells.groupBy("s", "size").agg(F.min("lone").alias("lone"), F.count("*").alias("n"))
     sizes = saved(by_size.groupBy("s").agg(F.collect_list(F.struct("size", "lone")).alias("sizes"), F.sum("n").alias("rows")).where("rows > 1"))
     fits = join_keyed(cells, sizes, ["s"], "rows").where(F.exists("sizes", lambda y: _may_link(F.col("size"), F.col("lone"), y["size"], y["lone"])))
@@ -168,7 +172,7 @@ def _cells(sets: DataFrame) -> DataFrame:
 
 
 def _may_link(size_x: Column, lone_x: Column, size_y: Column, lone_y: Column) -> Column:
-    """Whether sets can be similar by their sizes and by how many of their tokens no other set has."""
+    """Whether sets can be similar by their sizes and by how many tokens of each the other does not have."""
     most = F.least(size_x - lone_x, size_y - lone_y)
     return 100 * most >= PERCENT * (size_x + size_y - most)
 
@@ -177,7 +181,7 @@ def _sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, id_col: str, text_co
     """fp, size, orders, tokens (the whole set) of the classes fps, from the text of one document each."""
     wanted = saved(rows.where("size > 0").join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id")))
     texts = _texts(docs, id_col, text_col)
-    texts = texts.join(wanted.select("id").distinct(), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
+    texts = texts.join(wanted.select("id"), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +210,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, name: str, test) -> DataFrame:
 
 
 def _led(open_: DataFrame, number: int, leaders: int) -> DataFrame:
-    """s, rows, led: up to so many classes of each cell that is not yet connected, those with the fewest lone tokens first: copies meet their original. The same classes lead in most of a group's cells."""
+    """s, rows, led: up to so many classes of each cell that is not yet connected, those with the fewest tokens before s first: copies meet their original. The same classes lead in most of a group's cells."""
     order = F.xxhash64(F.lit(number), "fp")
     led = open_.groupBy("s", F.pmod(order, F.lit(leaders)).alias("j")).agg(F.min(F.struct("lone", order.alias("o"), "fp", "size", "c")).alias("l"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
     led = led.groupBy("s").agg(F.collect_list("l").alias("led"), F.sum("n").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
