@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.acoustics import carried
+
 LEAD, SIDE = b"\xff" * 16, 16
 
 
@@ -21,16 +23,18 @@ def frames(data: bytes, rest: bytes = b"") -> tuple[list[bytes], bytes]:
 
 
 def parse(pieces: DataFrame, device: str = "device", order: str = "seq") -> DataFrame:
-    """Per device its frames in order: frame_no and matrix."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rest, found = b"", []
-        for data in rows.sort_values(order)["payload"]:
-            new, rest = frames(bytes(data), rest)
-            found += new
-        return pd.DataFrame({device: rows[device].iloc[0], "frame_no": range(len(found)), "matrix": [list(f) for f in found]})
-
-    return pieces.groupBy(device).applyInPandas(run, f"{device} long, frame_no long, matrix array<short>")
+    """Per device its frames in order: frame_no and matrix. A task holds a batch of pieces and what a frame still lacks, however long a device's stream is."""
+
+    def step(state: list, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for data in rows["payload"]:
+            new, state[0] = frames(bytes(data), state[0])
+            out += new
+        state[1] += len(out)
+        return pd.DataFrame({device: rows[device].iloc[0], "frame_no": range(state[1] - len(out), state[1]), "matrix": pd.Series([list(f) for f in out], dtype=object)})
+
+    kind = pieces.schema[device].dataType.simpleString()
+    return carried(pieces.select(device, order, "payload"), [device], [order], f"{device} {kind}, frame_no long, matrix array<short>", lambda: [b"", 0], step)
 
 
 def command(light: bool | None = None, beam: int | None = None, threshold: int | None = None, reset: bool = False) -> bytes:

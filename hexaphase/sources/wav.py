@@ -1,4 +1,4 @@
-"""Recordings as files: PCM16 WAV through Spark's binary reader, and writers for the driver side."""
+"""Recordings as files: PCM16 WAV in, and writers for the driver side."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import hashlib
 import io
 import json
 import wave
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,17 +33,11 @@ def encode(samples: np.ndarray, rate: int = 48_000) -> bytes:
 
 
 def read(spark: SparkSession, path: str, hop: int = 960) -> DataFrame:
-    """One row per whole hop of each file: path, rate, hop, samples."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """One row per whole hop of each file: path, rate, hop, samples. Files are read in byte ranges, by sources.recordings."""
+    from . import recordings
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                x, rate = decode(content)
-                n = len(x) // hop
-                yield pd.DataFrame({"path": p, "rate": rate, "hop": range(n), "samples": [x[i * hop : (i + 1) * hop].ravel() for i in range(n)]})
-
-    return files.mapInPandas(run, "path string, rate long, hop long, samples array<float>")
+    recordings.register(spark)
+    return spark.read.format("recordings").option("hop", hop).load(path).select("path", "rate", "hop", "samples")
 
 
 def write(path: str, samples: np.ndarray, rate: int = 48_000) -> str:

@@ -8,6 +8,7 @@ arrival, as the reference model asks: a gap is a new epoch, not late data. A key
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,15 +26,15 @@ from ..operators.acoustics import track_rows, track_schema
 _STATE = "state binary"
 
 
-def _stepped(df: DataFrame, key: str, schema: str, step: Callable, start: Callable) -> DataFrame:
-    """step(state, rows) -> (state, list of dicts); start() -> the state of a new key."""
+def _stepped(df: DataFrame, key: str, schema: str, step: Callable, start: Callable, freeze: Callable = lambda s: s, thaw: Callable = lambda s: s) -> DataFrame:
+    """step(state, rows) -> (state, list of dicts); start() -> the state of a new key; freeze and thaw: from and to a state of plain values."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(_key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else start()
+        state = thaw(pickle.loads(held.get[0])) if held.exists else start()
         rows = pd.concat(list(batches), ignore_index=True)
         state, out = step(state, rows)
-        held.update((pickle.dumps(state),))
+        held.update((pickle.dumps(freeze(state)),))
         yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
@@ -45,7 +46,7 @@ def tracks(decisions: DataFrame, key: str = "session", cfg: TrackerConfig = Trac
     def step(state, rows):
         return state, track_rows(state, rows, key, cfg)
 
-    return _stepped(decisions, key, track_schema(key), step, track.Stream)
+    return _stepped(decisions, key, track_schema(key), step, track.Stream, track.frozen, track.thawed)
 
 
 def adaptive_rate(timings: DataFrame, key: str, order: str, slowest: str, cfg: RateConfig = RateConfig()) -> DataFrame:  # noqa: B008
@@ -84,22 +85,37 @@ def read_blocks(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _property(spark: SparkSession, view: str, name: str) -> str | None:
+    if not spark.catalog.tableExists(view):
+        return None
+    found = [r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {view}").collect() if r["key"] == name]
+    return found[0] if found else None
+
+
 def publish_latest(stream: DataFrame, session: str, order: str, table: str, checkpoint: str) -> StreamingQuery:
     """Keeps the latest row of each session in a view of the catalog.
 
-    A micro-batch with new sessions or rows writes the next version of the table, and then switches the view to it in one step;
-    readers see the one or the other as a whole. A batch that is run again writes the same version.
+    A micro-batch writes a new version, under a name of its own, from the version in use, and then switches the view to it in one
+    step, which also records the query and the batch: readers see the one or the other as a whole, and a batch that is run again
+    after the switch changes nothing. The version before stays readable; older ones, and those that an attempt left behind, go.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = f"{table}_v{number % 3}"  # the version in use and the one before it stay readable
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        done, used = _property(spark, table, "latest.batch"), _property(spark, table, "latest.version")
+        if done and done.rsplit(":", 1)[0] == query and int(done.rsplit(":", 1)[1]) >= number:
+            return
         newest = batch.groupBy(session).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
-        if spark.catalog.tableExists(table):
-            before = spark.table(table)
-            newest = before.unionByName(newest).groupBy(session).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
-        newest.write.mode("overwrite").saveAsTable(own)
-        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {own}")
+        if used:
+            newest = spark.table(used).unionByName(newest).groupBy(session).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+        own = f"{table}_v{number}_{uuid.uuid4().hex[:12]}"
+        newest.write.saveAsTable(own)
+        spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('latest.batch' = '{query}:{number}', 'latest.version' = '{own}') AS SELECT * FROM {own}")
+        short, base = own.split(".")[-1], table.split(".")
+        for t in spark.catalog.listTables(*base[:-1], pattern=f"{base[-1]}_v*"):
+            if t.name not in (short, (used or "").split(".")[-1]):
+                spark.sql(f"DROP TABLE IF EXISTS {'.'.join([*base[:-1], t.name])}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
