@@ -14,7 +14,7 @@ of tokens; and among the first p - 1 + l of each they share l. No filter loses a
 Equal sets are one class and never meet as pairs. The classes that share a token of order 2's prefix are a cell. In a round each
 cell names leaders, by a minimum that combines before the shuffle, and its classes are held against these; leaders then leave, and
 so does a cell whose classes are connected by what was found. Each round names more leaders, until no cell is left: every pair of
-a cell was either compared or is connected. So a group of copies costs about its size, and none is left out.
+a cell was either compared or is connected; cells of few pairs are finished at once. So a group of copies costs about its size, and none is left out.
 
 Tokens that very many documents hold, as a bounded sample tells, are counted with a combine and join by broadcast; the sample
 decides the way only.
@@ -45,6 +45,10 @@ COUNTED = 1 << 62
 SAMPLED_ROWS, HOT_ROWS = 1_000_000, 64
 #: Leaders of a cell in the first round, and how many times more in each later one.
 LEADERS, MORE = 8, 4
+#: Components of a cell's classes are summed up in so many buckets.
+BUCKETS = 8
+#: Cells whose pairs are this many or fewer in all are finished at once.
+AT_ONCE = 4e6
 _FACTORS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -164,11 +168,20 @@ def _cells(sets: DataFrame) -> DataFrame:
     met = met.join(sets.select("fp", "size").hint("merge"), "fp")
     met = met.withColumn("lone", F.expr("size - cast(count(*) over (partition by fp) as int)")).withColumn("place", F.expr("row_number() over (partition by fp order by n, token)"))
     cells = saved(met.where(f"lone + place <= {_PREFIX}").select(F.col("token").alias("s"), "fp", "size", F.expr("lone + place - 1").alias("lone")))
-    # by size of a cell's classes, the fewest lone tokens: a class stays only if one of these can be its partner
-    by_size = cells.groupBy("s", "size").agg(F.min("lone").alias("lone"), F.count("*").alias("n"))
-    sizes = saved(by_size.groupBy("s").agg(F.collect_list(F.struct("size", "lone")).alias("sizes"), F.sum("n").alias("rows")).where("rows > 1"))
-    fits = join_keyed(cells, sizes, ["s"], "rows").where(F.exists("sizes", lambda y: _may_link(F.col("size"), F.col("lone"), y["size"], y["lone"])))
-    return fits.select("s", "fp", "size", "lone", F.col("fp").alias("c"))
+    return cells.withColumn("c", F.col("fp"))
+
+
+def _fitting(open_: DataFrame) -> DataFrame:
+    """The rows of open_ whose class can still have a partner in its cell: one of another component, by sizes and places.
+
+    For that, a cell's classes are summed up by size and BUCKETS of components: the fewest tokens before s, whose that is, and
+    whether the bucket has other components too, which then may all be partners.
+    """
+    bucket = F.pmod(F.xxhash64("c"), F.lit(BUCKETS)).alias("j")
+    summed = open_.groupBy("s", "size", bucket).agg(F.min(F.struct("lone", "c")).alias("m"), (F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("n"))
+    summed = summed.groupBy("s").agg(F.collect_list(F.struct("size", "m.lone", "m.c", "mixed")).alias("others"), F.sum("n").alias("rows")).where("rows > 1")
+    other = lambda y: ((y["c"] != F.col("c")) | y["mixed"]) & _may_link(F.col("size"), F.col("lone"), y["size"], y["lone"])
+    return join_keyed(open_, saved(summed), ["s"], "rows").where(F.exists("others", other)).drop("others")
 
 
 def _may_link(size_x: Column, lone_x: Column, size_y: Column, lone_y: Column) -> Column:
@@ -210,32 +223,44 @@ def _passing(pairs: DataFrame, sets: DataFrame, name: str, test) -> DataFrame:
 
 
 def _led(open_: DataFrame, number: int, leaders: int) -> DataFrame:
-    """s, rows, led: up to so many classes of each cell that is not yet connected, those with the fewest tokens before s first: copies meet their original. The same classes lead in most of a group's cells."""
+    """s, rows, led: up to so many classes of each cell that is not yet connected, those with the fewest tokens before s first: copies meet their original. The same classes lead in most of a group's cells. In odd rounds they are of different components, so that the few that are left over lead."""
     order = F.xxhash64(F.lit(number), "fp")
-    led = open_.groupBy("s", F.pmod(order, F.lit(leaders)).alias("j")).agg(F.min(F.struct("lone", order.alias("o"), "fp", "size", "c")).alias("l"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
+    bucket = F.pmod(F.xxhash64(F.lit(number), "c" if number % 2 else "fp"), F.lit(leaders)).alias("j")
+    led = open_.groupBy("s", bucket).agg(F.min(F.struct("lone", order.alias("o"), "fp", "size", "c")).alias("l"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
     led = led.groupBy("s").agg(F.collect_list("l").alias("led"), F.sum("n").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
     return led.where("least < most").drop("least", "most")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs (fp, size, l.fp, l.size) that the later orders let pass and whose sets are similar."""
+    ends = [f"if(fp < l.fp, {x}, {y})" for x, y in (("fp", "l.fp"), ("l.fp", "fp"), ("size", "l.size"), ("l.size", "size"))]
+    pairs = saved(pairs.select(*(F.expr(e).alias(n) for e, n in zip(ends, ("a", "b", "size_a", "size_b"), strict=True))).distinct())
+    for name, test in (("orders", share), ("tokens", similar)):
+        pairs = _passing(pairs, sets, name, test)
+    return pairs.select("a", "b")
+
+
 def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b: similar classes; those that are similar are connected by them, directly or through others. rows: of embedded()."""
     sets = _sets(docs, rows, saved(_alive(rows)), id_col, text_col)
-    open_, found = saved(_cells(sets)), rows.sparkSession.createDataFrame([], "a long, b long")
+    open_, found = _cells(sets), rows.sparkSession.createDataFrame([], "a long, b long")
     leaders, number = LEADERS, 0
+    linkable = lambda l: (l["c"] != F.col("c")) & _may_link(F.col("size"), F.col("lone"), l["size"], l["lone"])
     while True:
+        open_ = saved(_fitting(open_))
         led = saved(_led(open_, number, leaders))
-        if led.isEmpty():
+        left = led.agg(F.sum(F.col("rows").cast("double") * F.col("rows"))).first()[0]
+        if left is None:
             return found
+        if left <= AT_ONCE:  # what is left of the cells is small: each pair is looked at
+            others = open_.select("s", F.struct("fp", "size", "lone", "c").alias("l"))
+            pairs = open_.hint("merge").join(others.hint("merge"), "s").where(linkable(F.col("l"))).where("fp < l.fp")
+            return found.unionByName(_verified(pairs, sets))
         met = saved(join_keyed(open_, led, ["s"], "rows"))
-        pairs = met.select("fp", "size", "lone", "c", F.explode(F.filter("led", lambda l: (l["c"] != F.col("c")) & _may_link(F.col("size"), F.col("lone"), l["size"], l["lone"]))).alias("l"))
-        ends = [f"if(fp < l.fp, {x}, {y})" for x, y in (("fp", "l.fp"), ("l.fp", "fp"), ("size", "l.size"), ("l.size", "size"))]
-        pairs = saved(pairs.select(*(F.expr(e).alias(n) for e, n in zip(ends, ("a", "b", "size_a", "size_b"), strict=True))).distinct())
-        for name, test in (("orders", share), ("tokens", similar)):
-            pairs = _passing(pairs, sets, name, test)
-        roots = saved(components(found.unionByName(pairs.select("a", "b"))))
+        roots = saved(components(found.unionByName(_verified(met.select("fp", "size", "lone", "c", F.explode(F.filter("led", linkable)).alias("l")), sets))))
         found = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        left = met.where("not exists(led, l -> l.fp = fp)").select("s", "fp", "size", "lone")
-        open_ = saved(left.join(roots, left["fp"] == roots["node"], "left").select("s", "fp", "size", "lone", F.coalesce("root", "fp").alias("c")))
+        rest = met.where("not exists(led, l -> l.fp = fp)").select("s", "fp", "size", "lone")
+        open_ = rest.join(roots, rest["fp"] == roots["node"], "left").select("s", "fp", "size", "lone", F.coalesce("root", "fp").alias("c"))
         leaders, number = leaders * MORE, number + 1
 
 

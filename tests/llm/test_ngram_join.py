@@ -71,7 +71,8 @@ def test_made_texts_against_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as size", "3 as s", "4 as id").repartition(4)
     want = brute(rows)
     assert held(op13.similar_documents(df)) == want
-    monkeypatch.setattr(op13, "LEADERS", 1)  # many rounds
+    monkeypatch.setattr(op13, "AT_ONCE", 0)  # many rounds
+    monkeypatch.setattr(op13, "LEADERS", 1)
     monkeypatch.setattr(op13, "MORE", 2)
     monkeypatch.setattr(op13, "HOT_ROWS", 3)  # the broadcast way
     assert held(op13.similar_documents(df)) == want
