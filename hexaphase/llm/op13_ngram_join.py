@@ -16,8 +16,8 @@ cell names leaders, by a minimum that combines before the shuffle, and its class
 so does a cell whose classes are connected by what was found. Each round names more leaders, until no cell is left: every pair of
 a cell was either compared or is connected; cells of few pairs are finished at once. So a group of copies costs about its size, and none is left out.
 
-Tokens that very many documents hold, as a bounded sample tells, are counted with a combine and join by broadcast; the sample
-decides the way only.
+Tokens that very many documents hold, as a bounded sample tells, are dealt by a salt, and the sample tells how rare they are: any
+order of tokens gives the same result.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and links with nothing, not even with its like; its
 component is its own doc_id. With one to three words the whole sequence is the shingle. Very long texts are hashed whole. Ties in
@@ -41,8 +41,11 @@ from .op5_simhash import components
 SHINGLE, PERCENT = 4, 85
 #: Tokens below this come first in order 1 and are counted: a quarter of all.
 COUNTED = 1 << 62
-#: Tokens that make up more than HOT_ROWS in SAMPLED_ROWS of all are dealt without a shuffle by token.
+#: Tokens that make up more than HOT_ROWS in SAMPLED_ROWS of all are hot: their postings are dealt over SALTS groups.
 SAMPLED_ROWS, HOT_ROWS = 1_000_000, 64
+SALTS = 1024
+#: So many ids are broadcast at most; more join by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Leaders of a cell in the first round, and how many times more in each later one.
 LEADERS, MORE = 8, 4
 #: Components of a cell's classes are summed up in so many buckets.
@@ -136,13 +139,14 @@ def _postings(rows: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame, total: int) -> DataFrame:
-    """fp, token, n of the postings (token, fp) whose token n classes hold, 2 or more. total: about how many postings there are."""
-    sample = postings.select("token").sample(min(1.0, SAMPLED_ROWS / max(total, 1)), 7)
-    hot = saved(sample.groupBy("token").count().where(f"count > {HOT_ROWS}").select("token", F.lit(True).alias("hot")))  # SAMPLED_ROWS / HOT_ROWS at most
-    counts = saved(postings.join(F.broadcast(hot), "token", "left").where("hot").groupBy("token").agg(F.count("*").alias("n")))
-    dealt = postings.join(F.broadcast(counts), "token", "left")
-    light = dealt.where("n is null").select("token", "fp").repartition("token").withColumn("n", F.expr("count(*) over (partition by token)"))
-    return light.unionByName(dealt.where("n is not null")).where("n > 1").select("fp", "token", "n")
+    """fp, token, n of the postings (token, fp) whose token several classes hold: n is how many, or, of hot tokens, what the sample tells, which orders them as well."""
+    share = min(1.0, SAMPLED_ROWS / max(total, 1))
+    hot = postings.select("token").sample(share, 7).groupBy("token").count().where(f"count > {HOT_ROWS}")
+    hot = saved(hot.select("token", F.ceil(F.col("count") / share).alias("many")))  # SAMPLED_ROWS / HOT_ROWS at most
+    salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.lit(SALTS))).alias("salt")
+    dealt = postings.join(F.broadcast(hot), "token", "left").select("token", "fp", "many", salt).repartition("token", "salt")
+    n = F.coalesce("many", F.expr("count(*) over (partition by token, salt)"))
+    return dealt.withColumn("n", n).where("n > 1").select("fp", "token", "n")
 
 
 _PREFIX = f"size - ({PERCENT} * size + 99) div 100 + 1"
@@ -193,8 +197,9 @@ def _may_link(size_x: Column, lone_x: Column, size_y: Column, lone_y: Column) ->
 def _sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """fp, size, orders, tokens (the whole set) of the classes fps, from the text of one document each."""
     wanted = saved(rows.where("size > 0").join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    texts = _texts(docs, id_col, text_col)
-    texts = texts.join(wanted.select("id"), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
+    texts, ids = _texts(docs, id_col, text_col), wanted.select("id")
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ Exchanges, all of packed arrays:
    that end in a word, and all that follows them, are in one group, which builds that part of the tree and scores in it.
 3. The groups return each document's sums to its block.
 A word of more than SHARD_TOKENS occurrences is hot: its tokens are dealt to several groups by the word before it,
-so contexts of two words or more stay whole; next words of the hot word alone are counted over its groups by a plain
+so contexts of two words or more stay whole (texts' first tokens have none, and are dealt by themselves and their block); next words of the hot word alone are counted over its groups by a plain
 aggregation beforehand, and each group gets the counts that it needs.
 
 Defined cases: a null or empty text is the end token alone. A row is training data if crc32(doc_id as text) mod 7 is not
@@ -48,6 +48,8 @@ WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 3 << 18
 GRAIN = 2.0**-20
 #: Token numbers: the end token (before a text: its start), a word that is not in the training data, no token; words follow.
 END, UNKNOWN, NONE, WORDS = 0, 1, 2, 3
+#: A hot word has fewer than 2 ** DEAL_BITS groups, and there are fewer than 2 ** (63 - DEAL_BITS) words.
+DEAL_BITS = 24
 
 
 def is_held_out(doc_id) -> bool:
@@ -215,11 +217,12 @@ class Block:
 
 
 def _groups(block: Block, at: np.ndarray, n_shards: int, hot: int) -> np.ndarray:
-    """The groups of the tokens: 0 and up by the nearest context word, below 0 those of hot words."""
+    """The groups of the tokens: 0 and up by the nearest context word, below 0 those of hot words, dealt by the word before. Before a text's start is none, so first tokens are dealt by themselves and their block."""
     near, total = block.before[0][at], block.before_count[at]
     scattered = ((near * 0x9E3779B1) & 0xFFFFFFFF) * n_shards >> 32
-    deal = ((block.before[1][at] * 0x85EBCA6B) & 0xFFFFFFFF) * -(-total // hot) >> 32
-    return np.where(total > hot, -1 - ((near << 20) | deal), scattered)
+    by = np.where(near == END, block.token[at] * 31 + zlib.crc32(block.name.encode()), block.before[1][at])
+    deal = ((by * 0x85EBCA6B) & 0xFFFFFFFF) * -(-total // hot) >> 32
+    return np.where(total > hot, -1 - ((near << DEAL_BITS) | deal), scattered)
 
 
 def grains(log: np.ndarray) -> np.ndarray:

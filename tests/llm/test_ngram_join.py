@@ -74,7 +74,8 @@ def test_made_texts_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(op13, "AT_ONCE", 0)  # many rounds
     monkeypatch.setattr(op13, "LEADERS", 1)
     monkeypatch.setattr(op13, "MORE", 2)
-    monkeypatch.setattr(op13, "HOT_ROWS", 3)  # the broadcast way
+    monkeypatch.setattr(op13, "HOT_ROWS", 3)  # hot tokens
+    monkeypatch.setattr(op13, "BROADCAST_IDS", 0)
     assert held(op13.similar_documents(df)) == want
 
 

@@ -266,6 +266,20 @@ def test_language_model_loses_no_row_of_many_blocks(spark, text):
     assert {(r.n_tokens, r.base_score, r.score) for r in rows} == {(r.n_tokens, r.base_score, r.score) for r in op4.score_documents(df).collect()}
 
 
+def test_first_tokens_of_texts_are_dealt():
+    from types import SimpleNamespace
+
+    n, hot = 5_000, 500
+    found = []
+    for name in ("a", "b"):
+        block = SimpleNamespace(name=name, before=[np.full(n, op4.END), np.full(n, op4.NONE)], before_count=np.full(n, 2 * n), token=np.arange(n) + op4.WORDS)
+        found.append(op4._groups(block, np.arange(n), 4, hot))
+    sizes = np.unique(np.concatenate(found), return_counts=True)[1]
+    assert len(sizes) == 2 * n // hot and sizes.max() <= 2 * hot and (np.concatenate(found) < 0).all()
+    one = SimpleNamespace(name="a", before=[np.array([7, 8]), np.array([1 << 20, 1])], before_count=np.full(2, 1 << 45), token=np.array([3, 3]))
+    assert len(set(op4._groups(one, np.arange(2), 4, 1 << 20).tolist())) == 2
+
+
 def test_language_model_is_a_distribution():
     """In every context, the probabilities of known words and the unknown one sum to one."""
     rng, counts = np.random.default_rng(5), op4.Counts(400, 5, 100, 1, 1)
