@@ -17,7 +17,7 @@ class AudioDecoder(Protocol):
 
 
 class AudioSource(Protocol):
-    """Blocks, batch or streaming. sources.wav.read, streaming.stateful.read_blocks and sources.synthetic.sessions make them."""
+    """Blocks, batch or streaming: sources.recordings.RecordingSource is one, and operators.pipeline.from_source takes one."""
 
     def blocks(self, spark: SparkSession) -> DataFrame: ...
 

@@ -131,3 +131,16 @@ def test_hotmap_frames_over_batches(spark):
     finally:
         spark.conf.set(name, before)
     assert sorted((r.device, r.frame_no, r.k) for r in got) == [(d, k, k) for d in (1, 2) for k in range(9)]
+
+
+def test_a_source_goes_from_files_to_tracks(spark, source, tmp_path):
+    """A recording in which somebody speaks after noise, read in ranges, gated, scanned and tracked."""
+    from hexaphase.operators import pipeline as pl
+    from hexaphase.sources import synthetic as sy
+
+    made = sy.talks(spark.createDataFrame([(1, 5, 120.0, 0.3)], "session long, speaker long, theta double, level double"), "speaker", "theta", "level").orderBy("hop").collect()
+    wav.write(str(tmp_path / "talk.wav"), np.concatenate([np.array(r.samples, np.float32).reshape(-1, 8) for r in made]))
+    rows = pl.from_source(spark, recordings.RecordingSource(str(tmp_path), partition_bytes=960 * 16 * 20)).collect()
+    shown = [d for r in rows for d in r.directions if not d.is_prediction]
+    assert len(rows) == len(made) - 7 and len({r.session for r in rows}) == 1
+    assert len(shown) > 20 and all(abs(d.theta - 120) <= 3 for d in shown)
