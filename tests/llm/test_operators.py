@@ -664,7 +664,7 @@ def test_the_session_stays_as_it_was(spark):
 
 def test_registered_queries():
     names = set(registry.queries())
-    assert {x.split("_")[0] for x in names} >= {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(registry.oracle_sql()) <= names
+    assert {x.split("_")[0] for x in names} >= {f"op{i}" for i in range(1, 14)} | {"pipeline"} and set(registry.oracle_sql()) <= names
 
 
 def test_exact_dedup_oracle(spark, sf, duck):
