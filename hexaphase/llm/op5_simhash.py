@@ -38,6 +38,14 @@ HALF = 16
 _LOW = 0x5555555555555555
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: bytes, width: int = SHINGLE) -> int:
     words = text.translate(LOWER_BLANK).split()
     if not words:
@@ -50,10 +58,7 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
         starts = np.concatenate([[0], ends[: len(words) - width] + 1]).tolist()
         view = memoryview(line)
         hashes = np.array(list(map(xxhash.xxh64_intdigest, [view[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], repeat(42))), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexaphase.llm import near_copies, op7_quality
+from hexaphase.llm import near_copies, op5_simhash, op7_quality
 from hexaphase.llm.common import saved, table
 
 
@@ -89,6 +90,26 @@ def test_near_copies_leave(spark):
     assert set(ids(corpus_pipeline.near_dedup(spark, df, ""))) == {i for i in want if want[i] == i} and len(pairs) > 100
 
 
+def test_near_copies_go_through_the_fingerprint_grid(spark):
+    """op5's grid links close copies by itself; classes of near fingerprints whose sets are not similar stay apart."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(20):
+        text = [f"w{rng.integers(5000)}" for _ in range(400)]
+        texts += [" ".join(text), " ".join([*text[:-1], "other"]), " ".join(["another", *text[1:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = saved(near_copies.embedded(df, "doc_id", "text"))
+    sets = {r.fp: r for r in rows.collect()}
+    assert all(r.print == int(np.uint64(op5_simhash.majority(np.frombuffer(r.hashes, np.uint64))).view(np.int64)) for r in sets.values())
+    near = lambda a, b: near_copies.similarity(*(np.frombuffer(sets[x].hashes, np.uint64) for x in (a, b))) >= 0.8
+    bits = lambda a, b: ((sets[a].print ^ sets[b].print) & (2**64 - 1)).bit_count()
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if bits(a, b) <= 3 and near(a, b)}
+    edges = {(r.a, r.b) for r in near_copies.print_links(rows.select("fp", "print", "size"), rows).collect()}
+    assert edges <= want and len(edges) >= 10 and smallest(sets, edges) == smallest(sets, want)
+    lone = rows.withColumn("print", F.lit(7).cast("long"))
+    assert {frozenset((r.a, r.b)) for r in near_copies.print_links(lone.select("fp", "print", "size"), lone).collect()} == {frozenset((min(sets), b)) for b in sets if b != min(sets) and near(min(sets), b)}
+
+
 def test_near_dedup_stage_against_brute_force(stages):
     want = smallest(ids(stages[2]), near_pairs([(r.doc_id, r.text) for r in stages[2].collect()]))
     assert sorted(ids(stages[3])) == sorted(i for i in want if want[i] == i)
