@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 3 << 18
 GRAIN = 2.0**-20
 #: Token numbers: the end token (before a text: its start), a word that is not in the training data, no token; words follow.
 END, UNKNOWN, NONE, WORDS = 0, 1, 2, 3
+#: The next words of a hot word reach a group in so many rows at most: a row each would be an Arrow batch for every two.
+HOT_ROWS = 32
 #: A hot word has fewer than 2 ** DEAL_BITS groups, and there are fewer than 2 ** (63 - DEAL_BITS) words.
 DEAL_BITS = 24
 
@@ -277,12 +280,21 @@ def _hot_pairs_of(block: Block, n_shards: int, hot: int) -> pa.RecordBatch:
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """shard, token, n, total, distinct, gain: of each group of a hot word its next words, counted over all groups of the hot word."""
+    """shard, total, distinct, gain, words (token and n): of each group of a hot word its next words, counted over all groups of the hot word, in HOT_ROWS rows at most."""
     own = saved(pairs.groupBy("shard", "near", "token").agg(F.max("count").alias("count"), F.sum("n").alias("n")))
     words = own.groupBy("near", "token").agg(F.max("count").alias("count"), F.sum("n").alias("n")).where("n > 0")
     state = words.groupBy("near").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(F.col("n") * (F.log("n") - F.log("count"))).alias("gain"))
     whole = own.withColumn("n", F.sum("n").over(Window.partitionBy("near", "token")))
-    return whole.join(state, "near").select("shard", "token", "n", "total", "distinct", "gain")
+    row = F.pmod(F.xxhash64("token"), F.lit(HOT_ROWS)).alias("_row")
+    return whole.join(state, "near").groupBy("shard", "total", "distinct", "gain", row).agg(F.collect_list(F.struct("token", "n")).alias("words")).drop("_row")
+
+
+def _next_words(hot: pa.Table) -> dict[str, np.ndarray]:
+    """What _shared() has of one group: token (ascending) and n by next word; total, distinct and gain once."""
+    words = pc.list_flatten(hot.column("words")).combine_chunks()
+    token, n = (words.field(k).to_numpy(zero_copy_only=False) for k in ("token", "n"))
+    order = np.argsort(token)
+    return {"token": token[order], "n": n[order]} | {k: hot.column(k).to_numpy()[:1] for k in ("total", "distinct", "gain")}
 
 
 def probabilities(before: list[np.ndarray], token: np.ndarray, count: np.ndarray, train: np.ndarray, counts: Counts, shared: dict[str, np.ndarray] | None = None) -> np.ndarray:
@@ -337,9 +349,7 @@ def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.T
         further = [np.concatenate([p[k] for p in parts]) for k in range(5, 4 + DEPTH)]
         shared = None
         if hot is not None and hot.num_rows:
-            shared = {k: hot.column(k).to_numpy() for k in ("token", "n", "total", "distinct", "gain")}
-            order = np.argsort(shared["token"])
-            shared = {k: x[order] for k, x in shared.items()}
+            shared = _next_words(hot)
         grain = grains(np.log10(probabilities([near, *further], token, count, np.concatenate(docs) & 1 == 0, counts, shared)))
         end = 0
         for r, d in zip(own, docs, strict=True):

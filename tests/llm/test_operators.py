@@ -266,6 +266,21 @@ def test_language_model_loses_no_row_of_many_blocks(spark, text):
     assert {(r.n_tokens, r.base_score, r.score) for r in rows} == {(r.n_tokens, r.base_score, r.score) for r in op4.score_documents(df).collect()}
 
 
+def test_next_words_of_a_hot_word_reach_a_group_in_few_rows(spark, docs):
+    """A row for each next word would be an Arrow batch for every two."""
+    pairs = [(shard, 7, token, 5, (token + shard) % 3) for shard in (-1, -2) for token in range(shard + 10, 400)]
+    got = op4._shared(spark.createDataFrame(pairs, "shard long, near long, token long, count long, n long")).toArrow().to_pylist()
+    assert {r["shard"] for r in got} == {-1, -2} and len(got) <= 2 * op4.HOT_ROWS
+    whole = collections.Counter()
+    for _, _, token, _, n in pairs:
+        whole[token] += n
+    schema = "words array<struct<token: long, n: long>>, total long, distinct long, gain double"
+    for shard in (-1, -2):
+        words = op4._next_words(spark.createDataFrame([r for r in got if r["shard"] == shard], schema).toArrow())
+        assert dict(zip(words["token"].tolist(), words["n"].tolist(), strict=True)) == {t: whole[t] for s, _, t, *_ in pairs if s == shard}
+        assert (np.diff(words["token"]) > 0).all() and words["total"].tolist() == [sum(whole.values())] and words["distinct"].tolist() == [sum(n > 0 for n in whole.values())]
+
+
 def test_first_tokens_of_texts_are_dealt():
     from types import SimpleNamespace
 
