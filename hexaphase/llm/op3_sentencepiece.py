@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK_CHARS = 1 << 22
 _CACHE = 500_000
+#: Verdicts on pairs of pieces that a codec keeps.
+_PAIRS = 4_000_000
 _M = 0x9E3779B97F4A7C15 | 1
 _NEVER = -float("inf")
 
@@ -82,7 +84,7 @@ class Codec:
             self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
         self.span = self.size + 0x110000
         self.spelled: dict[int, np.ndarray] = {}
-        self.pair_keys, self.pair_ok = np.array([np.iinfo(np.int64).max]), np.zeros(1, bool)  # the last is a guard
+        self._forget_pairs()
         self.beside_keys = np.sort(np.array([(ord(a) << 21) | ord(b) for a, b in self.beside] or [-1], np.int64))
         self._forget()
 
@@ -93,6 +95,9 @@ class Codec:
         self.unit_keys, self.unit_start, self.unit_size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
+    def _forget_pairs(self) -> None:
+        self.pair_keys, self.pair_ok = np.array([np.iinfo(np.int64).max]), np.zeros(1, bool)  # the last is a guard
+
     @staticmethod
     def _symbol(c):
         return c * 0x2545F4914F6CDD1D % (1 << 64) if isinstance(c, int) else c.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
@@ -244,6 +249,8 @@ class Codec:
         if len(self.word_at) + len(new) > _CACHE:
             self._forget()
             new = list(set(flat))
+        if len(self.pair_keys) > _PAIRS:
+            self._forget_pairs()
         if new:
             self._learn(new)
         at = np.fromiter(map(self.word_at.__getitem__, flat), np.int64, len(flat))
@@ -254,18 +261,25 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+def kept_codec(held: dict) -> Codec:
+    """The codec of a broadcast {"vocabulary": ...}. It stays there, with the words it knows, so that a worker's later tasks find it."""
+    if "codec" not in held:
+        held["codec"] = Codec(held["vocabulary"])
+    return held["codec"]
+
+
 def tokenize(docs: DataFrame, text_col: str = "text", model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, and: ids array<int>, n_tokens, decoded_sha256 (of the text that the ids decode to), round_trip (it is the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": read_model(model)})
     rows = docs.select(*keep, F.col(text_col).alias(fresh("text")[0]))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>", "n_tokens long", "decoded_sha256 string", "round_trip boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = kept_codec(shared.value)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for a, b in pieces([len(t or "") for t in texts], CHUNK_CHARS):

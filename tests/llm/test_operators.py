@@ -163,6 +163,18 @@ def codec():
     return op3.Codec(op3.read_model())
 
 
+def test_codec_stays_in_its_broadcast(monkeypatch):
+    """A worker's later tasks find the codec and its words; verdicts on pairs stay bounded."""
+    held = {"vocabulary": op3.read_model()}
+    codec = op3.kept_codec(held)
+    first = [x.tolist() for x in codec.encode(["the cat sat", "on the mat"])]
+    assert op3.kept_codec(held) is codec and "\u2581cat" in codec.word_at
+    monkeypatch.setattr(op3, "_PAIRS", 1)
+    codec.encode(["quite another sentence"])
+    codec._forget()
+    assert [x.tolist() for x in codec.encode(["the cat sat", "on the mat"])] == first
+
+
 def test_tokens_are_the_library_s(codec, docs, odd):
     import random
 
