@@ -142,6 +142,13 @@ class Units:
         return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
 
+def kept_units(held: dict) -> Units:
+    """The units of a broadcast {"a": ..., "b": ...} of models. They stay there, so that a worker's later tasks find what it has met."""
+    if "units" not in held:
+        held["units"] = Units(side_a(held["a"]), side_b(held["b"]))
+    return held["units"]
+
+
 @dataclass
 class Aligned:
     """Tokens of both sides of some documents (0 to n_docs - 1): id, document, last byte + 1, group, and whether a group ends there."""
@@ -281,7 +288,7 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def _models(spark: SparkSession, model_a: str, model_b: str):
-    return spark.sparkContext.broadcast((Path(model_a).read_text(encoding="utf-8"), Path(model_b).read_bytes()))
+    return spark.sparkContext.broadcast({"a": Path(model_a).read_text(encoding="utf-8"), "b": Path(model_b).read_bytes()})
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -295,7 +302,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     rows, kind = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(side_a(models.value[0]), side_b(models.value[1]))
+        units = kept_units(models.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for x, y in pieces([len(t or "") for t in texts], CHUNK_CHARS):
@@ -317,7 +324,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, model_a: str, model
     rows, kind = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, names, press = Units(side_a(models.value[0]), side_b(models.value[1])), Names(), zstandard.ZstdCompressor(level=1)
+        units, names, press = kept_units(models.value), Names(), zstandard.ZstdCompressor(level=1)
         block, held, id_type = TaskContext.get().partitionId() << 24, 0, None
 
         def closed() -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,13 @@ def test_counts_and_ties(spark, tokenizers):
     got = {(r.a, r.b): (r.n, r.best) for r in op12.pair_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     cat = tokenizers[0].encode(" cat").ids[0], tokenizers[1].encode("cat")[0]
     assert got[cat] == (3, True) and all(best for n, best in got.values() if n == 3)
+
+
+def test_units_stay_in_their_broadcast():
+    """A worker's later tasks find the models read and the units that it has met."""
+    from pathlib import Path
+
+    held = {"a": Path(op12.MODEL_A).read_text(encoding="utf-8"), "b": Path(op12.MODEL_B).read_bytes()}
+    units = op12.kept_units(held)
+    op12.align(["the cat"], units)
+    assert op12.kept_units(held) is units and " cat" in units.at
