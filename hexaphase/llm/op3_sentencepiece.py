@@ -23,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, pieces, table
+from .common import fresh, lean, mix, pieces, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_CHARS = 1 << 22
+#: Texts are encoded in pieces of so many bytes, or one text.
+CHUNK_BYTES = 1 << 21
 _CACHE = 500_000
 #: Verdicts on pairs of pieces that a codec keeps.
 _PAIRS = 4_000_000
@@ -281,19 +283,20 @@ def tokenize(docs: DataFrame, text_col: str = "text", model: str = MODEL, keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept_codec(shared.value)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in pieces([len(t or "") for t in texts], CHUNK_CHARS):
-                ids, at = codec.encode(texts[a:b])
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(keep))), 0).to_pylist()
+            for a, b in pieces(sizes, CHUNK_BYTES):
+                texts = batch.column(len(keep)).slice(a, b - a).to_pylist()
+                ids, at = codec.encode(texts)
                 back = [codec.decode(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                 columns = [
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())),
                     pa.array(np.diff(at), pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                    pa.array([t == (o or "") for t, o in zip(back, texts[a:b], strict=True)]),
+                    pa.array([t == (o or "") for t, o in zip(back, texts, strict=True)]),
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), *columns], names=[*keep, "ids", "n_tokens", "decoded_sha256", "round_trip"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import lean, table
 
 SAMPLE = 6000
 BITS, DIM, ONES, WINDOW, HIDDEN = 15, 64, 4, 2, 32
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
             s = net.score(np.array(x, np.float64).reshape(len(x), 2 * DIM))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=names)
 
-    return docs.toDF(*names[:-1]).mapInArrow(run, out).toDF(*docs.columns, to)
+    return docs.toDF(*names[:-1]).mapInArrow(lean(run), out).toDF(*docs.columns, to)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

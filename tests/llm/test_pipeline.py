@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexaphase.llm import near_copies, op5_simhash, op7_quality
+from hexaphase.llm import common, near_copies, op3_sentencepiece, op5_simhash, op7_quality
 from hexaphase.llm.common import saved, table
 
 
@@ -110,6 +110,35 @@ def test_near_copies_go_through_the_fingerprint_grid(spark):
     assert {frozenset((r.a, r.b)) for r in near_copies.print_links(lone.select("fp", "print", "size"), lone).collect()} == {frozenset((min(sets), b)) for b in sets if b != min(sets) and near(min(sets), b)}
 
 
+def test_sets_are_picked_without_sorting_them(spark, monkeypatch):
+    """A class's set is that of one row, chosen by number: no plan sorts or groups sketches or sets to leave one of each."""
+    texts = [f"a b c d e f g h i j k l m n o {k // 3 % 2}" for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows, plans = saved(near_copies.embedded(df, "doc_id", "text")), []
+    monkeypatch.setattr(near_copies, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df))
+    edges = near_copies.links(rows).collect()
+    assert rows.select("row").distinct().count() == 12 and {(r.a, r.b) for r in edges} == {tuple(sorted(r.fp for r in rows.select("fp").distinct().collect()))}
+    read = [p for p in plans if re.search("sketch|hashes", p)]
+    assert len(read) >= 2 and not any("SortAggregate" in p for p in read)
+
+
+def test_workers_give_back_what_they_free(monkeypatch):
+    """Before a task and after it; and op3 holds as text no more of a batch than it encodes at once."""
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append("back"))
+    assert list(common.lean(lambda batches: (done.append(x) or x for x in batches))(iter([1, 2]))) == [1, 2] and done == ["back", 1, 2, "back"]
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_tokens_do_not_depend_on_pieces(spark, sf, monkeypatch):
+    rows = table(spark, sf, "documents").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    rows = saved(rows)
+    want = sorted(map(str, op3_sentencepiece.tokenize(rows).collect()))
+    monkeypatch.setattr(op3_sentencepiece, "CHUNK_BYTES", 3000)
+    assert sorted(map(str, op3_sentencepiece.tokenize(rows).collect())) == want and len(want) == rows.count()
+
+
 def test_near_dedup_stage_against_brute_force(stages):
     want = smallest(ids(stages[2]), near_pairs([(r.doc_id, r.text) for r in stages[2].collect()]))
     assert sorted(ids(stages[3])) == sorted(i for i in want if want[i] == i)
