@@ -42,7 +42,7 @@ DEPTH, LEAST = 2, 4
 #: Nats by which a context's next words differ from the shorter one's: over all occurrences, and for each of its distinct next words.
 DIVERGENCE_SUM, DIVERGENCE = 4.0, 0.5
 DISCOUNT = 0.75
-#: A block has this much text at least, and more in larger inputs, so that what it sends to each group stays worth a row.
+#: A block has this much text at least, and more in larger inputs: groups become more with the input, so what a block of one size sends to each gets short, and packs worse.
 BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 22, 1 << 25
 WORD_SHARD_BYTES, SHARD_TOKENS = 1 << 24, 3 << 18
 #: Scores are summed as whole multiples of this, so that sums do not depend on their order.
@@ -88,6 +88,19 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _steps(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values that ascend within the runs of equal keys, as steps from the one before; the first of each run as it is."""
+    out, first = np.diff(values, prepend=0), _runs(keys)
+    out[first] = values[first]
+    return out
+
+
+def _summed(keys: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The values of which _steps() has made steps."""
+    first, out = _runs(keys), np.cumsum(steps, dtype=np.int64)
+    return out - np.repeat(out[first] - steps[first], np.diff(np.append(first, len(keys))))
+
+
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Of ascending shard numbers: each one, and where its part begins and ends."""
     first = _runs(shard)
@@ -233,6 +246,22 @@ def grains(log: np.ndarray) -> np.ndarray:
     return np.rint(log / -GRAIN).astype(np.int64)
 
 
+def _sent(near: np.ndarray, token: np.ndarray, count: np.ndarray, n: np.ndarray, doc: np.ndarray, further: list[np.ndarray]) -> bytes:
+    """Ascending pairs of context and next word, the word's count, how often each; and of each occurrence its document with whether it is held out, ascending in its pair, and the further contexts. Small steps go in place of what ascends, and counts once a word."""
+    _, first = np.unique(token, return_index=True)
+    return packed(_steps(np.zeros(len(near), bool), near), _steps(near, token), count[first], n, _steps(np.repeat(np.arange(len(n)), n), doc), *further)
+
+
+def _received(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What _sent() has: near, token, count, doc and the further contexts, of each occurrence."""
+    near, token, count, n, doc, *further = unpacked(data)
+    near = np.cumsum(near, dtype=np.int64)
+    token = _summed(near, token)
+    count = count[np.unique(token, return_inverse=True)[1]]
+    pair = np.repeat(np.arange(len(n)), n)
+    return near[pair], token[pair], count[pair], _summed(pair, doc), further
+
+
 def _events(batches: Iterator[pa.RecordBatch], counts: Counts, n_shards: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Of each block: what is known of its documents, and its tokens by group."""
     for batch in batches:
@@ -254,8 +283,7 @@ def _events_of(block: Block, ids: pa.Field, counts: Counts, n_shards: int, hot:
         own = slice(i, j)
         pair = np.flatnonzero(np.concatenate([[True], (near[own][1:] != near[own][:-1]) | (token[own][1:] != token[own][:-1])]))
         of = at[own]
-        # pairs of context and next word, how often each, the further contexts, and documents with whether they are held out
-        events = packed(near[own][pair], token[own][pair], block.count[of][pair], np.diff(np.append(pair, j - i)), block.doc[of] * 2 + block.held[block.doc[of]], *(b[of] for b in block.before[1:]))
+        events = _sent(near[own][pair], token[own][pair], block.count[of][pair], np.diff(np.append(pair, j - i)), block.doc[of] * 2 + block.held[block.doc[of]], [b[of] for b in block.before[1:]])
         out.append({"shard": g, "block": block.name, "events": events})
     fields = [("shard", pa.int64()), ("block", pa.string()), ("events", pa.binary()), ids, *((k, pa.binary()) for k in ("held", *known))]
     return _batch(out, pa.schema(fields))
@@ -343,10 +371,11 @@ def _scored(rows: pa.Table, counts: Counts, hot: pa.Table | None = None) -> pa.T
     own = [r for r in found if r["events"] is not None]
     out = [{k: r.get(k) for k in ("block", "ids", "held", *_KNOWN)} for r in found if r["ids"] is not None]
     if own:
-        parts = [unpacked(r["events"]) for r in own]
-        near, token, count = (np.concatenate([np.repeat(p[k], p[3]) for p in parts]) for k in range(3))
-        docs = [p[4] for p in parts]
-        further = [np.concatenate([p[k] for p in parts]) for k in range(5, 4 + DEPTH)]
+        parts = [_received(r["events"]) for r in own]
+        near, token, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        docs = [p[3] for p in parts]
+        further = [np.concatenate([p[4][k] for p in parts]) for k in range(DEPTH - 1)]
+        del parts
         shared = None
         if hot is not None and hot.num_rows:
             shared = _next_words(hot)
@@ -390,7 +419,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
     size, ends = rows.agg(input_bytes("text"), F.count_if(training)).first()
     n_shards, hot = max(1, min(shards(spark), size >> 20), size // WORD_SHARD_BYTES), max(1, shard_tokens)
-    block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, int(100 * size**0.5)))
+    block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, int(250 * size**0.5)))
     documents = f"ids array<{kind}>, places binary"
     words = f"block string, {documents}, numbers binary, {', '.join(f'{k} long' for k in _TOTALS)}"
     asked = rows.mapInArrow(lambda batches: _requests(batches, n_shards, block_bytes), f"shard int, block string, keys binary, {documents}")

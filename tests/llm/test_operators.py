@@ -307,6 +307,21 @@ def test_first_tokens_of_texts_are_dealt():
     assert len(set(op4._groups(one, np.arange(2), 4, 1 << 20).tolist())) == 2
 
 
+def test_lm_rows_between_tasks_hold_steps():
+    """What a block sends to a group comes back as it was, and takes less room than the numbers themselves."""
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 3000):
+        near, token, doc, further = np.sort(rng.integers(0, 1 + n // 20, n)), rng.zipf(1.3, n) % 50_000, rng.integers(0, 400, n), rng.zipf(1.3, n) % 50_000
+        order = np.lexsort((doc, token, near))
+        token, doc, further, count = token[order], doc[order], further[order], token[order] * 7 + 3
+        pair = np.flatnonzero(np.concatenate([[True], (near[1:] != near[:-1]) | (token[1:] != token[:-1])]))
+        parts = near[pair], token[pair], count[pair], np.diff(np.append(pair, n)), doc
+        sent = op4._sent(*parts, [further])
+        *got, rest = op4._received(sent)
+        assert all(np.array_equal(a, b) for a, b in zip([*got, *rest], (near, token, count, doc, further), strict=True))
+    assert len(sent) < 0.9 * len(op4.packed(*parts, further))
+
+
 def test_language_model_is_a_distribution():
     """In every context, the probabilities of known words and the unknown one sum to one."""
     rng, counts = np.random.default_rng(5), op4.Counts(400, 5, 100, 1, 1)
