@@ -131,6 +131,19 @@ def test_workers_give_back_what_they_free(monkeypatch):
     common.give_back()
 
 
+def test_reading_a_saved_table_takes_no_memory_outside_the_heap(spark):
+    """Each thread of vectored reads would keep a buffer of its largest read, and an executor keeps its threads."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+    direct = lambda: next(b.getMemoryUsed() for b in beans if b.getName() == "direct")
+    digests = F.concat(*(F.sha2(F.concat_ws(":", "id", F.lit(i)), 512) for i in range(16)))
+    made = spark.range(0, 40_000, 1, 2).select("id", F.unhex(digests).alias("x"))
+    one, other = saved(made), near_copies.saved(made)
+    before = direct()
+    assert [df.agg(F.sum(F.length("x"))).first()[0] for df in (one, other)] == [40_000 * 1024] * 2
+    assert direct() - before < 5_000_000
+    assert all(f.endswith(".snappy.parquet") for f in other.inputFiles())
+
+
 def test_tokens_do_not_depend_on_pieces(spark, sf, monkeypatch):
     rows = table(spark, sf, "documents").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     rows = saved(rows)
