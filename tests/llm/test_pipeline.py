@@ -144,6 +144,22 @@ def test_reading_a_saved_table_takes_no_memory_outside_the_heap(spark):
     assert all(f.endswith(".snappy.parquet") for f in other.inputFiles())
 
 
+def test_stages_send_short_batches_and_read_without_kept_buffers(spark, sf):
+    """Stages compute after they have returned, so the session's settings must hold then; smaller batches of the caller stay."""
+    rows, vectored = "spark.sql.execution.arrow.maxRecordsPerBatch", "parquet.hadoop.vectored.io.enabled"
+    docs, before = table(spark, sf, "documents"), spark.conf.get(rows)
+    try:
+        for stage in (corpus_pipeline.quality, corpus_pipeline.tokens):
+            for given, want in (("10000", "1000"), ("0", "1000"), ("40", "40")):
+                spark.conf.set(rows, given)
+                stage(spark, docs, sf)
+                assert spark.conf.get(rows) == want
+        assert spark._jsparkSession.sessionState().newHadoopConf().get(vectored) == "false"
+    finally:
+        spark.conf.set(rows, before)
+        spark.conf.unset(vectored)
+
+
 def test_tokens_do_not_depend_on_pieces(spark, sf, monkeypatch):
     rows = table(spark, sf, "documents").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     rows = saved(rows)
