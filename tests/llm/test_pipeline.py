@@ -189,3 +189,39 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
                 assert {1, 5, 6, 7, 8, 9, 10} <= kept and 0 not in kept and len(kept & {2, 3, 4}) == 1
             if name == "near_dedup":
                 assert {5, 6, 7, 10} <= kept and not {1, 9} & kept
+
+
+def test_sets_that_share_a_passage_are_not_held_against_each_other(spark, monkeypatch):
+    """Sets that meet in cells without being similar are left to the exact search, which pairs few of them and still finds what is similar among them."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([*passage, *(f"w{rng.integers(10**9)}" for _ in range(12 + k % 4))])) for k in range(400)]
+    rows += [(400 + k, rows[k][1] + " end") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, pairs = saved(near_copies.embedded(df, "doc_id", "text")), []
+    plain = near_copies._pairs
+    monkeypatch.setattr(near_copies, "_pairs", lambda met: pairs.append(out := plain(met)) or out)
+    near_copies.links(made).collect()
+    assert sum(p.count() for p in pairs) < 12_000 < 400 * 399 // 2  # before: each pair of a cell
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == smallest([i for i, _ in rows], near_pairs(rows))
+
+
+@pytest.mark.parametrize("at_once", [0, 2e7])
+def test_exact_search_finds_all_links(spark, monkeypatch, at_once):
+    """Without cells of least hashes or fingerprints before it, by rounds of leaders and at once."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(8):
+        text = [f"w{rng.integers(500)}" for _ in range(80)]
+        for copy in range(9):
+            other = list(text)
+            for _ in range(copy % 4):
+                other[rng.integers(len(other))] = f"w{rng.integers(500)}"
+            rows.append((len(rows), " ".join(other[: 80 - copy])))
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    made = saved(near_copies.embedded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text"))
+    none = spark.createDataFrame([], "a long, b long")
+    edges = near_copies.exact_links(made.select("fp", F.col("fp").alias("c")).distinct(), made, near_copies._heads(made), none)
+    got = {r.doc_id: r.component_id for r in near_copies._named(made, saved(edges)).collect()}
+    pairs = near_pairs(rows)
+    assert got == smallest([i for i, _ in rows], pairs) and len(pairs) > 50
