@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,7 +44,7 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK_CHARS = 1 << 20
-#: A worker forgets its units beyond so many, or so many tokens; a block closes beyond so many pairs or bytes.
+#: Beyond so many units, or so many tokens of them, a worker forgets all but those used most; a block closes beyond so many pairs or bytes.
 UNITS, UNIT_TOKENS = 400_000, 4_000_000
 BLOCK_PAIRS, BLOCK_BYTES = 1_000_000, 1 << 26
 #: Links made at once; groups of more than HEAVY links are counted by different ids.
@@ -51,7 +52,7 @@ LINKS_AT_ONCE, HEAVY = 1 << 21, 64
 _ID_BITS = 20
 _MASK = (1 << _ID_BITS) - 1
 _SEEN = r"[!-~\w]"
-_CUT = re.compile(rf"(?<={_SEEN})(?=\n{_SEEN})|(?<={_SEEN}\n)(?={_SEEN})|(?<={_SEEN})(?= {_SEEN})")
+_CUT = re.compile(rf"(?<={_SEEN})(?=[ \n]{_SEEN})|(?<={_SEEN}\n)(?={_SEEN})")
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def side_a(model: str) -> Side:
     raw = [b""] * t.get_vocab_size()
     for piece, i in t.get_vocab().items():
         raw[i] = bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()
-    return Side(raw, lambda units: [e.ids for e in t.encode_batch(units, add_special_tokens=False)])
+    return Side(raw, lambda units: [e.ids for e in t.encode_batch_fast(units, add_special_tokens=False)])
 
 
 def side_b(model: bytes) -> Side:
@@ -117,29 +118,51 @@ class Units:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.good = np.zeros(0, bool)
+        self.good, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
         self.start, self.size, self.pool = ([np.zeros(0, np.int64) for _ in range(2)] for _ in range(3))
 
+    def _shrink(self) -> None:
+        """Forgets all units but those used most often, half of UNITS and of UNIT_TOKENS at most."""
+        keep = np.argsort(-self.used, kind="stable")[: UNITS // 2]
+        keep = keep[self.used[keep] > 1]
+        for size in self.size:
+            keep = keep[np.cumsum(size[keep]) <= UNIT_TOKENS // 2]
+        keep = np.sort(keep)
+        names = list(self.at)
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.good, self.used = self.good[keep], self.used[keep] // 2
+        for k in range(2):
+            size = self.size[k][keep]
+            self.pool[k] = self.pool[k][spread(self.start[k][keep], size)]
+            self.start[k], self.size[k] = np.cumsum(size) - size, size
+
     def _learn(self, units: list[str]) -> None:
-        good = np.ones(len(units), bool)
+        good, long = np.ones(len(units), bool), np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64, len(units))
+        joined = "".join(units).encode()
         for k, side in enumerate(self.sides):
             ids = side.encode(units)
-            good &= np.array([b"".join([side.raw[i] for i in x]) == u.encode() for x, u in zip(ids, units, strict=True)], bool)
-            size = np.array([len(x) for x in ids], np.int64)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            pool = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(side.sizes[pool], dtype=np.int64)])[np.cumsum(size)]
+            if not np.array_equal(ends, np.cumsum(long)) or b"".join(map(side.raw.__getitem__, pool.tolist())) != joined:  # some unit is not what its tokens join to
+                good &= np.array([b"".join([side.raw[i] for i in x]) == u.encode() for x, u in zip(ids, units, strict=True)], bool)
             self.start[k] = np.concatenate([self.start[k], len(self.pool[k]) + np.cumsum(size) - size])
             self.size[k] = np.concatenate([self.size[k], size])
-            self.pool[k] = np.concatenate([self.pool[k], np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))])
+            self.pool[k] = np.concatenate([self.pool[k], pool])
         self.good = np.concatenate([self.good, good])
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int64)])
         self.at.update(zip(units, range(len(self.at), len(self.at) + len(units)), strict=True))
 
     def numbers(self, units: list[str]) -> np.ndarray:
         new = list(set(units).difference(self.at))
         if len(self.at) + len(new) > UNITS or max(map(len, self.pool)) > UNIT_TOKENS:
-            self._forget()
-            new = list(set(units))
+            self._shrink()
+            new = list(set(units).difference(self.at))
         if new:
             self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        self.used += np.bincount(at, minlength=len(self.used))
+        return at
 
 
 def kept_units(held: dict) -> Units:

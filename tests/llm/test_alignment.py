@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from hexaphase.llm import op12_alignment as op12
@@ -129,3 +131,18 @@ def test_units_stay_in_their_broadcast():
     units = op12.kept_units(held)
     op12.align(["the cat"], units)
     assert op12.kept_units(held) is units and " cat" in units.at
+
+
+def test_units_used_often_are_kept(monkeypatch):
+    """A worker that has met too many units keeps those used most, so that they are not encoded again, and gives the same tokens."""
+    sides = [op12.side_a(Path(op12.MODEL_A).read_text(encoding="utf-8")), op12.side_b(Path(op12.MODEL_B).read_bytes())]
+    texts = [f"the same words again and again n{k} ▁x{k}" for k in range(60)]
+    want = op12.align(texts, op12.Units(*sides))
+    monkeypatch.setattr(op12, "UNITS", 40)
+    units, learned = op12.Units(*sides), []
+    plain = units._learn
+    monkeypatch.setattr(units, "_learn", lambda new: learned.extend(new) or plain(new))
+    parts = [op12.align([t], units) for t in texts]
+    for k in (0, 1):
+        assert np.concatenate([p.ids[k] for p in parts]).tolist() == want.ids[k].tolist()
+    assert learned.count(" words") == 1 and len(units.at) <= 40
