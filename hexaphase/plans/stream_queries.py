@@ -25,8 +25,9 @@ EP = f"""{CO}, e0 AS (SELECT *, count(reason) OVER (PARTITION BY user_id ORDER B
 
 def _continuity(spark, sf):
     w = Window.partitionBy("user_id").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = lambda kind, least: F.count(F.when((F.col("event_type") == kind) & (F.col("value") > least), 1)).over(w)
-    ev = t.hops(spark, sf).withColumns({"seq": F.col("h") + so_far("signup", 60), "cal": F.floor(so_far("purchase", 0) / 5)})
+    so_far = lambda cond: F.count(F.when(cond, 1)).over(w)
+    jumps = so_far((F.col("event_type") == "signup") & (F.col("value") > 60))
+    ev = t.hops(spark, sf).withColumns({"seq": F.col("h") + jumps, "cal": F.floor(so_far(F.col("event_type") == "purchase") / 5)})
     return tl.continuity(ev, ["user_id"], ["h"], "seq", "us", 60 * HOUR, (F.col("event_type") == "error") & (F.col("value") > 60), calibration="cal")
 
 
