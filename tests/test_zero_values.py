@@ -7,7 +7,7 @@ from hexaphase.plans import catalog
 
 from .test_queries import rows_of
 
-NAMES = ["continuity_reason"]
+NAMES = ["continuity_reason", "frame_grid"]
 
 
 @pytest.fixture(scope="module")
