@@ -7,7 +7,7 @@ from hexaphase.plans import catalog
 
 from .test_queries import rows_of
 
-NAMES = ["continuity_reason", "frame_grid", "gate_identity"]
+NAMES = ["continuity_reason", "frame_grid", "hop_window_overlap", "gate_identity"]
 
 
 @pytest.fixture(scope="module")
