@@ -7,7 +7,7 @@ from hexaphase.plans import catalog
 
 from .test_queries import rows_of
 
-NAMES = ["continuity_reason", "frame_grid", "hop_window_overlap", "gate_identity"]
+NAMES = ["continuity_reason", "frame_grid", "hop_window_overlap", "gate_identity", "identity_quad"]
 
 
 @pytest.fixture(scope="module")
