@@ -7,7 +7,7 @@ from hexaphase.plans import catalog
 
 from .test_queries import rows_of
 
-NAMES = ["continuity_reason", "epoch_axis", "discontinuities", "sliding_windows", "frame_grid", "hop_window_overlap", "gate_identity", "identity_quad", "record_quality", "delay_runs", "discarded_tail", "submit_gate"]
+NAMES = ["continuity_reason", "epoch_axis", "discontinuities", "sliding_windows", "window_ids", "frame_grid", "hop_window_overlap", "gate_identity", "identity_quad", "record_quality", "delay_runs", "discarded_tail", "submit_gate"]
 
 
 @pytest.fixture(scope="module")
